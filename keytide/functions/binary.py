@@ -1,0 +1,27 @@
+"""Big-endian integers and addresses read from binary columns (1-based positions)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def unsigned(data: Column, position: Column | int, width: int) -> Column:
+    """Unsigned big-endian integer of ``width`` bytes (at most 7) as a long, null if cut short."""
+    position = F.lit(position) if isinstance(position, int) else position
+    chunk = F.substring(data, position, F.lit(width))
+    value = F.conv(F.hex(chunk), 16, 10).cast("long")
+    return F.when(F.octet_length(chunk) == width, value)
+
+
+def ipv4(data: Column, position: Column) -> Column:
+    """Dotted address text."""
+    return F.concat_ws(".", *[unsigned(data, position + i, 1).cast("string") for i in range(4)])
+
+
+def ipv6(data: Column, position: Column) -> Column:
+    """Eight groups of hexadecimal digits without leading zeros, not shortened."""
+    groups = [F.substring(data, position + 2 * i, F.lit(2)) for i in range(8)]
+    return F.concat_ws(
+        ":", *[F.lower(F.regexp_replace(F.hex(g), "^0{1,3}", "")) for g in groups]
+    )
