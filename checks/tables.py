@@ -55,3 +55,10 @@ PAGE_EVENTS = """
     SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS key, octet_length(encode(html)) AS size
     FROM pages
 """
+
+
+def address(number: str):
+    """Dotted address in 10.0.0.0/8 to 255.0.0.0/8 from a 32-bit number."""
+    n = F.col(number)
+    parts = [F.shiftright(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
+    return F.concat_ws(".", *parts)
