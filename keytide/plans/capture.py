@@ -1,22 +1,42 @@
-"""From raw packets to a report in one call."""
+"""From captures to reports in one call."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from keytide.functions.protocols import INFER
+from keytide.functions.protocols import INFER, check_protocol
 from keytide.operators.conversations import extract_events
-from keytide.operators.frames import DEFAULT_PORTS, decode_frames
+from keytide.operators.frames import DEFAULT_PORTS, check_ports, decode_frames
 from keytide.operators.intervals import cumulative_report, interval_report, ranked_intervals
 from keytide.operators.report import HotKeys
+from keytide.sources.captures import RAW_SCHEMA, read_captures
+
+
+def raw_packets(
+    spark: SparkSession,
+    path: str | None = None,
+    packets: DataFrame | None = None,
+    ports: Sequence[int] = DEFAULT_PORTS,
+) -> DataFrame:
+    """Raw packets from exactly one source: capture files, or any table with their columns."""
+    if (path is None) == (packets is None):
+        raise ValueError("give either a path or a table of packets")
+    check_ports(ports)
+    if path is not None:
+        return read_captures(spark, path)
+    missing = [c for c in RAW_SCHEMA.names if c not in packets.columns]
+    if missing:
+        raise ValueError(f"packets lack the columns {missing}")
+    return packets
 
 
 def capture_events(
     raw: DataFrame, protocol: str = INFER, ports: Sequence[int] = DEFAULT_PORTS, **options
 ) -> DataFrame:
     """Cache events from raw packets (``file, ord, ts, caplen, wirelen, linktype, data``)."""
+    check_protocol(protocol)
     return extract_events(decode_frames(raw), protocol, ports, **options)
 
 
