@@ -1,17 +1,23 @@
 """Frame decode: link header, optional VLAN tags, IPv4 or IPv6, TCP, payload.
 
-Everything is a built-in expression on the frame's bytes, so decoding fuses with the scan and the
-port filter and nothing leaves the JVM.  Positions are 1-based, as ``substring`` counts.
+Headers are walked for whole Arrow batches at once (built-in functions can only read a byte of a
+binary through hex text, which measured about thirty times slower).  Only the first bytes of each
+frame travel to the function and only header fields come back; payloads stay where they are and are
+cut out by built-in expressions.
 """
 
 from __future__ import annotations
 
+import socket
 from collections.abc import Sequence
+from ipaddress import IPv6Address
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Default ports and protocol numbers.
+# Default ports, protocol numbers and flags.
 DEFAULT_PORTS = (6379, 11211)
 ETHERTYPE_VLAN = (0x8100, 0x88A8)
 ETHERTYPE_IPV4 = 0x0800
@@ -22,110 +28,124 @@ PROTOCOL_TCP = 6
 PROTOCOL_HOP_BY_HOP = 0
 FLAG_FIN, FLAG_SYN, FLAG_RST = 0x01, 0x02, 0x04
 
-# No link, IP and TCP header starts deeper than this; longer header chains are not TCP to us.
-_HEADER_BYTES = 512
-
-
-def _unsigned(position: Column | int, width: int) -> Column:
-    """Big-endian integer from the frame's header text (``__hex``), null past its end."""
-    position = F.lit(position) if isinstance(position, int) else position
-    digits = F.substring(F.col("__hex"), position * 2 - 1, F.lit(2 * width))
-    return F.when(F.length(digits) == 2 * width, F.conv(digits, 16, 10).cast("long"))
-
-
-def _bits(value: Column, mask: int) -> Column:
-    return value.bitwiseAND(F.lit(mask))
-
-
-def _bound(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that later steps use many times.
-
-    A generator over one struct keeps the optimizer from copying their expressions into every use
-    (a pushed-down filter would otherwise carry the whole header walk several times over).
+# Two VLAN tags and the longest IP, hop-by-hop and TCP headers in use fit in this; a longer header
+# chain is not TCP to us.
+HEADER_BYTES = 512
+
+_HEADER = pa.schema(
+    [
+        ("vlan", pa.int32()), ("ip_version", pa.int32()), ("src_ip", pa.string()),
+        ("dst_ip", pa.string()), ("src_port", pa.int32()), ("dst_port", pa.int32()), ("seq", pa.int64()),
+        ("ack", pa.int64()), ("flags", pa.int32()), ("body", pa.int32()), ("end", pa.int32()),
+    ]
+)
+_HEADER_DDL = (
+    "vlan int, ip_version int, src_ip string, dst_ip string, src_port int, dst_port int, seq long, "
+    "ack long, flags int, body int, end int"
+)
+
+
+class _Frames:
+    """Numbers read from the same or different places of many frames."""
+
+    def __init__(self, heads: pa.Array):
+        heads = heads.cast(pa.large_binary())
+        offsets = np.frombuffer(heads.buffers()[1], dtype="int64")
+        offsets = offsets[heads.offset : heads.offset + len(heads) + 1]
+        stored = np.frombuffer(heads.buffers()[2] or b"", dtype="uint8")
+        self.starts, self.known = offsets[:-1], np.diff(offsets)
+        self.bytes = np.concatenate([stored, np.zeros(HEADER_BYTES + 64, dtype="uint8")])
+
+    def number(self, at, width: int) -> np.ndarray:
+        """Big-endian integers at offset ``at``; -1 where a frame ends before."""
+        inside = (at >= 0) & (at + width <= self.known)
+        places = self.starts + np.where(inside, at, 0)
+        value = np.zeros(len(places), dtype="int64")
+        for i in range(width):
+            value = (value << 8) | self.bytes[places + i]
+        return np.where(inside, value, -1)
+
+
+def _ipv6_text(high: int, low: int) -> str:
+    address = IPv6Address((high % (1 << 64) << 64) | low % (1 << 64))
+    return str(address.ipv4_mapped or address)
+
+
+def _addresses(frames: _Frames, at4, at6, v4: np.ndarray, v6: np.ndarray) -> pa.Array:
+    """Address texts; each address of a batch is written out once."""
+    out = np.full(len(v4), None, dtype=object)
+    numbers, which = np.unique(frames.number(at4, 4)[v4], return_inverse=True)
+    texts = [socket.inet_ntoa(n.to_bytes(4, "big")) for n in numbers.tolist()]
+    out[v4] = np.array([*texts, None], dtype=object)[which]
+    if v6.any():
+        halves = np.stack([frames.number(at6, 8)[v6], frames.number(at6 + 8, 8)[v6]], axis=1)
+        pairs, which = np.unique(halves, axis=0, return_inverse=True)
+        texts = [_ipv6_text(*pair) for pair in pairs.tolist()]
+        out[v6] = np.array([*texts, None], dtype=object)[which.reshape(-1)]
+    return pa.array(out, pa.string())
+
+
+def _headers(heads: pa.Array, lengths: pa.Array) -> pa.Array:
+    """Walk link, IP and TCP headers; all fields null where a frame holds no TCP.
+
+    A frame is Ethernet if that yields an IP ethertype, else loopback.  (A loopback frame can not
+    show an IP ethertype there: those bytes hold lifetime and protocol, or the start of an address
+    block that is not in use.)
     """
-    row = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
-
-
-def _link(frames: DataFrame) -> DataFrame:
-    """Where the IP header starts, its version, and the innermost VLAN id.
-
-    The frame is Ethernet if that yields an IP ethertype, else loopback.  (A loopback frame can
-    not show an IP ethertype there: those bytes hold lifetime and protocol, or the start of an
-    address block that is not in use.)
-    """
-    type0, type1, type2 = (_unsigned(13 + 4 * i, 2) for i in range(3))
-    one, two = type0.isin(*ETHERTYPE_VLAN), type1.isin(*ETHERTYPE_VLAN)
-    ethertype = F.when(one & two, type2).when(one, type1).otherwise(type0)
-    tags = F.when(one & two, 2).when(one, 1).otherwise(0)
-    frames = _bound(
-        frames,
-        __ethernet=F.when(ethertype == ETHERTYPE_IPV4, 4).when(ethertype == ETHERTYPE_IPV6, 6),
-        __tags=tags,
-        __vlan=_bits(F.when(one & two, _unsigned(19, 2)).when(one, _unsigned(15, 2)), 0x0FFF),
-    )
-    either_order = F.when(_unsigned(1, 2) == 0, _unsigned(3, 2)).otherwise(
-        _unsigned(1, 1) + F.shiftleft(_unsigned(2, 1), 8)
-    )
-    loopback = F.when(either_order == LOOPBACK_IPV4, 4).when(either_order.isin(*LOOPBACK_IPV6), 6)
-    ethernet = F.col("__ethernet").isNotNull()
-    return _bound(
-        frames,
-        __l3=F.when(ethernet, F.lit(15) + 4 * F.col("__tags")).otherwise(5).cast("long"),
-        __version=F.coalesce("__ethernet", loopback),
-    )
-
-
-def _transport(frames: DataFrame) -> DataFrame:
-    """Where TCP and its payload start and the packet ends (exclusive); null if there is no TCP."""
-    at, end_of_data = F.col("__l3"), (F.col("__len") + 1).cast("long")
-    ihl = _bits(_unsigned(at, 1), 0x0F) * 4
-    total = _unsigned(at + 2, 2)
-    whole = _bits(_unsigned(at + 6, 2), 0x3FFF) == 0
-    is_tcp4 = (
-        (F.col("__version") == 4)
-        & (_unsigned(at + 9, 1) == PROTOCOL_TCP)
-        & whole
-        & (ihl >= 20)
-        & ((total == 0) | (total >= ihl))
-    )
-    end4 = F.when(total == 0, end_of_data).otherwise(F.least(at + total, end_of_data))
-    following, length6 = _unsigned(at + 6, 1), _unsigned(at + 4, 2)
+    frames = _Frames(heads)
+    number = frames.number
+    total = lengths.to_numpy(zero_copy_only=False).astype("int64")
+
+    first, second, third = (number(np.int64(12 + 4 * i), 2) for i in range(3))
+    one = np.isin(first, ETHERTYPE_VLAN)
+    two = one & np.isin(second, ETHERTYPE_VLAN)
+    ethertype = np.where(two, third, np.where(one, second, first))
+    vlan = np.where(two, number(np.int64(18), 2), np.where(one, number(np.int64(14), 2), -1))
+    high, low = number(np.int64(0), 2), number(np.int64(2), 2)
+    swapped = np.where(low == 0, (high >> 8) | ((high & 0xFF) << 8), -1)
+    family = np.where(high == 0, low, swapped)
+    ethernet = np.isin(ethertype, (ETHERTYPE_IPV4, ETHERTYPE_IPV6))
+    v4 = np.where(ethernet, ethertype == ETHERTYPE_IPV4, family == LOOPBACK_IPV4)
+    v6 = np.where(ethernet, ethertype == ETHERTYPE_IPV6, np.isin(family, LOOPBACK_IPV6))
+    l3 = np.where(ethernet, 14 + 4 * (one.astype("int64") + two), 4)
+
+    ihl = (number(l3, 1) & 0x0F) * 4
+    length4 = number(l3 + 2, 2)
+    whole = (number(l3 + 6, 2) & 0x3FFF) == 0
+    tcp4 = v4 & (number(l3 + 9, 1) == PROTOCOL_TCP) & whole & (ihl >= 20)
+    tcp4 &= (length4 == 0) | (length4 >= ihl)
+    end4 = np.where(length4 == 0, total, np.minimum(l3 + length4, total))
+
+    following, length6 = number(l3 + 6, 1), number(l3 + 4, 2)
     hop = following == PROTOCOL_HOP_BY_HOP
-    extra = F.when(hop, (_unsigned(at + 41, 1) + 1) * 8).otherwise(0)
-    protocol6 = F.when(hop, _unsigned(at + 40, 1)).otherwise(following)
-    is_tcp6 = (F.col("__version") == 6) & (protocol6 == PROTOCOL_TCP) & (length6 > 0)
-    frames = _bound(
-        frames,
-        __tcp=F.when(is_tcp4, at + ihl).when(is_tcp6, at + 40 + extra),
-        __stop=F.when(F.col("__version") == 4, end4).otherwise(
-            F.least(at + 40 + length6, end_of_data)
-        ),
-    )
-    start, end = F.col("__tcp"), F.col("__stop")
-    header = _bits(F.shiftright(_unsigned(start + 12, 1), 4), 0x0F) * 4
-    ok = (header >= 20) & (start + 20 <= end)
-    return _bound(frames, __l4=F.when(ok, start), __body=start + header, __end=end)
-
-
-def _ipv4_text(position: Column) -> Column:
-    return F.concat_ws(".", *[_unsigned(position + i, 1).cast("string") for i in range(4)])
-
-
-def _ipv6_text(position: Column) -> Column:
-    """Lower-case groups without leading zeros, the longest run of zero groups as ``::``."""
-    digits = F.lower(F.substring(F.col("__hex"), position * 2 - 1, F.lit(32)))
-    groups = F.regexp_replace(F.regexp_replace(digits, "(.{4})(?=.)", "$1:"), "(^|:)0{1,3}", "$1")
-
-    def shorten(full: Column) -> Column:
-        text = full
-        for run in range(2, 9):
-            pattern = rf"^((?:[0-9a-f]+:)*?)0(?::0){{{run - 1}}}(?::|$)"
-            short = F.regexp_replace(F.regexp_replace(full, pattern, "$1::"), ":::", "::")
-            text = F.when(full.rlike(pattern), short).otherwise(text)
-        return text
-
-    return F.transform(F.array(groups), shorten)[0]
+    extra = np.where(hop, (number(l3 + 41, 1) + 1) * 8, 0)
+    protocol6 = np.where(hop, number(l3 + 40, 1), following)
+    tcp6 = v6 & (protocol6 == PROTOCOL_TCP) & (length6 > 0)
+    end6 = np.minimum(l3 + 40 + length6, total)
+
+    l4 = np.where(tcp4, l3 + ihl, l3 + 40 + extra)
+    end = np.where(v4, end4, end6)
+    offset = (number(l4 + 12, 1) >> 4) * 4
+    tcp = (tcp4 | tcp6) & (offset >= 20) & (l4 + 20 <= end) & (l4 + 20 <= frames.known)
+    numbers = {
+        "vlan": (vlan & 0x0FFF, tcp & ethernet & one),
+        "ip_version": (np.where(v4, 4, 6), tcp),
+        "src_port": (number(l4, 2), tcp),
+        "dst_port": (number(l4 + 2, 2), tcp),
+        "seq": (number(l4 + 4, 4), tcp),
+        "ack": (number(l4 + 8, 4), tcp),
+        "flags": (number(l4 + 13, 1), tcp),
+        "body": (l4 + offset + 1, tcp),
+        "end": (end + 1, tcp),
+    }
+    arrays = {
+        "src_ip": _addresses(frames, l3 + 12, l3 + 8, tcp & tcp4, tcp & tcp6),
+        "dst_ip": _addresses(frames, l3 + 16, l3 + 24, tcp & tcp4, tcp & tcp6),
+    }
+    for name, (values, known) in numbers.items():
+        kind = _HEADER.field(name).type
+        arrays[name] = pa.array(values.astype(kind.to_pandas_dtype()), mask=~known)
+    return pa.StructArray.from_arrays([arrays[n] for n in _HEADER.names], fields=list(_HEADER))
 
 
 def decode_frames(raw: DataFrame) -> DataFrame:
@@ -134,38 +154,22 @@ def decode_frames(raw: DataFrame) -> DataFrame:
     The payload ends where the IP packet does (short Ethernet frames are padded); ``truncated``
     says that less was captured than was on the wire.
     """
-    staged = raw.select(
-        "*",
-        F.octet_length("data").alias("__len"),
-        F.hex(F.substring("data", 1, _HEADER_BYTES)).alias("__hex"),
+    # Marked so that it is not copied into filters pushed below: headers are walked once.
+    headers = F.arrow_udf(_headers, _HEADER_DDL).asNondeterministic()
+    walked = raw.select(
+        "*", headers(F.substring("data", 1, HEADER_BYTES), F.octet_length("data")).alias("__h")
     )
-    staged = _transport(_link(staged))
-    l3, l4 = F.col("__l3"), F.col("__l4")
-    is_tcp = l4.isNotNull()
-    flags = _unsigned(l4 + 13, 1)
-
-    def address(v4_offset: int, v6_offset: int) -> Column:
-        v6 = F.col("__version") == 6
-        return F.when(is_tcp & v6, _ipv6_text(l3 + v6_offset)).when(is_tcp, _ipv4_text(l3 + v4_offset))
-
-    return staged.select(
+    h = {n: F.col(f"__h.{n}") for n in _HEADER.names}
+    plain = ["vlan", "ip_version", "src_ip", "dst_ip", "src_port", "dst_port", "seq", "ack"]
+    return walked.select(
         *raw.columns,
-        F.when(is_tcp, F.col("__vlan")).cast("int").alias("vlan"),
-        F.when(is_tcp, F.col("__version")).cast("int").alias("ip_version"),
-        address(12, 8).alias("src_ip"),
-        address(16, 24).alias("dst_ip"),
-        _unsigned(l4, 2).cast("int").alias("src_port"),
-        _unsigned(l4 + 2, 2).cast("int").alias("dst_port"),
-        _unsigned(l4 + 4, 4).alias("seq"),
-        _unsigned(l4 + 8, 4).alias("ack"),
-        (_bits(flags, FLAG_SYN) != 0).alias("syn"),
-        (_bits(flags, FLAG_FIN) != 0).alias("fin"),
-        (_bits(flags, FLAG_RST) != 0).alias("rst"),
+        *[h[n].alias(n) for n in plain],
+        (h["flags"].bitwiseAND(F.lit(FLAG_SYN)) != 0).alias("syn"),
+        (h["flags"].bitwiseAND(F.lit(FLAG_FIN)) != 0).alias("fin"),
+        (h["flags"].bitwiseAND(F.lit(FLAG_RST)) != 0).alias("rst"),
         F.when(
-            is_tcp,
-            F.substring(
-                "data", F.col("__body"), F.greatest(F.col("__end") - F.col("__body"), F.lit(0))
-            ),
+            h["seq"].isNotNull(),
+            F.substring("data", h["body"], F.greatest(h["end"] - h["body"], F.lit(0))),
         ).alias("payload"),
         (F.col("caplen") < F.col("wirelen")).alias("truncated"),
     )
