@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import tables as t
 from checks import wire as w
+from keytide.plans.cut import cut
 from keytide.plans.scan import running
 
 PIECE = 1460
@@ -81,7 +82,7 @@ def packets_of(messages: DataFrame, group_rows: int = 64, copies: bool = True, d
 
 
 def frames_of(packets: DataFrame) -> DataFrame:
-    """Raw Ethernet frames of IPv4 packets."""
+    """Raw Ethernet frames of IPv4 packets, written out once like a capture."""
     def numeric(ip: str) -> Column:
         parts = F.split(ip, r"\.")
         total = F.lit(0).cast("long")
@@ -99,8 +100,10 @@ def frames_of(packets: DataFrame) -> DataFrame:
     )
     framed = packets.select("file", "ord", "ts", data.alias("data"))
     size = F.octet_length("data")
-    return framed.select(
-        "file", "ord", "ts", size.alias("caplen"), size.alias("wirelen"), F.lit(1).alias("linktype"), "data"
+    return cut(
+        framed.select(
+            "file", "ord", "ts", size.alias("caplen"), size.alias("wirelen"), F.lit(1).alias("linktype"), "data"
+        )
     )
 
 

@@ -18,8 +18,8 @@ GET_VERBS = ("get", "gets")
 STORE_VERBS = ("set", "add", "replace", "append", "prepend", "cas")
 QUIT_VERB = "quit"
 REDIS_GET_VERBS = ("get", "mget")
-REDIS_FIRST_BYTE = "2A"
-BINARY_FIRST_BYTE = "80"
+REDIS_FIRST_BYTE = 0x2A
+BINARY_FIRST_BYTE = 0x80
 LINE_LIMIT = 32 * 1024
 CAPTURE_LIMIT = 1024
 NESTING_LIMIT = 8

@@ -24,7 +24,7 @@ _SLICE_US = 10_000_000
 
 
 def _arrival() -> list[Column]:
-    return [F.col(c) for c in ("us", "file", "ord", "from_server", "pos", "mark")]
+    return [F.col(c) for c in ("us", "from_server", "pos", "mark")]
 
 
 def with_frames(messages: DataFrame) -> DataFrame:

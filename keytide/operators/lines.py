@@ -119,7 +119,7 @@ def pair_in_order(
 def as_segments(lines: DataFrame, protocol: str, ending: str = "\r\n") -> DataFrame:
     """Lines (bodies included) as placed segments, ready for ``read_messages``.
 
-    ``ts`` gives the time a line was ready, with ``msg_no`` as order.
+    ``ts`` gives the time a line was ready.
     """
     sized = lines.withColumn(
         "bytes", F.concat(F.col("line").cast("binary"), F.encode(F.lit(ending), "utf-8"))
@@ -137,6 +137,6 @@ def as_segments(lines: DataFrame, protocol: str, ending: str = "\r\n") -> DataFr
         # Whether a stream is long is not known here, so every stream is linked.
         F.lit(1 << 62).alias("stream_len"),
         (F.col("end") - F.octet_length("bytes")).alias("rel_start"),
-        F.struct("ts", F.lit("").alias("file"), F.col("msg_no").alias("ord")).alias("ready"),
+        F.unix_micros("ts").alias("ready"),
         "bytes",
     )

@@ -39,14 +39,14 @@ CHUNK_BYTES = 4 << 20
 
 _STREAM = ["flow", "from_server", "protocol"]
 _CHUNK = [*_STREAM, "chunk"]
-_PIECES = [*_CHUNK, "start", "bytes", "us", "file", "ord", "entry"]
+_PIECES = [*_CHUNK, "start", "bytes", "us", "entry"]
 _LINK_SCHEMA = (
     "flow string, from_server boolean, protocol string, chunk long, upto array<long>, leave array<long>"
 )
 _ENTRY_SCHEMA = "flow string, from_server boolean, protocol string, chunk long, entry long"
 MESSAGE_SCHEMA = (
     "flow string, from_server boolean, protocol string, chunk long, pos long, kind string, "
-    "mark boolean, unit boolean, delta long, key string, size long, us long, file string, ord long"
+    "mark boolean, unit boolean, delta long, key string, size long, us long"
 )
 
 
@@ -54,14 +54,14 @@ class View:
     """The bytes of one chunk with a margin on both sides: runs without gaps, and segment starts."""
 
     def __init__(self, rows: list[tuple], limit: int):
-        """``rows`` are ``(start, bytes, us, file, ord)`` in stream order."""
+        """``rows`` are ``(start, bytes, time)`` in stream order."""
         self.limit = limit
         self.starts = [r[0] for r in rows]
-        self.times = [r[2:] for r in rows]
+        self.times = [r[2] for r in rows]
         self.runs: list[int] = []
         parts: list[list[bytes]] = []
         end = None
-        for start, data, *_ in rows:
+        for start, data, _ in rows:
             if start != end:
                 self.runs.append(start)
                 parts.append([])
@@ -69,7 +69,7 @@ class View:
             end = start + len(data)
         self.data = [b"".join(p) for p in parts]
 
-    def time(self, pos: int) -> tuple:
+    def time(self, pos: int) -> int:
         return self.times[max(bisect_right(self.starts, pos) - 1, 0)]
 
     def next_segment(self, pos: int, otherwise: int) -> int:
@@ -153,25 +153,25 @@ def messages_in(view: View, step: Step, low: int, high: int, entry: int) -> Iter
         if not openings:
             return
         pos = openings[0]
-        yield (pos, "loss", True, False, None, None, None, *view.time(pos))
+        yield (pos, "loss", True, False, None, None, None, view.time(pos))
     while pos < high:
         taken = view.advance(step, pos)
         if taken is None:
             return
         found, after, decided = taken
         if isinstance(found, str):
-            yield (pos, found, True, False, None, None, None, *view.time(decided))
+            yield (pos, found, True, False, None, None, None, view.time(decided))
         elif found is not None:
             key = None if found.key is None else found.key.decode("utf-8", "replace")
             yield (
                 pos, found.kind, False, found.unit, found.delta, key, found.size,
-                *view.time(decided),
+                view.time(decided),
             )
         pos = after
 
 
 def chosen_protocol(client_byte: Column, protocol: str = INFER) -> Column:
-    """Protocol of a connection from the first byte its client sent (in hex).
+    """Protocol of a connection from the first byte its client sent.
 
     ``infer`` tells Redis by ``*``; anything else is memcached text, unless it starts with the
     magic byte of the binary protocol, which is not read at all.
@@ -191,9 +191,9 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[tuple
         entry, segments = None, []
         for row in group:
             if row[5] is None:
-                entry = int(row[9])
+                entry = int(row[7])
             else:
-                segments.append(row[4:9])
+                segments.append(row[4:7])
         yield key, segments, entry
 
 
@@ -237,9 +237,7 @@ def read_messages(
         F.explode(F.sequence(first, last)).alias("chunk"),
         F.col("rel_start").alias("start"),
         "bytes",
-        F.unix_micros("ready.ts").alias("us"),
-        F.col("ready.file").alias("file"),
-        F.col("ready.ord").alias("ord"),
+        F.col("ready").alias("us"),
         "stream_len",
     )
     # Only streams of several chunks need linking.
@@ -249,7 +247,9 @@ def read_messages(
 
 
 def _by_chunk(pieces: DataFrame) -> DataFrame:
-    return pieces.repartition(*_CHUNK).sortWithinPartitions(*_CHUNK, "start")
+    # The hash leads the order because sorting compares it much faster than text.
+    chunk = F.xxhash64(*_CHUNK)
+    return pieces.repartition(*_CHUNK).sortWithinPartitions(chunk, *_CHUNK, "start")
 
 
 def _entries(pieces: DataFrame, steps: dict, chunk_bytes: int, line_limit: int) -> DataFrame:
@@ -290,7 +290,7 @@ def _second_pass(
 ) -> DataFrame:
     tagged = pieces.withColumn("entry", F.lit(None).cast("long"))
     zero = F.lit(0).cast("long")
-    heads = entries.withColumns({"start": zero - 1, "us": zero, "file": F.lit(""), "ord": zero})
+    heads = entries.withColumns({"start": zero - 1, "us": zero})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():

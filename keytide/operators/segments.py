@@ -28,18 +28,21 @@ _WRAP = 1 << 32
 def packet_index(packets: DataFrame, ports: Sequence[int] = DEFAULT_PORTS) -> DataFrame:
     """Header facts of the packets that matter to reassembly: about 100 bytes each, no payload.
 
-    ``at`` is the arrival order: time, then position in the capture.
+    Arrival order is ``us`` (time in microseconds), then ``source`` and ``ord`` (position in the
+    capture; ``source`` is a hash of the file name).
     """
     kept = with_connection(port_filter(packets, ports), ports)
     size = F.octet_length("payload")
     return kept.filter((size > 0) | F.col("syn")).select(
         conn_label(F.col("conn")).alias("conn"),
         "from_server",
-        F.struct("ts", "file", "ord").alias("at"),
+        F.unix_micros("ts").alias("us"),
+        F.xxhash64("file").alias("source"),
+        "ord",
         "seq",
         size.cast("long").alias("len"),
         "syn",
-        F.hex(F.substring("payload", 1, 1)).alias("first_byte"),
+        F.conv(F.hex(F.substring("payload", 1, 1)), 16, 10).cast("int").alias("first_byte"),
     )
 
 
@@ -60,36 +63,49 @@ def with_flows(
     in their stream.
     """
     idle = idle_seconds * 1_000_000
-    slices = ["conn", "slice"]
-    here = Window.partitionBy(*slices).orderBy("at")
-    one_way = Window.partitionBy(*slices, "from_server").orderBy("at")
-    client_syn = F.col("syn") & ~F.col("from_server")
-    local = (
-        index.withColumn("us", F.unix_micros("at.ts"))
-        .withColumn("slice", F.floor(F.col("us") / F.lit(slice_seconds * 1_000_000)))
-        .withColumn("step", F.coalesce(_wrap_step(F.col("seq"), F.lag("seq").over(one_way)), F.lit(0)))
-        .withColumn("steps", F.sum("step").over(one_way))
-        .withColumn("pause", F.when(F.col("us") - F.lag("us").over(here) > idle, F.col("us")))
-        .withColumn("syn_here", F.last(F.when(client_syn, F.col("seq")), True).over(here))
-        .withColumn("pause_here", F.last("pause", True).over(here))
-    )
+    # Hashes lead the keys because sorting compares them much faster than text.
+    slices = ["conn_id", "conn", "slice"]
+    order = Window.partitionBy(*slices).orderBy("us", "source", "ord")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     ways = {"client": ~F.col("from_server"), "server": F.col("from_server")}
-    summary = local.groupBy(*slices).agg(
-        F.min("us").alias("first_us"),
-        F.max("us").alias("last_us"),
-        F.max("pause").alias("pause"),
-        F.max_by("seq", F.when(client_syn, F.col("at"))).alias("syn_seq"),
-        *[F.min_by("seq", F.when(way, F.col("at"))).alias(f"first_{n}") for n, way in ways.items()],
-        *[F.max_by("seq", F.when(way, F.col("at"))).alias(f"last_{n}") for n, way in ways.items()],
-        *[F.sum(F.when(way, F.col("step")).otherwise(0)).alias(f"steps_{n}") for n, way in ways.items()],
+    seq, us = F.col("seq"), F.col("us")
+    local = index.withColumns(
+        {
+            "conn_id": F.xxhash64("conn"),
+            "slice": F.floor(us / F.lit(slice_seconds * 1_000_000)),
+        }
+    ).select(
+        "*",
+        F.when(us - F.lag("us").over(order) > idle, us).alias("pause"),
+        F.last(F.when(F.col("syn") & ways["client"], seq), True).over(upto).alias("syn_here"),
+        F.first("us").over(upto).alias("first_us"),
+        F.lead("us").over(order).isNull().alias("is_last"),
+        *[F.first(F.when(way, seq), True).over(upto).alias(f"first_{n}") for n, way in ways.items()],
+        *[F.last(F.when(way, seq), True).over(upto).alias(f"last_{n}") for n, way in ways.items()],
+        *[F.last(F.when(way, seq), True).over(earlier).alias(f"prev_{n}") for n, way in ways.items()],
     )
-    order = Window.partitionBy("conn").orderBy("slice")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    local = local.select(
+        "*",
+        F.last("pause", True).over(upto).alias("pause_here"),
+        *[
+            F.sum(
+                F.when(way, F.coalesce(_wrap_step(seq, F.col(f"prev_{n}")), F.lit(0))).otherwise(0)
+            ).over(upto).alias(f"steps_{n}")
+            for n, way in ways.items()
+        ],
+    )
+    # One row per slice carries what later slices need to know.
+    summary = local.filter("is_last").select(
+        *slices, "first_us", F.col("us").alias("last_us"), "pause_here", "syn_here",
+        *[f"{what}_{n}" for what in ("first", "last", "steps") for n in ways],
+    )
+    along = Window.partitionBy("conn_id", "conn").orderBy("slice")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumns(
         {
             "pause_first": F.when(
-                F.col("first_us") - F.lag("last_us").over(order) > idle, F.col("first_us")
+                F.col("first_us") - F.lag("last_us").over(along) > idle, F.col("first_us")
             ),
             **{
                 f"cross_{n}": F.coalesce(
@@ -102,34 +118,37 @@ def with_flows(
     carried = summary.select(
         *slices,
         "pause_first",
-        F.last(F.coalesce("pause", "pause_first"), True).over(before).alias("pause_before"),
-        F.last("syn_seq", True).over(before).alias("syn_before"),
+        F.last(F.coalesce("pause_here", "pause_first"), True).over(before).alias("pause_before"),
+        F.last("syn_here", True).over(before).alias("syn_before"),
         *[
             (
-                F.sum(f"cross_{n}").over(upto) + F.coalesce(F.sum(f"steps_{n}").over(before), F.lit(0))
+                F.sum(f"cross_{n}").over(along.rowsBetween(Window.unboundedPreceding, 0))
+                + F.coalesce(F.sum(f"steps_{n}").over(before), F.lit(0))
             ).alias(f"carried_{n}")
             for n in ways
         ],
     )
-    steps = F.col("steps") + F.when(F.col("from_server"), F.col("carried_server")).otherwise(
-        F.col("carried_client")
-    )
+    steps = F.when(
+        F.col("from_server"), F.col("steps_server") + F.col("carried_server")
+    ).otherwise(F.col("steps_client") + F.col("carried_client"))
     opened = F.coalesce("syn_here", "syn_before", F.lit(-1))
     resumed = F.coalesce("pause_here", "pause_first", "pause_before", F.lit(0))
     return local.join(carried, slices).select(
         F.concat("conn", F.lit("#"), opened.cast("string"), F.lit("."), resumed.cast("string"))
         .alias("flow"),
         "from_server",
-        "at",
-        (F.col("seq") + steps * _WRAP).alias("unwrapped"),
+        "us",
+        "source",
+        "ord",
+        (seq + steps * _WRAP).alias("unwrapped"),
         "len",
         "syn",
         "first_byte",
     )
 
 
-def conn_of(flow: Column) -> Column:
-    return F.split_part(flow, F.lit("#"), F.lit(1))
+def conn_of(flow: Column | str) -> Column:
+    return F.split_part(F.col(flow) if isinstance(flow, str) else flow, F.lit("#"), F.lit(1))
 
 
 def segment_index(flows: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -140,49 +159,58 @@ def segment_index(flows: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame
     delivered before.  ``ready`` is when the segment could be read: once everything before it had
     arrived.  ``stream_len`` is where the stream ends, ``client_byte`` the first byte the client sent.
     """
-    stream = ["flow", "from_server"]
+    stream = ["flow_id", "flow", "from_server"]
+    slices = [*stream, "slice"]
     # Copies of a packet meet in one row before anything is ordered.
     packets = (
-        flows.withColumn("start", F.col("unwrapped") + F.col("syn").cast("long"))
+        flows.withColumns(
+            {
+                "flow_id": F.xxhash64("flow"),
+                "start": F.col("unwrapped") + F.col("syn").cast("long"),
+            }
+        )
         .groupBy(*stream, "start", "len")
-        .agg(F.min("at").alias("at"), F.max("syn").alias("syn"), F.min("first_byte").alias("first_byte"))
+        .agg(
+            F.min("us").alias("us"),
+            F.min_by("source", "us").alias("source"),
+            F.min_by("ord", "us").alias("ord"),
+            F.max("syn").alias("syn"),
+            F.min("first_byte").alias("first_byte"),
+        )
         .withColumn("slice", F.floor(F.col("start") / F.lit(slice_bytes)))
     )
     end = F.col("start") + F.col("len")
-    here = Window.partitionBy(*stream, "slice").orderBy("start", "at")
-    before = here.rowsBetween(Window.unboundedPreceding, -1)
-    local = packets.withColumns(
-        {
-            "end_here": F.max(end).over(before),
-            "ready_here": F.max("at").over(here.rowsBetween(Window.unboundedPreceding, 0)),
-        }
-    )
-    first = F.struct("start", "at", "first_byte")
-    summary = packets.groupBy(*stream, "slice").agg(
-        F.max(end).alias("max_end"),
-        F.max("at").alias("max_at"),
-        F.max(F.when(F.col("syn"), F.col("start"))).alias("syn_start"),
-        F.min("start").alias("min_start"),
-        F.min(F.when(~F.col("from_server") & (F.col("len") > 0), first)).alias("first"),
+    order = Window.partitionBy(*slices).orderBy("start", "us", "len")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    sent = ~F.col("from_server") & (F.col("len") > 0)
+    local = packets.select(
+        "*",
+        F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("end_here"),
+        F.max(end).over(upto).alias("max_end"),
+        F.max("us").over(upto).alias("ready_here"),
+        F.max(F.when(F.col("syn"), F.col("start"))).over(upto).alias("syn_start"),
+        F.first("start").over(upto).alias("min_start"),
+        F.first(F.when(sent, F.col("start")), True).over(upto).alias("sent_start"),
+        F.first(F.when(sent, F.col("first_byte")), True).over(upto).alias("sent_byte"),
+        F.lead("start").over(order).isNull().alias("is_last"),
     )
-    earlier = Window.partitionBy(*stream).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    summary = local.filter("is_last")
+    whole = Window.partitionBy(*stream)
+    before = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.withColumn(
-        "client_byte", F.min("first").over(Window.partitionBy("flow")).getField("first_byte")
+        "client_byte", F.min_by("sent_byte", "sent_start").over(Window.partitionBy("flow_id", "flow"))
     ).select(
-        *stream,
-        "slice",
+        *slices,
         "client_byte",
-        F.max("max_end").over(earlier).alias("end_before"),
-        F.max("max_at").over(earlier).alias("ready_before"),
-        F.coalesce(
-            F.max("syn_start").over(Window.partitionBy(*stream)),
-            F.min("min_start").over(Window.partitionBy(*stream)),
-        ).alias("base"),
-        F.max("max_end").over(Window.partitionBy(*stream)).alias("stream_end"),
+        F.max("max_end").over(before).alias("end_before"),
+        F.max("ready_here").over(before).alias("ready_before"),
+        F.coalesce(F.max("syn_start").over(whole), F.min("min_start").over(whole)).alias("base"),
+        F.max("max_end").over(whole).alias("stream_end"),
     )
     covered = F.greatest("end_here", "end_before", "base")
+    kept = local.select(*packets.columns, "end_here", "ready_here")
     return (
-        local.join(carried, [*stream, "slice"])
+        kept.join(carried, slices)
         .withColumn("cut", F.greatest(covered - F.col("start"), F.lit(0)))
         .filter(F.col("cut") < F.col("len"))
         .select(
@@ -194,7 +222,9 @@ def segment_index(flows: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame
             "cut",
             (F.col("len") - F.col("cut")).alias("len"),
             F.greatest("ready_here", "ready_before").alias("ready"),
-            "at",
+            "us",
+            "source",
+            "ord",
         )
     )
 
@@ -204,9 +234,8 @@ def with_bytes(
 ) -> DataFrame:
     """Join payloads to placed segments by their position in the capture."""
     payloads = port_filter(packets, ports).filter(F.octet_length("payload") > 0)
-    payloads = payloads.select("file", "ord", "payload")
-    placed = segments.withColumns({"file": F.col("at.file"), "ord": F.col("at.ord")})
-    return placed.join(payloads, ["file", "ord"]).select(
+    payloads = payloads.select(F.xxhash64("file").alias("source"), "ord", "payload")
+    return segments.join(payloads, ["source", "ord"]).select(
         *segments.columns,
         F.substring("payload", F.col("cut") + 1, F.col("len")).alias("bytes"),
     )
@@ -247,7 +276,7 @@ def pair_halves(placed: DataFrame) -> DataFrame:
         mine = F.col("from_server") if is_server else ~F.col("from_server")
         return [
             F.sum(F.when(mine, F.col("len"))).alias(f"{name}_bytes"),
-            F.min(F.when(mine, F.col("at.ts"))).alias(f"{name}_first"),
+            F.timestamp_micros(F.min(F.when(mine, F.col("us")))).alias(f"{name}_first"),
         ]
 
     return placed.groupBy("flow").agg(*side(False, "client"), *side(True, "server"))

@@ -13,21 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET = "__bucket"
+_BUCKET, _HASH = "__bucket", "__hash"
 
 
-def _local(kind: str, value: Column) -> Column:
+def _over(kind: str, value: Column) -> Column:
     if kind == "last":
         return F.last(value, ignorenulls=True)
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](value)
 
 
-def _total(kind: str, value: Column, order: Column) -> Column:
-    if kind == "last":
-        return F.max_by(value, F.when(value.isNotNull(), order))
-    return _local(kind, value)
-
-
 def _combine(kind: str, carried: Column, local: Column) -> Column:
     if kind == "sum":
         return F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
@@ -50,29 +44,38 @@ def running(
     column to ``(kind, value)``; with ``inclusive=False`` the current row is left out.  Ties in
     ``order`` must not occur.
     """
-    rows = df.withColumn(_BUCKET, bucket)
-    group = [*keys, _BUCKET]
-    frame = (
-        Window.partitionBy(*group)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
+    # Sorting compares the hash first, which is much cheaper than comparing text keys.
+    rows = df.withColumns({_HASH: F.xxhash64(*keys) if keys else F.lit(0), _BUCKET: bucket})
+    group = [_HASH, *keys, _BUCKET]
+    ordered = Window.partitionBy(*group).orderBy(*order)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select(
-        "*", *[_local(kind, c).over(frame).alias(f"__in_{n}") for n, (kind, c) in columns.items()]
+        "*",
+        *[
+            _over(kind, c).over(upto if inclusive else before).alias(f"__in_{n}")
+            for n, (kind, c) in columns.items()
+        ],
     )
-    position = F.struct(*order)
-    totals = rows.groupBy(*group).agg(
-        *[_total(kind, c, position).alias(f"__all_{n}") for n, (kind, c) in columns.items()]
+    # The last row of a bucket holds its totals.
+    totals = (
+        rows.select(
+            *group,
+            *[_over(kind, c).over(upto).alias(f"__all_{n}") for n, (kind, c) in columns.items()],
+            F.lead(F.lit(1)).over(ordered).alias("__more"),
+        )
+        .filter(F.col("__more").isNull())
+        .drop("__more")
     )
-    before = (
-        Window.partitionBy(*keys)
+    earlier = (
+        Window.partitionBy(_HASH, *keys)
         .orderBy(_BUCKET)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = totals.select(
         *group,
         *[
-            _local(kind, F.col(f"__all_{n}")).over(before).alias(f"__pre_{n}")
+            _over(kind, F.col(f"__all_{n}")).over(earlier).alias(f"__pre_{n}")
             for n, (kind, _) in columns.items()
         ],
     )

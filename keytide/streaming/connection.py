@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from keytide.functions.protocols import (
+    BINARY_FIRST_BYTE,
     INFER,
     LINE_LIMIT,
     MCTEXT,
     REDIS,
+    REDIS_FIRST_BYTE,
     REDIS_GET_VERBS,
     Bad,
     Message,
@@ -128,8 +130,8 @@ class Connection:
         if self.protocol is None and not half.from_server:
             self.protocol = self.choice
             if self.choice == INFER:
-                self.protocol = REDIS if data[:1] == b"*" else MCTEXT
-            self.ignored = self.protocol == MCTEXT and data[:1] == b"\x80"
+                self.protocol = REDIS if data[0] == REDIS_FIRST_BYTE else MCTEXT
+            self.ignored = self.protocol == MCTEXT and data[0] == BINARY_FIRST_BYTE
         dropped = min(half.skip, len(data))
         half.skip -= dropped
         if self.ignored or (half.from_server and not self.synced):
