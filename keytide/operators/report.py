@@ -16,6 +16,8 @@ from keytide.operators.events import filter_keys, hits_and_misses
 
 # Fixed value: most rows a report shows.
 MAX_TOP = 65535
+# Beyond this many rows per partition, the final sort of a report is preceded by a selection.
+SMALL_TOP = 1000
 
 _ROWS = "__rows"
 _BUCKET = "__hdr"
@@ -192,6 +194,30 @@ def above(
     return df.filter(quoted(rank_by) >= threshold)
 
 
+def _level(value: Column) -> Column:
+    """Coarse logarithmic level of a value: never falls as the value rises, under 9000 levels."""
+    return (F.signum(value) * F.floor(F.log2(F.abs(value.cast("double")) + 1) * 64)).cast("int")
+
+
+def preselect(df: DataFrame, column: str, top: int) -> DataFrame:
+    """Drop rows that can not be among the ``top`` largest of ``column``.
+
+    Counting rows per level finds the lowest level that still matters.  What is left is little more
+    than ``top`` rows, so that the final sort in one task does not see ``top`` rows of every
+    partition of a large report.
+    """
+    level = _level(quoted(column))
+    counts = df.groupBy(level.alias("__level")).agg(F.count(F.lit(1)).alias("__n"))
+    above_level = Window.orderBy(F.col("__level").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    needed = (
+        counts.withColumn("__above", F.coalesce(F.sum("__n").over(above_level), F.lit(0)))
+        .filter(F.col("__above") < top)
+        .agg(F.min("__level"))
+        .scalar()
+    )
+    return df.filter(level >= needed)
+
+
 def top_per(
     df: DataFrame,
     by: Sequence[str],
@@ -253,6 +279,9 @@ class HotKeys:
     def run(self, events: DataFrame) -> DataFrame:
         """Groups at or above the threshold, ranked, at most ``top``."""
         kept = above(self.full(events), self.spec, self.threshold, self.rank_by)
+        rank_by = self.rank_by or self.spec.rank_by
+        if self.top > SMALL_TOP and rank_by is not None:
+            kept = preselect(kept, rank_by, self.top)
         return kept.orderBy(*ranking(self.spec, self.rank_by)).limit(self.top)
 
 

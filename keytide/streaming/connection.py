@@ -66,6 +66,7 @@ class Connection:
     server: Half = field(default_factory=lambda: Half(True))
     waiting: deque = field(default_factory=deque)
     waiting_bytes: int = 0
+    ended: int = 0
 
     def add(
         self, steps: dict[str, Protocol], from_server: bool, seq: int, syn: bool, payload: bytes
@@ -92,6 +93,12 @@ class Connection:
             yield from self._deliver(steps, half, payload[-ahead:])
             yield from self._take_early(steps, half)
 
+    def closes(self, from_server: bool, fin: bool, rst: bool) -> bool:
+        """Whether this packet ends the connection: a reset, or the second direction's end."""
+        if fin:
+            self.ended |= 2 if from_server else 1
+        return rst or self.ended == 3
+
     def finish(self, steps: dict[str, Protocol]) -> Iterator[Event]:
         """Read what is left behind gaps: the connection is over or idle."""
         for half in (self.client, self.server):

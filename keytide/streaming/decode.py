@@ -43,8 +43,9 @@ class ConnectionProcessor(StatefulProcessor):
         connection = self._load()
         packets = pd.concat(list(rows)).sort_values(["us", "file", "ord"], kind="stable")
         out, lost = [], connection.lost
-        columns = ["us", "from_server", "seq", "syn", "payload"]
-        for us, from_server, seq, syn, payload in packets[columns].itertuples(index=False, name=None):
+        columns = ["us", "from_server", "seq", "syn", "fin", "rst", "payload"]
+        rows = packets[columns].itertuples(index=False, name=None)
+        for us, from_server, seq, syn, fin, rst, payload in rows:
             if connection.last_us and us - connection.last_us > self.idle_us:
                 found = connection.finish(self.steps)
                 out += self._rows(key, connection, connection.last_us, found)
@@ -52,6 +53,10 @@ class ConnectionProcessor(StatefulProcessor):
             connection.last_us = max(us, connection.last_us)
             found = connection.add(self.steps, from_server, seq, syn, payload)
             out += self._rows(key, connection, us, found)
+            if connection.closes(from_server, fin, rst):
+                out += self._rows(key, connection, us, connection.finish(self.steps))
+                lost_so_far, connection = connection.lost, Connection(self.protocol, self.max_pending)
+                connection.lost, connection.last_us = lost_so_far, us
         lost = connection.lost - lost
         if lost:
             out.append((connection.last_us, key[0], connection.protocol, "lost", None, 0, lost))
@@ -104,6 +109,8 @@ def stream_events(
         "from_server",
         "seq",
         "syn",
+        "fin",
+        "rst",
         "payload",
     ).withWatermark("ts", delay)
     return rows.groupBy("conn").transformWithStateInPandas(
