@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keytide.functions.spec import DEFAULT_SPEC, ReportSpec, report_spec
-from keytide.functions.text import rfc3339
+from keytide.functions.text import percentage, rfc3339
 from keytide.operators import report as R
 from keytide.operators import stats as S
+from keytide.plans.cut import cut
 
 # Field names of a JSON report, in order (the spelling of the sixth word of the
 # statistics is part of the format).
@@ -57,18 +58,34 @@ def json_reports(
     keys = by or ["__all"]
     if not by:
         full = full.withColumn("__all", F.lit(0))
+    # Read twice below: once for the totals, once for the rows.
+    full = cut(full)
     order = R.ranking(spec, rank_by)
     shown = R.top_per(
         R.above(full, spec, threshold, rank_by), keys, order, top, spec.key_names or keys
     )
-    summary = R.totals(full, shown, rank_by, keys)
+
+    def counted(side: str) -> list[Column]:
+        return [
+            F.count(F.lit(1)).alias(f"{side}_keys"),
+            F.sum(R.quoted(rank_by)).alias(f"{side}_bytes"),
+        ]
+
+    rows = F.collect_list(F.struct(F.col("rank"), row_struct(spec).alias("row")))
     listed = shown.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("rank"), row_struct(spec).alias("row"))))
-        .getField("row")
-        .alias("Rows")
+        *counted("reported"), F.array_sort(rows).getField("row").alias("Rows")
     )
     empty = F.array().cast(listed.schema["Rows"].dataType)
-    out = summary.join(listed, keys, "left").withColumn("Rows", F.coalesce("Rows", empty))
+    out = full.groupBy(*keys).agg(*counted("total")).join(listed, keys, "left")
+    out = out.withColumns(
+        {
+            "Rows": F.coalesce("Rows", empty),
+            "reported_keys": F.coalesce("reported_keys", F.lit(0).cast("long")),
+            "reported_bytes": F.coalesce("reported_bytes", F.lit(0).cast("long")),
+        }
+    ).withColumn(
+        "reported_percentage", percentage(F.col("reported_bytes"), F.col("total_bytes"))
+    )
     stamp = stamp if stamp is not None else F.col("window_end")
     out = out.withColumn("Timestamp", rfc3339(stamp))
     fields = [F.col(c).alias(n) for n, c in FIELDS.items()]

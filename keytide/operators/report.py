@@ -207,12 +207,18 @@ def preselect(df: DataFrame, column: str, top: int) -> DataFrame:
     partition of a large report.
     """
     level = _level(quoted(column))
-    counts = df.groupBy(level.alias("__level")).agg(F.count(F.lit(1)).alias("__n"))
+    # Reading every column here lets both uses of the report share one shuffle; with fewer columns
+    # the input would be read and aggregated a second time.
+    digest = F.bit_xor(F.xxhash64(*[quoted(c) for c in df.columns]))
+    counts = df.groupBy(level.alias("__level")).agg(
+        F.count(F.lit(1)).alias("__n"), digest.alias("__digest")
+    )
     above_level = Window.orderBy(F.col("__level").desc()).rowsBetween(Window.unboundedPreceding, -1)
     needed = (
         counts.withColumn("__above", F.coalesce(F.sum("__n").over(above_level), F.lit(0)))
         .filter(F.col("__above") < top)
-        .agg(F.min("__level"))
+        .agg(F.min(F.struct("__level", "__digest")).alias("__lowest"))
+        .select("__lowest.__level")
         .scalar()
     )
     return df.filter(level >= needed)

@@ -88,6 +88,14 @@ def start_events(
 
 
 def _start(states: DataFrame, mode: str, emit: Sink, checkpoint: str, trigger: dict) -> StreamingQuery:
-    writer = states.writeStream.outputMode(mode).foreachBatch(emit)
+    def once(batch: DataFrame, number: int) -> None:
+        # A sink may read the batch more than once; the stateful part runs only once.
+        batch.persist()
+        try:
+            emit(batch, number)
+        finally:
+            batch.unpersist()
+
+    writer = states.writeStream.outputMode(mode).foreachBatch(once)
     writer = writer.option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
