@@ -19,7 +19,11 @@ OVERFLOW = 9223372036854775807
 def bucket_top(size: Column) -> Column:
     """Largest value counted in the same bucket as ``size``; a negative size is an error."""
     v = F.least(size.cast("long"), F.lit(MAX_VALUE).cast("long"))
-    shift = F.greatest(F.length(F.bin(v)) - SIGNIFICANT_BITS, F.lit(0))
+    # One for each power of two from 2^11 that the value reaches.
+    shift = sum(
+        ((v >= (1 << bit)).cast("int") for bit in range(SIGNIFICANT_BITS, MAX_VALUE.bit_length())),
+        F.lit(0),
+    )
     low = F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
     top = low + F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
     return F.when(size < 0, F.raise_error(F.lit("negative size in a percentile"))).otherwise(top)
