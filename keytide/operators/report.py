@@ -16,8 +16,8 @@ from keytide.operators.events import filter_keys, hits_and_misses
 
 # Fixed value: most rows a report shows.
 MAX_TOP = 65535
-# Beyond this many rows per partition, the final sort of a report is preceded by a selection.
-SMALL_TOP = 1000
+# If the final task of a ranked report could get more rows than this, a selection comes first.
+FINAL_ROWS = 5_000_000
 
 _ROWS = "__rows"
 _BUCKET = "__hdr"
@@ -286,7 +286,8 @@ class HotKeys:
         """Groups at or above the threshold, ranked, at most ``top``."""
         kept = above(self.full(events), self.spec, self.threshold, self.rank_by)
         rank_by = self.rank_by or self.spec.rank_by
-        if self.top > SMALL_TOP and rank_by is not None:
+        parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if self.top * parts > FINAL_ROWS and rank_by is not None:
             kept = preselect(kept, rank_by, self.top)
         return kept.orderBy(*ranking(self.spec, self.rank_by)).limit(self.top)
 

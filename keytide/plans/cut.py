@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Used on narrow intermediate tables that several later steps read, so that those steps neither
-    repeat the work nor lose it with an executor.  The folder is the one the cluster names in
-    ``spark.checkpoint.dir``; only a local session without that setting gets a temporary one.
+    Only a local session without that setting gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -22,4 +20,14 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="keytide-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and go on from there.
+
+    Used on narrow intermediate tables that several later steps read, so that those steps neither
+    repeat the work nor lose it with an executor.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
