@@ -8,7 +8,6 @@ from checks import tables as t
 from checks import traffic as w
 from keytide.functions.protocols import INFER, MCTEXT, REDIS
 from keytide.operators import conversations as C
-from keytide.operators import frames as D
 from keytide.operators import segments as S
 from keytide.operators.report import HotKeys
 from keytide.plans.capture import capture_hot_keys

@@ -22,7 +22,6 @@ REDIS_FIRST_BYTE = 0x2A
 BINARY_FIRST_BYTE = 0x80
 LINE_LIMIT = 32 * 1024
 CAPTURE_LIMIT = 1024
-NESTING_LIMIT = 8
 
 _WORD = re.compile(rb"[a-zA-Z]+")
 _INT = re.compile(rb"[+-]?[0-9]{1,18}")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keytide.functions import hdr
 from keytide.functions.spec import DEFAULT_SPEC, ReportSpec, report_spec
 from keytide.operators import report as R
 

@@ -73,12 +73,18 @@ def parse_replies(lines: DataFrame) -> DataFrame:
 
 
 def until_quit(commands: DataFrame) -> DataFrame:
-    """Commands of each connection before its first ``quit``."""
+    """Commands of each connection before its first ``quit``.
+
+    Adds ``nth``, the number of valid commands with a reply before each.
+    """
+    unit = (F.col("valid") & F.col("has_reply")).cast("long")
     seen = running(
         commands, ["conn"], F.floor(F.col("msg_no") / _SLICE_ROWS), [F.col("msg_no")],
-        {"quits": ("max", (F.col("cmd_class") == "quit").cast("int"))},
+        {"quits": ("max", (F.col("cmd_class") == "quit").cast("int")), "units": ("sum", unit)},
+    )
+    return seen.filter(F.col("quits") == 0).select(
+        *commands.columns, (F.col("units") - unit).alias("nth")
     )
-    return seen.filter(F.col("quits") == 0).drop("quits")
 
 
 def number_units(messages: DataFrame, keys: list[str], order: str, unit: Column, name: str) -> DataFrame:
@@ -92,8 +98,7 @@ def number_units(messages: DataFrame, keys: list[str], order: str, unit: Column,
 
 def events_of_lines(lines: DataFrame) -> DataFrame:
     """Hits from request and reply lines: each value of the n-th reply belongs to the n-th request."""
-    commands = until_quit(parse_commands(lines.filter(~F.col("from_server"))))
-    asked = number_units(commands.filter("valid AND has_reply"), ["conn"], "msg_no", F.lit(1), "nth")
+    asked = until_quit(parse_commands(lines.filter(~F.col("from_server"))))
     gets = asked.filter((F.col("cmd_class") == "get") & (F.size("args") > 0)).select("conn", "nth")
     replies = parse_replies(lines.filter(F.col("from_server")))
     values = number_units(replies, ["conn"], "msg_no", F.col("ends_reply"), "nth")

@@ -244,7 +244,7 @@ def top_per(
         sliced.withColumn("__rank", F.row_number().over(first))
         .filter(F.col("__rank") <= top)
         .drop("__rank", "__part")
-        .withColumn("rank", F.row_number().over(final))
+        .withColumn("rank", F.row_number().over(final).cast("long"))
         .filter(F.col("rank") <= top)
     )
 

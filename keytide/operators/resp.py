@@ -13,9 +13,6 @@ from keytide.functions.protocols import Bad, Short, resp_value
 # Fixed value: arrays a value may be nested in.
 MAX_ARRAYS = 6
 
-# Tags of leaves, as shown in the result.
-LEAF_TAGS = ("status", "error", "int", "bulk", "nil", "array", "short", "bad")
-
 
 def leaves(data: bytes, capture: int) -> Iterator[tuple]:
     """``(path, tag, text, number, length)`` of each leaf of the first value in ``data``.
@@ -55,8 +52,9 @@ def leaves(data: bytes, capture: int) -> Iterator[tuple]:
 def decode_resp(df: DataFrame, payload: str = "payload", capture: int = 0) -> DataFrame:
     """Decode one RESP value per row to leaves; the other columns are repeated.
 
-    Adds ``path`` (positions in the enclosing arrays), ``depth``, ``tag``, ``bytes`` (status and
-    error texts, and bulk strings up to ``capture`` bytes), ``number`` and ``length``.
+    Adds ``path`` (positions in the enclosing arrays), ``depth``, ``tag`` (``status``, ``error``,
+    ``int``, ``bulk``, ``nil``, ``array`` if empty, ``short``, ``bad``), ``bytes`` (status and error
+    texts, and bulk strings up to ``capture`` bytes), ``number`` and ``length``.
     """
     kept = [f for f in df.schema.fields if f.name != payload]
     names = [f.name for f in kept]

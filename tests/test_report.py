@@ -279,3 +279,33 @@ def test_cut_needs_a_shared_folder(spark):
 
     frame = spark.range(5)
     assert cut(frame).count() == 5
+
+
+def test_lines_pair_by_ordinal_until_quit(spark):
+    from keytide.operators.lines import events_of_lines
+
+    client = ["get a b", "set a 0 0 3 noreply", "stats", "?!", "get c", "quit", "get d"]
+    server = ["VALUE a 0 1", "VALUE b 0 2", "END", "STAT x 1", "END", "VALUE c 0 3", "END", "VALUE d 0 4", "END"]
+    rows = [("x", False, i, line) for i, line in enumerate(client)]
+    rows += [("x", True, i, line) for i, line in enumerate(server)]
+    lines = spark.createDataFrame(rows, "conn string, from_server boolean, msg_no long, line string")
+    found = events_of_lines(lines).select("key", "size").collect()
+    assert sorted(found) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_connection_labels(spark):
+    from keytide.operators.frames import conn_label, peer_label, with_connection
+
+    rows = [("10.0.0.1", 6379, "10.0.0.2", 40000), ("10.0.0.2", 40000, "10.0.0.1", 6379)]
+    packets = spark.createDataFrame(rows, "src_ip string, src_port int, dst_ip string, dst_port int")
+    found = with_connection(packets).select("from_server", conn_label(F.col("conn")), peer_label(F.col("conn")))
+    label = "10.0.0.1:6379 -> 10.0.0.2:40000"
+    assert sorted(found.collect()) == [(False, label, "10.0.0.2:40000"), (True, label, "10.0.0.2:40000")]
+
+
+def test_drop_label(spark):
+    row = spark.range(1).select(
+        text.drop_label(F.lit(1), F.lit(2), F.lit(0), F.lit(1000)).alias("label"),
+        text.drop_rate(F.lit(3), F.lit(0)).alias("none"),
+    ).first()
+    assert row["label"] == "Dropped: 1+2+0=3 ( 0.30%)" and row["none"] == 0.0
