@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,4 +25,7 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             out.write(source, source.relative_to(root.parent))
     context.addPyFile(str(archive))
+    # Helper processes of stateful streams run beside the driver and look only here.
+    paths = [str(root.parent), context.environment.get("PYTHONPATH", "")]
+    context.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     _shipped.add(context.applicationId)
