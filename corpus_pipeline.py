@@ -1,3 +1,86 @@
-"""Placeholder until the stages are written."""
-QUERIES = {}
-SQL = {}
+"""From raw documents to packed training sequences, each stage on all that the one before kept.
+
+A stage takes ``(spark, docs, sf_dir)`` and returns a table that is written and read again as the next
+one's ``docs``. All but the last return the columns of ``docs`` as they are:
+
+1. quality rules: rows that the rules or the isolation forest reject go;
+2. Jaccard join (five-word shingles, 80 %): of each group of linked documents the one with the smallest
+   ``doc_id`` stays;
+3. decontamination: rows with a benchmark window go;
+4. secrets: found spans are replaced by ``[SECRET]``, ``n_chars`` follows, no row goes;
+5. packing: one row per piece of a document and its place.
+
+Null texts count as empty; empty texts go in the first stage. Empty tables pass through all stages.
+Columns that the stages do not know stay, whatever their names.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from checks.ship import ship
+from keytide.llm.common import read, stage
+from keytide.llm.decontaminate import drop_contaminated
+from keytide.llm.jaccard import jaccard_join
+from keytide.llm.packing import pack
+from keytide.llm.quality_rules import drop_low_quality
+from keytide.llm.secrets import redact_secrets
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return drop_low_quality(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each linked group: the smallest id, of equal ids the first text; wordless rows stay."""
+    ship(spark)
+    linked = jaccard_join(docs)
+    first = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = stage(first.groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows")), "kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id"))
+    kept = docs.join(ids, same, "left_semi")
+    if ids.filter("__rows > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])  # repeated rows
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+
+#: Models decide in two stages and a tokenizer's ids in the last, so SQL cannot express the result.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``."""
+    docs = read(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+SQL: dict[str, str] = {}

@@ -84,3 +84,15 @@ def byte_texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column of a batch as bytes, empty for null."""
     values = batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
     return [v or b"" for v in values]
+
+
+def portions(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that together have about ``size`` bytes, at least one text each."""
+    low = total = 0
+    for i, text in enumerate(texts):
+        total += len(text)
+        if total >= size:
+            yield low, i + 1
+            low, total = i + 1, 0
+    if low < len(texts):
+        yield low, len(texts)

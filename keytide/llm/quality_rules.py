@@ -1,7 +1,7 @@
-"""Quality rules: exact rule statistics, and an isolation forest over them.
+"""Quality rules: exact rule statistics, and an isolation forest over their ratios.
 
-The base rules reject short and repetitive texts. The forest looks at the statistics of the rest:
-random splits of small samples isolate unusual documents after few steps, so a short mean path marks
+The base rules reject short and repetitive texts. The forest looks at the statistics of the rest, in steps of a tenth
+(finer ones single out ordinary texts): random splits of small samples isolate unusual documents after few steps, so a short mean path marks
 an anomaly. The score above which a document is rejected is calibrated on labelled rows: at most
 ``clean_loss`` of the clean ones may score higher.
 """
@@ -30,7 +30,9 @@ _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(0x41, 0x5B))
 _LETTERS = _UPPER + bytes(range(0x61, 0x7B))
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["symbols", "upper", "marks", "word_length", "dup_lines", "repeats"]
+FEATURES = ["symbols", "upper", "marks", "word_length", "neighbours"]
+#: Words of an ordinary text that every feature is averaged with, so that short texts are no outliers.
+PRIOR_WORDS, PRIOR_LENGTH, PRIOR_UPPER = 20, 5.7, 0.03
 
 
 def _without(text: bytes, some: bytes) -> int:
@@ -56,16 +58,17 @@ def statistics(text: bytes, hashes: WordHashes) -> tuple[list[int], list[float]]
     lines = [line for line in text.split(b"\n") if line.strip()]
     chars = len(text.translate(None, _SPACE + _CONTINUATION))
     symbols, dup_lines = _without(text, _SYMBOLS), len(lines) - len(set(lines))
-    repeats = repeated_words(hashes.of(words)) if len(words) > 8 else 0
-    n = max(1, len(words))
+    ids = hashes.of(words)
+    repeats = repeated_words(ids) if len(words) > 8 else 0
+    n, letters = len(words) + PRIOR_WORDS, PRIOR_WORDS * 6
     features = [
         min(2.0, symbols / n),
-        _without(text, _UPPER) / max(1, _without(text, _LETTERS)),
+        (_without(text, _UPPER) + PRIOR_UPPER * letters) / (_without(text, _LETTERS) + letters),
         min(2.0, _without(text, b"!?") / n),
-        min(20.0, chars / n),
-        dup_lines / max(1, len(lines)),
-        repeats / n,
+        min(20.0, (chars + PRIOR_LENGTH * PRIOR_WORDS) / n) / 10,
+        int(np.count_nonzero(ids[1:] == ids[:-1])) / n,
     ]
+    features = [round(f, 1) for f in features]
     return [len(words), chars, symbols, dup_lines, repeats], features
 
 
@@ -174,7 +177,7 @@ def rule_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, schema)
 
 
-def fit_forest(stats: DataFrame, labels: DataFrame, clean_loss: float = 0.002) -> Forest:
+def fit_forest(stats: DataFrame, labels: DataFrame, clean_loss: float = 0.005) -> Forest:
     """Grow the forest on a bounded sample and calibrate it on a bounded sample of labelled rows.
 
     ``labels`` has ``doc_id`` and ``quality`` (1 is clean). Rows that the base rules reject take no part.
@@ -191,7 +194,7 @@ def fit_forest(stats: DataFrame, labels: DataFrame, clean_loss: float = 0.002) -
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", clean_loss: float = 0.002
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", clean_loss: float = 0.005
 ) -> DataFrame:
     """Statistics and verdict per input row.
 
@@ -218,7 +221,7 @@ def quality_rules(
     return stats.mapInArrow(run, schema)
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, text: str = "text", clean_loss: float = 0.002) -> DataFrame:
+def drop_low_quality(docs: DataFrame, labels: DataFrame, text: str = "text", clean_loss: float = 0.005) -> DataFrame:
     """``docs`` without the rows that the rules or the forest reject; all columns stay as they are."""
     stats = stage(rule_statistics(docs, "doc_id", text), "rules")
     forest = fit_forest(stats, labels, clean_loss)

@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from keytide.llm.common import read
 from keytide.llm.decontaminate import contamination
 from keytide.llm.jaccard import jaccard_join
+from keytide.llm.packing import pack
 from keytide.llm.quality_rules import quality_rules
+from keytide.llm.secrets import find_secrets
+from keytide.llm.token_counts import token_counts
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets found by the patterns and the character network."""
+    return find_secrets(read(spark, sf_dir, "documents")).drop("n_model")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are 85 % alike."""
     found = jaccard_join(read(spark, sf_dir, "documents"), size=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence-piece tokens of each document."""
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 2048 tokens."""
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside windows of benchmark items."""
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -29,9 +48,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("score")
 
 
-QUERIES = {
-    f.__name__: f for f in (op5_jaccard_join, op8_benchmark_decontamination, op9_quality_rules)
-}
+_ALL = (
+    op2_secret_scan,
+    op5_jaccard_join,
+    op6_token_counts,
+    op7_best_fit_packing,
+    op8_benchmark_decontamination,
+    op9_quality_rules,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 SQL = {
     "op5_jaccard_join": rf"""
