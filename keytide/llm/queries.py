@@ -9,9 +9,11 @@ from keytide.llm.common import read
 from keytide.llm.decontaminate import contamination
 from keytide.llm.jaccard import jaccard_join
 from keytide.llm.packing import pack
+from keytide.llm.quality_model import quality_scores
 from keytide.llm.quality_rules import quality_rules
 from keytide.llm.secrets import find_secrets
 from keytide.llm.token_counts import token_counts
+from keytide.llm.toxicity import toxicity
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -21,6 +23,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "documents")).drop("n_model")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document by the random field, with the offending spans."""
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document by the hashed n-gram model."""
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are 85 % alike."""
     found = jaccard_join(read(spark, sf_dir, "documents"), size=4, percent=85)
@@ -50,6 +62,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op2_secret_scan,
+    op3_toxicity,
+    op4_quality_classifier,
     op5_jaccard_join,
     op6_token_counts,
     op7_best_fit_packing,
