@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keytide.llm.common import read
 from keytide.llm.decontaminate import contamination
+from keytide.llm.html_text import extract_text
 from keytide.llm.jaccard import jaccard_join
 from keytide.llm.packing import pack
 from keytide.llm.quality_model import quality_scores
@@ -14,10 +15,16 @@ from keytide.llm.quality_rules import quality_rules
 from keytide.llm.secrets import find_secrets
 from keytide.llm.token_counts import token_counts
 from keytide.llm.toxicity import toxicity
+from keytide.llm.warc import round_trip
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives and read back."""
+    return round_trip(read(spark, sf_dir, "pages"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets found by the patterns and the character network."""
     return find_secrets(read(spark, sf_dir, "documents")).drop("n_model")
@@ -60,7 +67,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("score")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 _ALL = (
+    op1_warc_round_trip,
     op2_secret_scan,
     op3_toxicity,
     op4_quality_classifier,
@@ -69,10 +82,22 @@ _ALL = (
     op7_best_fit_packing,
     op8_benchmark_decontamination,
     op9_quality_rules,
+    op10_html_extraction,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 SQL = {
+    "op1_warc_round_trip": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+        ), q AS (
+            SELECT page_id, n, sha1(h) AS digest, max(page_id) OVER (PARTITION BY h) AS latest FROM p
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < latest THEN latest END AS refers_to
+        FROM q
+    """,
     "op5_jaccard_join": rf"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
