@@ -6,13 +6,15 @@ hashes of different shingles or sets:
 
 * Documents with equal sets form a class; only classes are compared.
 * First order: by hash. With ``l(n) = 1 + n // 20``, linked sets share at least ``l`` of the first
-  ``n - ceil(percent * n / 100) + l`` tokens (the ``l`` smallest common ones are there).
-* Second order: by frequency, within those heads. Of a head's tokens all but the ``l - 1`` most
-  frequent ones form the prefix, so linked sets share a prefix token. Tokens of one document only
-  fill prefixes without joining anything, which leaves out nearly all unrelated documents.
+  ``n - ceil(percent * n / 100) + l`` tokens (the ``l`` smallest common ones are there). Classes
+  with fewer tokens in their head that any other document's head holds are out, nearly all of them.
+* Second order: by frequency, over the whole sets of the rest. All but the ``ceil(percent * n / 100) - 1``
+  most frequent tokens form the prefix, and linked sets share a prefix token. Tokens of one class
+  only come first and join nothing. At the first token two sets share, the tokens from there on must
+  suffice for the overlap that their two sizes ask for.
 * Third order: by hash, descending. The ``n - ceil(percent * n / 100) + 1`` largest tokens of linked
-  sets intersect. Candidates of the first two orders that fail this, or the length bound, are
-  dropped before the sets are intersected.
+  sets intersect. Candidates of the other orders that fail this are dropped before the sets are
+  intersected.
 
 Sharing a prefix token puts classes into a bucket. Pairs of a bucket are never listed: each class is
 compared with one pivot first, classes that link become one component, and later rounds compare
@@ -34,6 +36,8 @@ from keytide.llm.common import WordHashes, columns, ngram_hashes, raw, stage
 from keytide.llm.graph import components
 
 _SPARE = 20
+#: Classes up to which their table goes to all tasks; beyond, documents are shuffled by id.
+SENT_ROWS = 1_000_000
 
 
 def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
@@ -67,16 +71,13 @@ def _describe(docs: DataFrame, key: str, text: str, size: int, percent: int) ->
         for batch in batches:
             ids, texts = columns(batch, "doc_id", "text")
             sets = [shingle_set(t, size, hashes) for t in texts]
-            heads = [s[: head_length(len(s), percent)].view(np.int64) for s in sets]
-            offsets = np.cumsum([0, *map(len, heads)], dtype=np.int32)
+            heads = [s[: head_length(len(s), percent)] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_class(s) for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(
-                        offsets, pa.array(np.concatenate([np.empty(0, np.int64), *heads]))
-                    ),
+                    _lists(heads),
                 ],
                 ["doc_id", "n_shingles", "cls", "head"],
             )
@@ -89,26 +90,40 @@ def _class(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([np.empty(0, np.uint64), *values]).view(np.int64)
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)], dtype=np.int32), pa.array(flat))
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    flat = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    offsets = column.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(offsets, offsets[1:])]
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``cls, tokens`` of the wanted classes, from the text of one document of each."""
+    """``cls, n, tokens`` of the wanted classes, from the text of one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             classes, texts = columns(batch, "cls", "text")
             sets = [shingle_set(t, size, hashes) for t in texts]
-            found = [(c, s.tobytes()) for c, s in zip(classes, sets) if _class(s) == c]
+            found = [(c, s) for c, s in zip(classes, sets) if _class(s) == c]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([c for c, _ in found], pa.int64()),
-                    pa.array([s for _, s in found], pa.binary()),
+                    pa.array([len(s) for _, s in found], pa.int64()),
+                    _lists([s for _, s in found]),
                 ],
-                ["cls", "tokens"],
+                ["cls", "n", "tokens"],
             )
 
+    if wanted.count() <= SENT_ROWS:
+        wanted = F.broadcast(wanted)
     rows = docs.select(F.col(key).cast("long").alias("id"), raw(text).alias("text"))
     rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("cls", "text")
-    return rows.mapInArrow(run, "cls long, tokens binary").dropDuplicates(["cls"])
+    return rows.mapInArrow(run, "cls long, n long, tokens array<long>").dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -116,37 +131,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = columns(batch, "a", "b", "x", "y")
-            keep = [
-                linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent)
-                for p, q in zip(x, y)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([v for v, k in zip(a, keep) if k], pa.int64()),
-                    pa.array([v for v, k in zip(b, keep) if k], pa.int64()),
-                ],
-                ["a", "b"],
-            )
+            x, y = (_arrays(batch.column(i)) for i in (2, 3))
+            keep = pa.array([linked(p, q, percent) for p, q in zip(x, y)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
 
-    both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+    both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
+    both = both.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _length_bound(percent: int):
-    return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings whose token others have too, with its frequency ``df``."""
+    frequent = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    return postings.join(frequent, "token")
+
+
+def _survivors(described: DataFrame, percent: int) -> DataFrame:
+    """``cls, rep`` of the classes that the first order leaves."""
+    classes = described.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    heads = described.select("cls", F.col("n_shingles").alias("n"), F.explode("head").alias("token"))
+    hits = _shared(heads).groupBy("cls", "n").agg(F.count("*").alias("hits")).join(classes, "cls")
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / _SPARE)
+    return hits.filter(F.col("hits") >= least * F.col("copies")).select("cls", "rep")
+
+
+def _buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """``token, cls, n, reach`` of every prefix token under the second order that classes share.
+
+    ``reach`` is the number of tokens from this one on.
+    """
+    shared = _shared(sets.select("cls", "n", F.explode("tokens").alias("token")))
+    shared = shared.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    prefixes = shared.withColumn("alone", alone).withColumn("prefix", prefix.cast("int")).filter("prefix > 0")
+    return prefixes.select(
+        "cls", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("at", "s")
+    ).select(F.col("s.token").alias("token"), "cls", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("reach"))
+
+
+def _able(percent: int):
+    """Whether a class (``n, reach``) and a pivot ``p`` can link if this is the first token they share."""
+    overlap = F.ceil((F.col("n") + F.col("p.n")) * percent / (100 + percent))
+    return F.least("reach", "p.reach") >= overlap
 
 
 def _rounds(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``cls, comp`` of the classes that link with another one."""
-    pivot = buckets.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("p"))
+    pivot = buckets.groupBy("token").agg(F.min(F.struct("cls", "n", "reach")).alias("p"))
     nearest = (
         buckets.join(pivot, "token")
-        .select(F.col("p.cls").alias("a"), F.col("p.n").alias("m"), F.col("cls").alias("b"), "n")
-        .filter(F.col("a") != F.col("b"))
-        .filter(_length_bound(percent))
-        .groupBy("b")
-        .agg(F.min("a").alias("a"))
+        .filter((F.col("p.cls") != F.col("cls")) & _able(percent))
+        .groupBy(F.col("cls").alias("b"))
+        .agg(F.min("p.cls").alias("a"))
     )
     edges = stage(_verified(nearest, sets, percent), "links")
     comp = components(edges)
@@ -161,22 +198,20 @@ def _rounds(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return comp.withColumnRenamed("node", "cls")
         part = F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))
         chosen = named.groupBy("token", part.alias("part")).agg(
-            F.min(F.struct("cls", "n", "comp")).alias("p")
+            F.min(F.struct("cls", "n", "reach", "comp")).alias("p")
         )
         chosen = stage(chosen.select("token", "p"), "pivots")
         pairs = (
             named.join(chosen, "token")
-            .filter(F.col("p.comp") != F.col("comp"))
-            .select(F.col("p.cls").alias("a"), F.col("p.n").alias("m"), F.col("cls").alias("b"), "n")
-            .filter(_length_bound(percent))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .filter((F.col("p.comp") != F.col("comp")) & _able(percent))
+            .select(F.least("p.cls", "cls").alias("a"), F.greatest("p.cls", "cls").alias("b"))
             .distinct()
         )
         edges = stage(edges.union(_verified(pairs, sets, percent)), "links")
         comp = components(edges)
         compared = chosen.select("token", F.col("p.cls").alias("cls"))
-        buckets = named.join(compared, ["token", "cls"], "left_anti").select("token", "cls", "n")
-        pivots *= 8
+        buckets = named.drop("comp").join(compared, ["token", "cls"], "left_anti")
+        pivots *= 6
 
 
 def jaccard_join(
@@ -195,29 +230,11 @@ def jaccard_join(
     """
     described = stage(_describe(docs, key, text, size, percent), "described")
     full = described.filter("n_shingles > 0")
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    postings = full.select("cls", F.col("n_shingles").alias("n"), F.explode("head").alias("token"))
-    frequent = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = (
-        postings.join(frequent, "token")
-        .groupBy("cls", "n")
-        .agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("shared"))
-    )
-    smallest_partner = F.ceil(F.col("n") * percent / 100)
-    prefix = F.size("shared") - F.floor(smallest_partner / _SPARE)
-    prefixes = (
-        shared.withColumn("prefix", prefix.cast("int"))
-        .filter("prefix > 0")
-        .select("cls", "n", F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("s"))
-        .select(F.col("s.token").alias("token"), "cls", "n")
-    )
-    prefixes = stage(prefixes, "prefixes")
-    several = prefixes.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y"))
-    buckets = prefixes.join(several.filter("x <> y").select("token"), "token")
-    buckets = stage(buckets, "buckets")
-    wanted = classes.join(buckets.select("cls").distinct(), "cls")
+    wanted = stage(_survivors(full, percent), "survivors")
     sets = stage(_sets(docs, wanted, key, text, size), "sets")
+    buckets = stage(_buckets(sets, percent), "buckets")
     comp = _rounds(buckets, sets, percent)
+    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"))
     named = classes.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = stage(named, "named")
     first = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
