@@ -38,6 +38,8 @@ from keytide.llm.graph import components
 _SPARE = 20
 #: Classes up to which their table goes to all tasks; beyond, documents are shuffled by id.
 SENT_ROWS = 1_000_000
+#: Pivots of a bucket in the first round of all pivots; later rounds take 8 times as many.
+_PIVOTS = 8
 
 
 def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
@@ -127,17 +129,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) ->
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of classes that link."""
+    """Edges ``a, b`` between the components ``ca, cb`` of the classes ``a, b`` that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (_arrays(batch.column(i)) for i in (2, 3))
             keep = pa.array([linked(p, q, percent) for p, q in zip(x, y)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
+            yield batch.select(["ca", "cb"]).filter(keep).rename_columns(["a", "b"])
 
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
     both = both.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("ca", "cb", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def _able(percent: int):
 
 
 def _rounds(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``cls, comp`` of the classes that link with another one."""
+    """``cls, comp`` of every class that shares a bucket."""
     pivot = buckets.groupBy("token").agg(F.min(F.struct("cls", "n", "reach")).alias("p"))
     nearest = (
         buckets.join(pivot, "token")
@@ -185,17 +187,21 @@ def _rounds(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .groupBy(F.col("cls").alias("b"))
         .agg(F.min("p.cls").alias("a"))
     )
-    edges = stage(_verified(nearest, sets, percent), "links")
-    comp = components(edges)
-    pivots = 1
+    # At first every class is a component by itself.
+    nearest = nearest.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    merged = components(_verified(nearest, sets, percent))
+    comp = buckets.select("cls").distinct().withColumn("comp", F.col("cls"))
+    buckets, pivots = buckets.withColumn("comp", F.col("cls")), _PIVOTS
     while True:
-        named = buckets.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-        named = named.withColumn("comp", F.coalesce("comp", "cls"))
+        merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+        renamed = F.coalesce("new", "comp").alias("comp")
+        comp = stage(comp.join(merged, "comp", "left").select("cls", renamed), "components")
+        named = buckets.join(merged, "comp", "left").select("token", "cls", "n", "reach", renamed)
         open_ = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
         open_ = open_.filter("x <> y").select("token")
         named = stage(named.join(open_, "token"), "open")
         if named.isEmpty():
-            return comp.withColumnRenamed("node", "cls")
+            return comp
         part = F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))
         chosen = named.groupBy("token", part.alias("part")).agg(
             F.min(F.struct("cls", "n", "reach", "comp")).alias("p")
@@ -204,14 +210,13 @@ def _rounds(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = (
             named.join(chosen, "token")
             .filter((F.col("p.comp") != F.col("comp")) & _able(percent))
-            .select(F.least("p.cls", "cls").alias("a"), F.greatest("p.cls", "cls").alias("b"))
-            .distinct()
+            .groupBy(F.least("p.cls", "cls").alias("a"), F.greatest("p.cls", "cls").alias("b"))
+            .agg(F.least(F.min("p.comp"), F.min("comp")).alias("ca"), F.greatest(F.max("p.comp"), F.max("comp")).alias("cb"))
         )
-        edges = stage(edges.union(_verified(pairs, sets, percent)), "links")
-        comp = components(edges)
+        merged = components(_verified(pairs, sets, percent))
         compared = chosen.select("token", F.col("p.cls").alias("cls"))
-        buckets = named.drop("comp").join(compared, ["token", "cls"], "left_anti")
-        pivots *= 6
+        buckets = named.join(compared, ["token", "cls"], "left_anti")
+        pivots *= 8
 
 
 def jaccard_join(
