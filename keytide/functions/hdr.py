@@ -17,7 +17,7 @@ OVERFLOW = 9223372036854775807
 
 
 def bucket_top(size: Column) -> Column:
-    """Largest value counted in the same bucket as ``size``; a negative size is an error."""
+    """Largest value counted in the same bucket as ``size``; null for null, an error for a negative size."""
     v = F.least(size.cast("long"), F.lit(MAX_VALUE).cast("long"))
     # One for each power of two from 2^11 that the value reaches.
     shift = sum(
@@ -26,7 +26,9 @@ def bucket_top(size: Column) -> Column:
     )
     low = F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
     top = low + F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
-    return F.when(size < 0, F.raise_error(F.lit("negative size in a percentile"))).otherwise(top)
+    return F.when(size < 0, F.raise_error(F.lit("negative size in a percentile"))).when(
+        size.isNotNull(), top
+    )
 
 
 def rank(quantile: float, rows: Column) -> Column:

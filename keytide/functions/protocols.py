@@ -24,7 +24,7 @@ LINE_LIMIT = 32 * 1024
 CAPTURE_LIMIT = 1024
 
 _WORD = re.compile(rb"[a-zA-Z]+")
-_INT = re.compile(rb"[+-]?[0-9]{1,18}")
+_INT = re.compile(rb"[+-]?[0-9]{1,19}")
 
 
 class Short(Exception):
@@ -66,7 +66,10 @@ def line(data: bytes, at: int) -> tuple[bytes, int]:
 def whole(text: bytes) -> int:
     if not _INT.fullmatch(text):
         raise Bad
-    return int(text)
+    value = int(text)
+    if not -(1 << 63) <= value < 1 << 63:
+        raise Bad
+    return value
 
 
 def mctext_request(data: bytes, at: int) -> Message:

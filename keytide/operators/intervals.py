@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ def interval_report(
 def ranked_intervals(
     reports: DataFrame,
     format: str | ReportSpec = DEFAULT_SPEC,
-    top: int = R.MAX_TOP,
+    top: int | None = None,
     threshold: int | None = None,
     rank_by: str | None = None,
 ) -> DataFrame:
@@ -79,7 +81,10 @@ def cumulative_report(
     )
     if spec.percentiles:
         quantiles = _running_percentiles(partials, spec)
-        accumulated = accumulated.join(quantiles, [*spec.key_names, "window_start"])
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in spec.key_names]
+        same.append(F.col("window_start") == F.col("__window_start"))
+        renamed = {c: f"__{c}" for c in [*spec.key_names, "window_start"]}
+        accumulated = accumulated.join(quantiles.withColumnsRenamed(renamed), reduce(and_, same))
     last = partials.agg(F.max("window_start")).scalar()
     return (
         accumulated.withColumn("__until", F.coalesce(F.col("__next") - step, last))
@@ -100,7 +105,13 @@ def _running_percentiles(partials: DataFrame, spec: ReportSpec) -> DataFrame:
     it is reading, at most 17,409 counts.
     """
     keys, quantiles = spec.key_names, [(t.name, t.quantile) for t in spec.percentiles]
-    rows = partials.select(*keys, "window_start", R._BUCKET, R._ROWS)
+    sized = F.col(R._BUCKET).isNotNull()  # null sizes keep their key's row and count for nothing
+    rows = partials.select(
+        *keys,
+        "window_start",
+        F.when(sized, F.col(R._BUCKET)).otherwise(0).alias(R._BUCKET),
+        F.when(sized, F.col(R._ROWS)).otherwise(0).alias(R._ROWS),
+    )
     if keys:
         rows = rows.repartition(*keys)
     else:

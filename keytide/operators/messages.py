@@ -240,8 +240,8 @@ def read_messages(
         F.col("ready").alias("us"),
         "stream_len",
     )
-    # Only streams of several chunks need linking.
-    linked = pieces.filter(F.col("stream_len") > chunk_bytes).drop("stream_len")
+    # Only streams that touch several chunks need linking; one of just a chunk's length ends in the next.
+    linked = pieces.filter(F.col("stream_len") >= chunk_bytes).drop("stream_len")
     entries = _entries(linked, steps, chunk_bytes, line_limit)
     return _second_pass(pieces.drop("stream_len"), entries, steps, chunk_bytes, line_limit)
 

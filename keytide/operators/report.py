@@ -14,10 +14,8 @@ from keytide.functions.spec import DEFAULT_SPEC, BadDescriptor, ReportSpec, aggr
 from keytide.functions.text import percentage
 from keytide.operators.events import filter_keys, hits_and_misses
 
-# Fixed value: most rows a report shows.
+# Rows of a report that becomes one JSON value, unless the caller asks for another number.
 MAX_TOP = 65535
-# If the final task of a ranked report could get more rows than this, a selection comes first.
-FINAL_ROWS = 5_000_000
 
 _ROWS = "__rows"
 _BUCKET = "__hdr"
@@ -114,9 +112,11 @@ def finish_report(
     if spec.percentiles:
         along = Window.partitionBy(*groups).orderBy(_BUCKET)
         whole = Window.partitionBy(*groups)
+        # Null sizes have no bucket and no rank.
+        sized = F.when(F.col(_BUCKET).isNotNull(), F.col(_ROWS)).otherwise(0)
         partials = (
-            partials.withColumn("__reached", F.sum(_ROWS).over(along))
-            .withColumn("__total", F.sum(_ROWS).over(whole))
+            partials.withColumn("__reached", F.sum(sized).over(along))
+            .withColumn("__total", F.sum(sized).over(whole))
             .groupBy(*groups)
             .agg(
                 *_merge_columns(spec),
@@ -194,49 +194,21 @@ def above(
     return df.filter(quoted(rank_by) >= threshold)
 
 
-def _level(value: Column) -> Column:
-    """Coarse logarithmic level of a value: never falls as the value rises, under 9000 levels."""
-    return (F.signum(value) * F.floor(F.log2(F.abs(value.cast("double")) + 1) * 64)).cast("int")
-
-
-def preselect(df: DataFrame, column: str, top: int) -> DataFrame:
-    """Drop rows that can not be among the ``top`` largest of ``column``.
-
-    Counting rows per level finds the lowest level that still matters.  What is left is little more
-    than ``top`` rows, so that the final sort in one task does not see ``top`` rows of every
-    partition of a large report.
-    """
-    level = _level(quoted(column))
-    # Reading every column here lets both uses of the report share one shuffle; with fewer columns
-    # the input would be read and aggregated a second time.
-    digest = F.bit_xor(F.xxhash64(*[quoted(c) for c in df.columns]))
-    counts = df.groupBy(level.alias("__level")).agg(
-        F.count(F.lit(1)).alias("__n"), digest.alias("__digest")
-    )
-    above_level = Window.orderBy(F.col("__level").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    needed = (
-        counts.withColumn("__above", F.coalesce(F.sum("__n").over(above_level), F.lit(0)))
-        .filter(F.col("__above") < top)
-        .agg(F.min(F.struct("__level", "__digest")).alias("__lowest"))
-        .select("__lowest.__level")
-        .scalar()
-    )
-    return df.filter(level >= needed)
-
-
 def top_per(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
-    top: int,
+    top: int | None,
     spread: Sequence[str],
     parts: int = 64,
 ) -> DataFrame:
-    """First ``top`` rows of each ``by`` group, with their ``rank``.
+    """First ``top`` rows of each ``by`` group, or all, with their ``rank``.
 
     Groups are cut in two steps: each of ``parts`` hash slices of a group keeps its first ``top``
     rows, and only those meet in one task, so no task holds a whole interval's keys.
     """
+    if top is None:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     sliced = df.withColumn("__part", F.pmod(F.xxhash64(*[quoted(s) for s in spread]), F.lit(parts)))
     first = Window.partitionBy(*by, "__part").orderBy(*order)
     final = Window.partitionBy(*by).orderBy(*order)
@@ -255,15 +227,15 @@ class HotKeys:
 
     format: str | ReportSpec = DEFAULT_SPEC
     filter: str = ""
-    top: int = MAX_TOP
+    top: int | None = None
     threshold: int | None = None
     rank_by: str | None = None
     include_misses: bool = True
 
     def __post_init__(self):
         spec = report_spec(self.format)
-        if not 0 <= self.top <= MAX_TOP:
-            raise ValueError(f"top must be between 0 and {MAX_TOP}")
+        if self.top is not None and self.top < 0:
+            raise ValueError("top must not be negative")
         if self.rank_by is not None and self.rank_by not in spec.value_names:
             raise BadDescriptor(self.rank_by, "not a value of the report")
 
@@ -283,13 +255,14 @@ class HotKeys:
         return report(self.select(events), self.spec)
 
     def run(self, events: DataFrame) -> DataFrame:
-        """Groups at or above the threshold, ranked, at most ``top``."""
+        """Groups at or above the threshold, ranked, at most ``top`` if that is given.
+
+        With ``top`` every task keeps its first rows and one task merges those; without, the whole
+        report is sorted in ranges.
+        """
         kept = above(self.full(events), self.spec, self.threshold, self.rank_by)
-        rank_by = self.rank_by or self.spec.rank_by
-        parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        if self.top * parts > FINAL_ROWS and rank_by is not None:
-            kept = preselect(kept, rank_by, self.top)
-        return kept.orderBy(*ranking(self.spec, self.rank_by)).limit(self.top)
+        ranked = kept.orderBy(*ranking(self.spec, self.rank_by))
+        return ranked if self.top is None else ranked.limit(self.top)
 
 
 def hot_keys(
@@ -297,7 +270,7 @@ def hot_keys(
     format: str | ReportSpec = DEFAULT_SPEC,
     *,
     filter: str = "",
-    top: int = MAX_TOP,
+    top: int | None = None,
     threshold: int | None = None,
     rank_by: str | None = None,
     include_misses: bool = True,

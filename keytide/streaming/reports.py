@@ -59,10 +59,10 @@ def start_json_reports(
     def emit(states: DataFrame, batch: int) -> None:
         full = R.finish_report(states, hot.spec, WINDOW)
         reports = J.json_reports(
-            full, hot.spec, WINDOW, top=hot.top, threshold=hot.threshold, rank_by=hot.rank_by
+            full, hot.spec, WINDOW, top=R.MAX_TOP if hot.top is None else hot.top, threshold=hot.threshold, rank_by=hot.rank_by
         )
         # A batch that is repeated after a failure replaces its own files.
-        write_reports(reports, path and f"{path}/batch={batch}")
+        write_reports(reports, path and f"{path}/batch={batch}", "overwrite")
 
     return _start(interval_states(events, hot, every, delay), "append", emit, checkpoint, trigger)
 

@@ -123,19 +123,26 @@ def test_threshold_and_top(spark):
     assert [r[0] for r in R.hot_keys(events, "key,min(size)", threshold=9).collect()] == ["k9"]
     assert R.hot_keys(events, top=0).collect() == []
     with pytest.raises(ValueError):
-        R.HotKeys(top=70000)
+        R.HotKeys(top=-1)
     with pytest.raises(BadDescriptor):
         R.HotKeys(rank_by="max(other)")
 
 
-@pytest.mark.parametrize("top", [1, 50, 1500])
-def test_preselect_keeps_the_top(spark, top):
-    rng = random.Random(top)
-    rows = [(f"k{i}", rng.choice([0, 1, 5, -3, rng.randrange(10**rng.randrange(1, 15))])) for i in range(3000)]
-    full = R.report(sizes(spark, rows), "key,sum(size)")
-    order = R.ranking(report_spec("key,sum(size)"))
-    chosen = R.preselect(full, "sum(size)", top).orderBy(*order).limit(top).collect()
-    assert chosen == full.orderBy(*order).limit(top).collect()
+@pytest.mark.parametrize("partitions", [1, 8, 200])
+def test_reports_are_whole_at_any_partition_count(spark, partitions):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        events = sizes(spark, [("a", 5), ("b", None), (None, 7), ("c", 1), ("a", None)])
+        found = R.hot_keys(events, "key,max(size),p50(size)").collect()
+        assert [tuple(r) for r in found] == [(None, 7, 7), ("a", 5, 5), ("c", 1, 1), ("b", None, None)]
+        assert [r[0] for r in R.hot_keys(events, "key,max(size)", top=2).collect()] == [None, "a"]
+        many = events.sparkSession.range(70_000).selectExpr(
+            "cast(id as string) AS key", "id + 1 AS size", "'hit' AS type", "timestamp_seconds(0) AS ts"
+        )
+        assert R.hot_keys(many, "key,sum(size)", threshold=1).count() == 70_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
 def test_with_filter_starts_afresh(spark):
@@ -309,3 +316,13 @@ def test_drop_label(spark):
         text.drop_rate(F.lit(3), F.lit(0)).alias("none"),
     ).first()
     assert row["label"] == "Dropped: 1+2+0=3 ( 0.30%)" and row["none"] == 0.0
+
+
+def test_cumulative_percentiles_keep_null_keys_and_sizes(spark):
+    rows = [(None, 7, 0), ("a", 1, 0), ("a", None, 1), ("b", None, 0)]
+    events = spark.createDataFrame(rows, "key string, size long, s long").selectExpr(
+        "key", "size", "'hit' AS type", "timestamp_seconds(s) AS ts"
+    )
+    found = I.cumulative_report(events, "key,max(size),p50(size)", "1 second").drop("window_end")
+    got = sorted(((str(r[1]), r[2], r[3]) for r in found.collect()), key=repr)
+    assert got == sorted([("None", 7, 7), ("a", 1, 1), ("b", None, None)] * 2, key=repr)
