@@ -255,12 +255,16 @@ class HotKeys:
         return report(self.select(events), self.spec)
 
     def run(self, events: DataFrame) -> DataFrame:
-        """Groups at or above the threshold, ranked, at most ``top`` if that is given.
+        """Groups at or above the threshold, ranked, at most ``top`` if that is given."""
+        return self.ranked(self.full(events))
+
+    def ranked(self, full: DataFrame) -> DataFrame:
+        """All groups of a report cut to the threshold and ranked.
 
         With ``top`` every task keeps its first rows and one task merges those; without, the whole
         report is sorted in ranges.
         """
-        kept = above(self.full(events), self.spec, self.threshold, self.rank_by)
+        kept = above(full, self.spec, self.threshold, self.rank_by)
         ranked = kept.orderBy(*ranking(self.spec, self.rank_by))
         return ranked if self.top is None else ranked.limit(self.top)
 

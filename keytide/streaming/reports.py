@@ -58,8 +58,9 @@ def start_json_reports(
 
     def emit(states: DataFrame, batch: int) -> None:
         full = R.finish_report(states, hot.spec, WINDOW)
+        top = R.MAX_TOP if hot.top is None else hot.top
         reports = J.json_reports(
-            full, hot.spec, WINDOW, top=R.MAX_TOP if hot.top is None else hot.top, threshold=hot.threshold, rank_by=hot.rank_by
+            full, hot.spec, WINDOW, top=top, threshold=hot.threshold, rank_by=hot.rank_by
         )
         # A batch that is repeated after a failure replaces its own files.
         write_reports(reports, path and f"{path}/batch={batch}", "overwrite")
@@ -74,8 +75,7 @@ def start_running_reports(
 
     def emit(states: DataFrame, batch: int) -> None:
         full = R.finish_report(states, hot.spec)
-        kept = R.above(full, hot.spec, hot.threshold, hot.rank_by)
-        sink(kept.orderBy(*R.ranking(hot.spec, hot.rank_by)).limit(hot.top), batch)
+        sink(hot.ranked(full), batch)
 
     return _start(running_states(events, hot), "complete", emit, checkpoint, trigger)
 
