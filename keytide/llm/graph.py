@@ -13,13 +13,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has the columns ``a`` and ``b``. Each round every node moves to its smallest neighbour
     if that is smaller, the edges are renamed, loops and repeats go, and the shrunken graph is
-    worked on. Labels are hashes, so a constant share of the nodes disappears each round. Nothing
-    is collected; the driver sees one flag a round.
+    worked on. Labels are hashes, so a constant share of the nodes disappears each round. Only the
+    shrinking tables are written; labels are their joins, made where the result is read. Nothing is
+    collected; the driver sees one flag a round.
     """
     edges = stage(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    labels = ends.withColumn("comp", F.col("node"))
-    while not edges.isEmpty():
+    labels = None
+    while labels is None or not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         hop = stage(both.groupBy("a").agg(F.least("a", F.min("b")).alias("c")), "hop")
         edges = stage(
@@ -31,9 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "edges",
         )
-        moved = hop.select(F.col("a").alias("comp"), "c")
-        labels = stage(
-            labels.join(moved, "comp", "left").select("node", F.coalesce("c", "comp").alias("comp")),
-            "labels",
-        )
+        if labels is None:  # every end is in the first hop
+            labels = hop.select(F.col("a").alias("node"), F.col("c").alias("comp"))
+        else:
+            moved = hop.select(F.col("a").alias("comp"), "c")
+            labels = labels.join(moved, "comp", "left").select("node", F.coalesce("c", "comp").alias("comp"))
     return labels

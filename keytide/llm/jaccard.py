@@ -191,12 +191,12 @@ def _rounds(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     nearest = nearest.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
     merged = components(_verified(nearest, sets, percent))
     comp = buckets.select("cls").distinct().withColumn("comp", F.col("cls"))
-    buckets, pivots = buckets.withColumn("comp", F.col("cls")), _PIVOTS
+    pivots = _PIVOTS
     while True:
         merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
         renamed = F.coalesce("new", "comp").alias("comp")
         comp = stage(comp.join(merged, "comp", "left").select("cls", renamed), "components")
-        named = buckets.join(merged, "comp", "left").select("token", "cls", "n", "reach", renamed)
+        named = buckets.select("token", "cls", "n", "reach").join(comp, "cls")
         open_ = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
         open_ = open_.filter("x <> y").select("token")
         named = stage(named.join(open_, "token"), "open")
