@@ -1,9 +1,10 @@
 """Key patterns: linear-time regular expression syntax mapped to Java's.
 
 Both dialects agree on most patterns.  What is mapped: named groups, POSIX classes, ``$`` (end of
-text only), and ``[`` or ``&&`` inside a class (plain characters).  What is refused: look-around,
-backreferences, possessive quantifiers and the ungreedy flag, none of which the source dialect has
-(or has with another meaning).
+text only), ``[`` or ``&&`` inside a class (plain characters), white space, octal numbers and
+scripts.  What is refused: look-around, backreferences, possessive quantifiers, the ungreedy flag and
+every escape that is not known to both, none of which the source dialect has (or has with another
+meaning).
 """
 
 from __future__ import annotations
@@ -31,22 +32,57 @@ POSIX_CLASSES = {
 }
 
 _REFUSED = re.compile(r"\(\?(?:=|!|<=|<!|>)|\(\?[ims]*U|[*+?}]\+")
+_ESCAPE = (
+    r"\\(?:x\{[0-9A-Fa-f]+\}|x[0-9A-Fa-f]{2}|[pP]\{\^?\w+\}|[pP][A-Z]|0[0-7]{0,2}|[1-7][0-7]{1,2}|.)"
+)
+_BARE = re.compile(_ESCAPE + r"|\[\^?\]?(?:\\.|[^\]])*\]", re.DOTALL)
 _PIECES = re.compile(
-    r"(?P<quoted>\\Q.*?(?:\\E|$))|(?P<escape>\\.)|(?P<posix>\[:(?P<not>\^?)(?P<name>\w+):\])"
+    r"(?P<quoted>\\Q.*?(?:\\E|$))|(?P<escape>" + _ESCAPE + r")|(?P<posix>\[:(?P<not>\^?)(?P<name>\w+):\])"
     r"|(?P<group>\(\?P<)|(?P<open>\[\^?\]?)|(?P<close>\])|(?P<and>&&)|(?P<end>\$)|(?P<other>.)",
     re.DOTALL,
 )
 
 
+# Escapes with the same meaning in both dialects, anywhere and outside classes only.
+_SAME, _SAME_OUTSIDE = "afnrtdDwW", "AbBz"
+
+
 class BadPattern(ValueError):
     """A key pattern that does not compile."""
 
 
+def _escape(text: str, in_class: bool) -> str:
+    """The Java spelling of one escape; raises :class:`BadPattern` for any that is not listed."""
+    letter = text[1]
+    if letter in _SAME or (letter in _SAME_OUTSIDE and not in_class):
+        return text
+    if letter == "v":  # one character, where Java has a class
+        return r"\x0B"
+    if letter == "s":  # without the vertical tab that Java counts in
+        return r"\t\n\f\r " if in_class else r"[\t\n\f\r ]"
+    if letter == "S":
+        return r"\S\x0B" if in_class else r"[\S\x0B]"
+    if letter in "01234567" and (letter == "0" or len(text) > 2):
+        return f"\\x{{{int(text[1:], 8):X}}}"
+    if letter in "123456789":
+        raise BadPattern(f"backreference {text!r}")
+    if letter == "x" and len(text) > 2:
+        return text
+    if letter in "pP" and len(text) > 2:
+        name = text[2:].strip("{}")
+        negated = (letter == "P") != name.startswith("^")
+        name = name.lstrip("^")
+        # One or two letters are a general category, longer names a script.
+        return f"\\{'P' if negated else 'p'}{{{name if len(name) < 3 else f'script={name}'}}}"
+    if letter.isascii() and not letter.isalnum():
+        return text
+    raise BadPattern(f"unknown escape {text!r}")
+
+
 def java_pattern(pattern: str) -> str:
     """The Java pattern that matches the same keys; raises :class:`BadPattern`."""
     out, in_class, multiline = [], False, bool(re.match(r"\(\?[is]*m", pattern))
-    bare = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]])*\]", "", pattern, flags=re.DOTALL)
-    if _REFUSED.search(bare):
+    if _REFUSED.search(_BARE.sub("", pattern)):
         raise BadPattern(f"unsupported construct in pattern {pattern!r}")
     for piece in _PIECES.finditer(pattern):
         kind, text = piece.lastgroup, piece.group()
@@ -57,8 +93,10 @@ def java_pattern(pattern: str) -> str:
             word = r"\W" if piece["not"] else r"\w"
             name = piece["name"]
             out.append(word if name == "word" else f"\\{letter}{{{POSIX_CLASSES[name]}}}")
-        elif kind == "escape" and text[1] in "123456789":
-            raise BadPattern(f"backreference in pattern {pattern!r}")
+        elif kind == "escape":
+            out.append(_escape(text, in_class))
+        elif text == "\\" or (kind == "quoted" and in_class):
+            raise BadPattern(f"unsupported escape in pattern {pattern!r}")
         elif in_class and (kind == "open" or piece["posix"]):
             out.append(text.replace("[", r"\["))
             in_class = not text.endswith("]")

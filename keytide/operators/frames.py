@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import socket
 from collections.abc import Sequence
+from functools import reduce
 from ipaddress import IPv6Address
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,10 @@ PROTOCOL_TCP = 6
 PROTOCOL_HOP_BY_HOP = 0
 FLAG_FIN, FLAG_SYN, FLAG_RST = 0x01, 0x02, 0x04
 
-# Two VLAN tags and the longest IP, hop-by-hop and TCP headers in use fit in this; a longer header
-# chain is not TCP to us.
-HEADER_BYTES = 512
+# Two VLAN tags and the longest IP and TCP headers fit in the first; with the longest hop-by-hop
+# header between them, in the second.
+HEADER_BYTES = 14 + 8 + 60 + 60
+LONG_HEADER_BYTES = 14 + 8 + 40 + 2048 + 60
 
 _HEADER = pa.schema(
     [
@@ -54,7 +57,7 @@ class _Frames:
         offsets = offsets[heads.offset : heads.offset + len(heads) + 1]
         stored = np.frombuffer(heads.buffers()[2] or b"", dtype="uint8")
         self.starts, self.known = offsets[:-1], np.diff(offsets)
-        self.bytes = np.concatenate([stored, np.zeros(HEADER_BYTES + 64, dtype="uint8")])
+        self.bytes = np.concatenate([stored, np.zeros(LONG_HEADER_BYTES, dtype="uint8")])
 
     def number(self, at, width: int) -> np.ndarray:
         """Big-endian integers at offset ``at``; -1 where a frame ends before."""
@@ -148,6 +151,27 @@ def _headers(heads: pa.Array, lengths: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([arrays[n] for n in _HEADER.names], fields=list(_HEADER))
 
 
+def _head() -> Column:
+    """The part of a frame that can hold headers; long only behind a hop-by-hop header.
+
+    The next-header byte is looked at where each link layer would have it, so some frames without
+    such a header are sent in full length too; that costs bytes and changes nothing.
+    """
+
+    def is_at(place: int, value: int, width: int) -> Column:
+        return F.substring("data", place + 1, width) == F.lit(value.to_bytes(width, "big"))
+
+    loopback = is_at(4 + 6, PROTOCOL_HOP_BY_HOP, 1)
+    tagged = [
+        is_at(12 + 4 * tags, ETHERTYPE_IPV6, 2) & is_at(14 + 4 * tags + 6, PROTOCOL_HOP_BY_HOP, 1)
+        for tags in range(3)
+    ]
+    long = reduce(or_, tagged, loopback)
+    return F.when(long, F.substring("data", 1, LONG_HEADER_BYTES)).otherwise(
+        F.substring("data", 1, HEADER_BYTES)
+    )
+
+
 def decode_frames(raw: DataFrame) -> DataFrame:
     """Decode ``data`` of raw packets; TCP columns are null where a frame holds no TCP.
 
@@ -156,9 +180,7 @@ def decode_frames(raw: DataFrame) -> DataFrame:
     """
     # Marked so that it is not copied into filters pushed below: headers are walked once.
     headers = F.arrow_udf(_headers, _HEADER_DDL).asNondeterministic()
-    walked = raw.select(
-        "*", headers(F.substring("data", 1, HEADER_BYTES), F.octet_length("data")).alias("__h")
-    )
+    walked = raw.select("*", headers(_head(), F.octet_length("data")).alias("__h"))
     h = {n: F.col(f"__h.{n}") for n in _HEADER.names}
     plain = ["vlan", "ip_version", "src_ip", "dst_ip", "src_port", "dst_port", "seq", "ack"]
     return walked.select(

@@ -25,6 +25,7 @@ FIELDS = {
     "Rows": "Rows",
 }
 STATS_FIELDS = ("Culumative", "Incremental")
+_BYTES = "sum(size)"
 
 
 def row_struct(spec: ReportSpec):
@@ -44,12 +45,16 @@ def json_reports(
 ) -> DataFrame:
     """One row per interval (or one for ``by=()``) with the fields of a JSON report.
 
-    The rows of an interval become one array, which is why there is a default ``top``.  ``stamp`` is the report time, by default the interval's end.  ``stats`` holds
-    per-interval counters to include.
+    The rows of an interval become one array, which is why there is a default ``top``.  ``stamp`` is
+    the report time, by default the interval's end.  ``stats`` holds per-interval counters to include.
+    Totals are of bytes whatever the rows are ranked by, so ``full`` needs ``sum(size)``; make it with
+    ``spec.with_sum()`` if ``format`` does not list that.
     """
     spec = report_spec(format)
     if top < 0:
         raise ValueError("top must not be negative")
+    if _BYTES not in full.columns:
+        raise ValueError(f"totals need {_BYTES}; make the report with with_sum()")
     rank_by = rank_by or spec.rank_by
     if rank_by is None:
         raise ValueError("a JSON report needs a value column")
@@ -67,7 +72,7 @@ def json_reports(
     def counted(side: str) -> list[Column]:
         return [
             F.count(F.lit(1)).alias(f"{side}_keys"),
-            F.sum(R.quoted(rank_by)).alias(f"{side}_bytes"),
+            F.sum(R.quoted(_BYTES)).alias(f"{side}_bytes"),
         ]
 
     rows = F.collect_list(F.struct(F.col("rank"), row_struct(spec).alias("row")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -55,17 +56,37 @@ def start_json_reports(
     delay: str = "0 seconds", **trigger,
 ) -> StreamingQuery:
     """Append one JSON line per closed interval to ``path``, or print it."""
+    counted = replace(hot, format=hot.spec.with_sum())
 
     def emit(states: DataFrame, batch: int) -> None:
-        full = R.finish_report(states, hot.spec, WINDOW)
-        top = R.MAX_TOP if hot.top is None else hot.top
-        reports = J.json_reports(
-            full, hot.spec, WINDOW, top=top, threshold=hot.threshold, rank_by=hot.rank_by
-        )
-        # A batch that is repeated after a failure replaces its own files.
-        write_reports(reports, path and f"{path}/batch={batch}", "overwrite")
+        full = R.finish_report(states, counted.spec, WINDOW)
+        _write_json(full, hot, WINDOW, None, path, batch)
 
-    return _start(interval_states(events, hot, every, delay), "append", emit, checkpoint, trigger)
+    return _start(interval_states(events, counted, every, delay), "append", emit, checkpoint, trigger)
+
+
+def start_running_json_reports(
+    events: DataFrame, hot: R.HotKeys, checkpoint: str, path: str | None = None, **trigger
+) -> StreamingQuery:
+    """Append one JSON line per trigger, over all events so far and stamped with the trigger's time."""
+    counted = replace(hot, format=hot.spec.with_sum())
+
+    def emit(states: DataFrame, batch: int) -> None:
+        full = R.finish_report(states, counted.spec)
+        _write_json(full, hot, (), F.current_timestamp(), path, batch)
+
+    return _start(running_states(events, counted), "complete", emit, checkpoint, trigger)
+
+
+def _write_json(
+    full: DataFrame, hot: R.HotKeys, by: Sequence[str], stamp: Column | None, path: str | None, batch: int
+) -> None:
+    top = R.MAX_TOP if hot.top is None else hot.top
+    reports = J.json_reports(
+        full, hot.spec, by, stamp=stamp, top=top, threshold=hot.threshold, rank_by=hot.rank_by
+    )
+    # A batch that is repeated after a failure replaces its own files.
+    write_reports(reports, path and f"{path}/batch={batch}", "overwrite")
 
 
 def start_running_reports(

@@ -134,10 +134,21 @@ def test_frames_that_are_not_tcp(spark):
         "ipv6 hop by hop": whole[:12] + b"\x86\xdd" + b"\x60\0\0\0" + struct.pack(">H", 8 + len(inner) - 20)
         + b"\0\x40" + b"\0" * 15 + b"\1" + b"\xfe\x80" + b"\0" * 13 + b"\2" + b"\6\0" + b"\0" * 6 + inner[20:],
     }
+    # Extension headers are 8 to 2048 bytes long.
+    long = {f"ipv6 hop by hop {8 * (n + 1)}": n for n in (12, 40, 60, 255)}
+    for (name, n), tags in zip(long.items(), (b"", b"\x81\0\0\2", b"\x88\xa8\0\1\x81\0\0\2", b"")):
+        length = struct.pack(">H", 8 * (n + 1) + len(inner) - 20)
+        ipv6 = b"\x60\0\0\0" + length + b"\0\x40" + b"\0" * 15 + b"\1" + b"\xfe\x80" + b"\0" * 13 + b"\2"
+        header = bytes([6, n]) + b"\1" * (8 * (n + 1) - 2)
+        link = whole[:12] + tags + b"\x86\xdd" if n < 255 else b"\x1e\0\0\0"
+        cases[name] = link + ipv6 + header + inner[20:]
     rows = [(k, 0, None, len(v), len(v), 1, v) for k, v in cases.items()]
     raw = spark.createDataFrame(rows, "file string, ord long, ts timestamp, caplen int, wirelen int, linktype int, data binary")
     found = {r["file"]: r for r in tcp_only(decode_frames(raw)).collect()}
-    assert set(found) == {"plain", "tagged twice", "loopback", "loopback big endian", "length unset", "ipv6 hop by hop"}
+    assert set(found) == {
+        "plain", "tagged twice", "loopback", "loopback big endian", "length unset", "ipv6 hop by hop", *long
+    }
     assert all(bytes(r["payload"]) == b"hello" and r["dst_port"] == 6379 for r in found.values())
+    assert {found[k]["src_ip"] for k in long} == {"::1"}
     assert found["tagged twice"]["vlan"] == 2 and found["plain"]["vlan"] is None
     assert (found["ipv6 hop by hop"]["src_ip"], found["ipv6 hop by hop"]["dst_ip"]) == ("::1", "fe80::2")

@@ -86,7 +86,12 @@ def test_values_follow_spec_order(spark):
     [("", "hello", True), ("", "", True), ("world", "hello world", True), ("world", "hello nurse", False),
      ("(?P<a>x)y", "xy", True), ("[[:alpha:]]+$", "12ab", True), ("[[:^digit:]]", "12", False), ("a$", "a\n", False),
      (r"[a[&&]", "[", True), (r"^\Qa.b\E", "a.b", True), ("(?m)^b$", "a\nb\nc", True), ("a.b", "a\rb", True),
-     ("a.b", "a\nb", False), ("[]a]", "]", True), (r"\$", "$", True), ("[$]", "$", True)],
+     ("a.b", "a\nb", False), ("[]a]", "]", True), (r"\$", "$", True), ("[$]", "$", True),
+     (r"\s", "\v", False), (r"\s", "\t", True), (r"[\s]", "\v", False), (r"\S", "\v", True),
+     (r"[^\S]", "\v", False), (r"[^\S]", " ", True), (r"\v", "\n", False), (r"\v", "\v", True),
+     (r"^\x41+$", "AA", True), (r"^\x{41}+$", "AA", True), (r"^\101\0$", "A\0", True),
+     (r"^\p{Greek}+$", "αβ", True), (r"\p{Greek}", "a", False), (r"\PL", "a", False),
+     (r"\p{^L}", "1", True), (r"\pL", "a", True), (r"\-\_", "-_", True)],
 )
 def test_patterns(spark, pattern, key, kept):
     events = sizes(spark, [(key, 1)])
@@ -103,6 +108,18 @@ def test_bad_patterns(spark, pattern):
         check_pattern(spark, pattern)
 
 
+@pytest.mark.parametrize("letter", "CEGHIJKLMNORTUVXYZceghijklmoquwyZ89".replace("w", ""))
+def test_unknown_escapes(letter):
+    with pytest.raises(BadPattern):
+        java_pattern(f"a\\{letter}")
+
+
+@pytest.mark.parametrize("pattern", [r"[\b]", r"[\A]", r"[\Qa\E]", r"\x4", r"\p", "é\\é", "a\\"])
+def test_bad_escapes(pattern):
+    with pytest.raises(BadPattern):
+        java_pattern(pattern)
+
+
 def test_posix_only_inside_class():
     assert java_pattern("[:alpha:]") == "(?d)[:alpha:]"
 
@@ -326,3 +343,14 @@ def test_cumulative_percentiles_keep_null_keys_and_sizes(spark):
     found = I.cumulative_report(events, "key,max(size),p50(size)", "1 second").drop("window_end")
     got = sorted(((str(r[1]), r[2], r[3]) for r in found.collect()), key=repr)
     assert got == sorted([("None", 7, 7), ("a", 1, 1), ("b", None, None)] * 2, key=repr)
+
+
+def test_json_totals_are_bytes(spark):
+    events = sizes(spark, [("a", 1 << 40), ("b", 1 << 41), ("b", 1)])
+    spec = report_spec("key,p95(size)")
+    stamp = F.lit("2024-05-06").cast("timestamp")
+    row = J.json_reports(R.report(events, spec.with_sum()), spec, stamp=stamp, top=1).first()
+    assert (row["TotalKeys"], row["TotalBandwidth"]) == (2, (1 << 40) + (1 << 41) + 1)
+    assert [r.asDict() for r in row["Rows"]] == [{"key": "a", "p95(size)": (1 << 63) - 1}]
+    with pytest.raises(ValueError):
+        J.json_reports(R.report(events, spec), spec, stamp=stamp)

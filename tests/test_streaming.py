@@ -151,6 +151,21 @@ def test_running_reports(spark, tmp_path):
     assert seen[-1] == list(map(tuple, hot_keys(batch, "key,sum(size),p50(size)").collect()))
 
 
+def test_running_json_reports(spark, tmp_path):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [(base, f"k{i % 3}", i) for i in range(30)]
+    write_batches(spark, rows, EVENT_SCHEMA, tmp_path / "in", [10, 20])
+    stream = as_events(file_stream(spark, tmp_path / "in", EVENT_SCHEMA), "key", "size", "ts")
+    SR.start_running_json_reports(
+        stream, HotKeys("key,max(size)", top=1), str(tmp_path / "ck"), str(tmp_path / "out"), availableNow=True
+    ).awaitTermination()
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).orderBy("batch").collect()]
+    assert [x["TotalBandwidth"] for x in lines] == [sum(range(10)), sum(range(30))]
+    assert [x["Rows"] for x in lines] == [[{"key": "k0", "max(size)": 9}], [{"key": "k2", "max(size)": 29}]]
+
+
 def test_late_events_are_dropped_and_counted(spark, tmp_path):
     import datetime as dt
 
