@@ -171,12 +171,11 @@ def segment_index(flows: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame
         )
         .groupBy(*stream, "start", "len")
         .agg(
-            F.min("us").alias("us"),
-            F.min_by("source", "us").alias("source"),
-            F.min_by("ord", "us").alias("ord"),
+            F.min(F.struct("us", "source", "ord")).alias("__first"),
             F.max("syn").alias("syn"),
             F.min("first_byte").alias("first_byte"),
         )
+        .select(*stream, "start", "len", "__first.*", "syn", "first_byte")
         .withColumn("slice", F.floor(F.col("start") / F.lit(slice_bytes)))
     )
     end = F.col("start") + F.col("len")
