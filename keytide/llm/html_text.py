@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements. What is page furniture by its element, role, or class and id words (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) is no part of it. For
-every element, with C characters, T tags, LC link characters and LT link tags below it, the density is
+A page becomes a tree of elements. What is page furniture by its element or role (menus, headers, footers, forms,
+scripts, styles) is no part of it. A class or id that is a furniture word as a whole (sidebar, ad, comments) is only
+evidence: such an element goes unless it holds most of the page's text, or stands inside the article and is as dense
+as the page. For every element, with C characters, T tags, LC link characters and LT link tags below it, the density is
 
     C / T * log((C / LC) * (T / LT)) / log(log(C / (C - LC) * LC + LC_body / C_body * C + e))
 
@@ -43,6 +44,7 @@ _WORDS = frozenset(
     "subscribe subscription popup modal overlay toolbar pagination pager login signup search widget skip".split()
 )
 _KEPT = frozenset(["html", "body", "main", "article"])
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Start tags that end an open paragraph, and elements that end an open one of their own kind.
 _ENDS_P = _BLOCKS - {"body", "html", "caption", "tbody", "thead", "tfoot", "tr"} | {"nav", "aside", "footer", "header", "form"}
 _SIBLINGS = {
@@ -54,14 +56,14 @@ _SIBLINGS = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "hint", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: bool, hint: bool = False, inside: bool = False):
+        self.tag, self.parent, self.noise, self.hint, self.inside = tag, parent, noise, hint, inside
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -80,9 +82,17 @@ def is_noise(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
             return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w}
-            if words & _WORDS or "header" in words and not in_article:
+    return False
+
+
+def is_hint(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+    """Whether a class or an id is nothing but furniture words; says nothing of an article's headings and paragraphs."""
+    if tag in _KEPT or in_article and (tag == "p" or tag in _HEADINGS):
+        return False
+    for name, value in attrs:
+        for token in (value or "").split() if name in ("class", "id") else ():
+            words = {w for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w}
+            if words and words <= _WORDS | ({"header"} if not in_article else set()):
                 return True
     return False
 
@@ -95,6 +105,7 @@ class Tree(HTMLParser):
         self.root = self.open = Node("html", None, False)
         self.body: Node | None = None
         self.articles = 0
+        self.hints: list[Node] = []
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers are not asked for
@@ -127,7 +138,11 @@ class Tree(HTMLParser):
             self._close_to(same)
         if tag == "body" and self.open is not self.root:
             self.open, self.articles = self.root, 0  # an unclosed head
-        node = Node(tag, self.open, self.open.noise or is_noise(tag, attrs, self.articles > 0))
+        inside, noise = self.articles > 0, self.open.noise
+        noise = noise or is_noise(tag, attrs, inside)
+        node = Node(tag, self.open, noise, not noise and is_hint(tag, attrs, inside), inside)
+        if node.hint:
+            self.hints.append(node)
         self.open.children.append(node)
         if tag == "body":
             self.body = node
@@ -157,6 +172,7 @@ def measure(root: Node) -> list[Node]:
         order.append(node)
         work += [c for c in reversed(node.children) if isinstance(c, Node) and not c.noise]
     for node in reversed(order):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len("".join(c.split()))
@@ -175,6 +191,7 @@ def score(order: list[Node], body: Node) -> None:
     share = body.link_chars / max(1, body.chars)
     for node in reversed(order):
         c, lc = node.chars, node.link_chars
+        node.density = 0.0
         if c:
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
             spread = math.log(max(1.0, c / max(1, lc) * max(1, node.tags) / max(1, node.link_tags)))
@@ -183,6 +200,26 @@ def score(order: list[Node], body: Node) -> None:
         node.total = sum(x.density for x in node.children if isinstance(x, Node))
 
 
+def drop_hinted(hints: list[Node], order: list[Node], body: Node) -> None:
+    """Drop hinted elements, but not most of the page and nothing inside the article that is dense enough.
+
+    Inside is what is below an article or main element, or stands among paragraphs. On a page that has such an
+    element, only what holds one can be most of it: a long advert beside a short article is still one.
+    """
+    named, holders = False, set()
+    for node in order:
+        if node.tag in ("article", "main") and node.chars:
+            named = True
+            while node is not None and node not in holders:
+                holders.add(node)
+                node = node.parent
+    for node in hints:
+        if 2 * node.chars > body.chars and (node in holders or not named):
+            continue
+        among = node.inside or any(isinstance(c, Node) and c.tag == "p" and c.chars and not c.hint for c in node.parent.children)
+        node.noise = not (among and node.density >= body.density)
+
+
 def choose(order: list[Node], body: Node) -> Node:
     """The element with the largest density sum, or the outermost one above it that is dense enough."""
     best = max(order, key=lambda n: n.total)  # the first of equals
@@ -231,6 +268,10 @@ def main_text(html: str) -> str:
     body = tree.body or tree.root
     order = measure(body)
     score(order, body)
+    if tree.hints:
+        drop_hinted(tree.hints, order, body)
+        order = measure(body)
+        score(order, body)
     return "\n\n".join(blocks(choose(order, body), body.density))
 
 

@@ -326,6 +326,20 @@ def test_html_main_text():
     assert main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_words_of_a_class_are_only_evidence():
+    prose = "Plain words that make up the article and go on for a while, as articles do. " * 4
+    part = f"<p>{prose}</p>"
+    text = prose.strip()
+    for name in ("content has-sidebar", "no-sidebar", "share-price", "content sidebar", "main search"):
+        assert main_text(f'<body><nav><a href=x>m</a></nav><div class="{name}">{part * 4}</div></body>') == "\n\n".join([text] * 4), name
+    inner = f'<h2 id="related">A</h2><p class="notice">{prose}</p><section id="search">{part}</section><div class="share-price">9.50</div>'
+    links = '<div class="share"><a href=x>one</a> <a href=y>two</a></div>'
+    expected = "\n\n".join([text, "A", text, text, "9.50", text])
+    assert main_text(f"<body><article>{part}{inner}{links}{part}</article></body>") == expected
+    plain = f'<section id="search">{part}</section><div class="ad">Buy it.</div>'
+    assert main_text(f"<body><div>{part * 3}{plain}</div></body>") == "\n\n".join([text] * 4)
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a<p>b", 1), (1, "u", "<p>a<p>b", 1), (None, None, None, 2), (2, "v", "", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
