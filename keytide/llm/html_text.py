@@ -9,7 +9,8 @@ as the page. For every element, with C characters, T tags, LC link characters an
 
 with 1 in place of every divisor that is 0, so links lower it. An element's density sum is that of its children.
 The element with the largest sum holds the text; from there the path to the body is climbed while the element
-above is at least as dense as the body, the threshold for the page. Within what is chosen, parts that
+above is at least as dense as the body, the threshold for the page. An article may stand in several elements:
+those beside the chosen one that reach the threshold belong to it. Within what is chosen, parts that
 fall below the threshold and are mostly links are left out; everything else is text.
 """
 
@@ -44,6 +45,7 @@ _WORDS = frozenset(
     "subscribe subscription popup modal overlay toolbar pagination pager login signup search widget skip".split()
 )
 _KEPT = frozenset(["html", "body", "main", "article"])
+_CONTAINERS = frozenset("html body main article section div center address fieldset details".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Start tags that end an open paragraph, and elements that end an open one of their own kind.
 _ENDS_P = _BLOCKS - {"body", "html", "caption", "tbody", "thead", "tfoot", "tr"} | {"nav", "aside", "footer", "header", "form"}
@@ -230,8 +232,40 @@ def choose(order: list[Node], body: Node) -> Node:
     return best
 
 
-def blocks(top: Node, threshold: float) -> list[str]:
-    """The text blocks below an element, white space within each turned into one space."""
+def article(best: Node, threshold: float) -> list[Node | str]:
+    """The chosen element with those beside it that are article too.
+
+    These are the dense enough ones (of a chosen article or main element only others of that kind), the headings
+    right before one, and what stands between two of them but containers that are not dense enough.
+    """
+    if best.parent is None:
+        return [best]
+    beside = best.parent.children
+    named = best.tag in ("article", "main")
+
+    def is_part(c: Node | str) -> bool:
+        if c is best:
+            return True
+        alike = isinstance(c, Node) and not c.noise and c.chars > 0 and (c.tag in ("article", "main") or not named)
+        return alike and c.tag not in _HEADINGS and c.density >= threshold and 2 * c.link_chars <= c.chars
+
+    parts = [i for i, c in enumerate(beside) if is_part(c)]
+    first, chosen = parts[0], set(parts)
+    while first and (isinstance(c := beside[first - 1], str) and not c.strip() or isinstance(c, Node) and c.tag in _HEADINGS):
+        first -= 1
+    titled = any(n.tag == "h1" for i in parts for n in measure(beside[i])) if first < parts[0] else False
+    found = []
+    for i in range(first, parts[-1] + 1):
+        c = beside[i]
+        if i < parts[0] and isinstance(c, Node) and titled and c.tag == "h1":
+            continue  # the site's name
+        if isinstance(c, str) or i in chosen or c.tag not in _CONTAINERS:
+            found.append(c)
+    return found
+
+
+def blocks(tops: list[Node | str], best: Node, threshold: float) -> list[str]:
+    """The text blocks in and below some elements, white space within each turned into one space."""
     found, parts = [], []
 
     def end() -> None:
@@ -240,7 +274,8 @@ def blocks(top: Node, threshold: float) -> list[str]:
         if text:
             found.append(text)
 
-    work: list[Node | str | None] = [top]
+    work: list[Node | str | None] = tops[::-1]
+    whole = {id(best), *(id(top) for top in tops if isinstance(top, Node) and top.tag in _CONTAINERS)}
     while work:
         item = work.pop()
         if item is None:
@@ -248,7 +283,7 @@ def blocks(top: Node, threshold: float) -> list[str]:
         elif isinstance(item, str):
             parts.append(item)
         elif not item.noise:
-            if item is not top and item.tag in _BLOCKS and item.density < threshold and 2 * item.link_chars > item.chars:
+            if id(item) not in whole and item.tag in _BLOCKS and item.density < threshold and 2 * item.link_chars > item.chars:
                 continue
             if item.tag in _SPACED:
                 parts.append(" ")
@@ -272,7 +307,8 @@ def main_text(html: str) -> str:
         drop_hinted(tree.hints, order, body)
         order = measure(body)
         score(order, body)
-    return "\n\n".join(blocks(choose(order, body), body.density))
+    best = choose(order, body)
+    return "\n\n".join(blocks(article(best, body.density), best, body.density))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

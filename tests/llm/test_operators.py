@@ -340,6 +340,16 @@ def test_html_words_of_a_class_are_only_evidence():
     assert main_text(f"<body><div>{part * 3}{plain}</div></body>") == "\n\n".join([text] * 4)
 
 
+def test_html_article_in_several_elements():
+    prose = "Plain words that make up the article and go on for a while, as articles do. " * 4
+    text, part = prose.strip(), f"<p>{prose}</p>"
+    menu, foot = "<nav><a href=x>m</a></nav><div class='ad'>Buy it.</div>", "<div><a href=x>More</a></div><footer>f</footer>"
+    page = f"<body>{menu}<h1>Title</h1><section>{part * 20}</section> <h2>B</h2><p>Short.</p><ul><li>x<li>y</ul><section>{part * 15}</section>{foot}</body>"
+    assert main_text(page) == "\n\n".join(["Title", *[text] * 20, "B", "Short.", "x", "y", *[text] * 15])
+    named = f"<body>{menu}<h1>Site</h1><article><h1>Title</h1>{part * 3}</article><div>{prose}</div>{foot}</body>"
+    assert main_text(named) == "\n\n".join(["Title", *[text] * 3])
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a<p>b", 1), (1, "u", "<p>a<p>b", 1), (None, None, None, 2), (2, "v", "", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
