@@ -1,8 +1,10 @@
-"""Quality rules: exact rule statistics, and an isolation forest over their ratios.
+"""Quality rules: exact rule statistics, and isolation forests over their ratios.
 
-The base rules reject short and repetitive texts. The forest looks at the statistics of the rest, in steps of a tenth
+The base rules reject short and repetitive texts. Two forests look at the statistics of the rest, one at how a text is
+written and one at the lines and words it repeats (some repetition is common in clean texts, and in one forest
+with the other features its rows would set the threshold for all), in steps of a tenth
 (finer ones single out ordinary texts): random splits of small samples isolate unusual documents after few steps, so a short mean path marks
-an anomaly. The score above which a document is rejected is calibrated on labelled rows: at most
+an anomaly. The score above which a document is rejected is calibrated on all labelled rows: at most
 ``clean_loss`` of the clean ones may score higher.
 """
 
@@ -18,9 +20,8 @@ from pyspark.sql import functions as F
 
 from keytide.llm.common import WordHashes, bounded_sample, byte_texts, ngram_hashes, raw, stage
 
-#: Rows from which the trees are grown, and labelled rows that set the threshold.
+#: Rows from which the trees are grown.
 SAMPLE_ROWS = 8192
-CALIBRATION_ROWS = 50_000
 TREES, LEAF_SAMPLE = 128, 256
 MIN_WORDS, MAX_REPEATED = 20, 30
 
@@ -30,9 +31,13 @@ _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(0x41, 0x5B))
 _LETTERS = _UPPER + bytes(range(0x61, 0x7B))
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["symbols", "upper", "marks", "word_length", "neighbours"]
+FEATURES = ["symbols", "upper", "marks", "word_length", "neighbours", "dup_lines", "repeat_words"]
+#: Features of each forest: how a text is written, and what it repeats.
+GROUPS = (slice(0, 5), slice(5, 7))
 #: Words of an ordinary text that every feature is averaged with, so that short texts are no outliers.
 PRIOR_WORDS, PRIOR_LENGTH, PRIOR_UPPER = 20, 5.7, 0.03
+#: Lines of an ordinary text that the share of repeated lines is averaged with.
+PRIOR_LINES = 4
 
 
 def _without(text: bytes, some: bytes) -> int:
@@ -67,6 +72,8 @@ def statistics(text: bytes, hashes: WordHashes) -> tuple[list[int], list[float]]
         min(2.0, _without(text, b"!?") / n),
         min(20.0, (chars + PRIOR_LENGTH * PRIOR_WORDS) / n) / 10,
         int(np.count_nonzero(ids[1:] == ids[:-1])) / n,
+        dup_lines / (len(lines) + PRIOR_LINES),
+        repeats / n,
     ]
     features = [round(f, 1) for f in features]
     return [len(words), chars, symbols, dup_lines, repeats], features
@@ -106,6 +113,19 @@ class Forest:
         return self.scores(rows) > self.limit if len(rows) else np.zeros(0, bool)
 
 
+@dataclass
+class Forests:
+    """One forest per group of features, each with its own limit."""
+
+    parts: list[Forest]
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        return np.column_stack([part.scores(rows[:, group]) for part, group in zip(self.parts, GROUPS)])
+
+    def rejected(self, scores: np.ndarray) -> np.ndarray:
+        return (scores > np.array([part.limit for part in self.parts])).any(1)
+
+
 def _expected_path(n: int) -> float:
     """Mean depth of an unsuccessful search among ``n`` rows."""
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
@@ -143,15 +163,20 @@ def grow(rows: np.ndarray, seed: int = 7) -> Forest:
     return Forest(*packed, norm=max(1.0, _expected_path(size)))
 
 
-def calibrate(forest: Forest, rows: np.ndarray, clean: np.ndarray, clean_loss: float) -> Forest:
+def calibrate(
+    forest: Forest, rows: np.ndarray, clean: np.ndarray, clean_loss: float, counts: np.ndarray | None = None
+) -> Forest:
     """Set the limit so that at most ``clean_loss`` of the clean rows score above it.
 
-    Without labelled rows of both kinds nothing is rejected.
+    A row stands for ``counts`` rows, one by default. Without labelled rows of both kinds nothing is rejected.
     """
     forest.limit = np.inf
     if clean.any() and not clean.all():
-        scores = np.sort(forest.scores(rows[clean]))
-        forest.limit = float(scores[len(scores) - 1 - int(clean_loss * len(scores))])
+        scores = forest.scores(rows[clean])
+        order = np.argsort(scores)
+        upto = np.cumsum(np.ones(len(scores), np.int64) if counts is None else counts[clean][order])
+        rank = int(upto[-1]) - 1 - int(clean_loss * int(upto[-1]))
+        forest.limit = float(scores[order[np.searchsorted(upto, rank, "right")]])
     return forest
 
 
@@ -177,20 +202,22 @@ def rule_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, schema)
 
 
-def fit_forest(stats: DataFrame, labels: DataFrame, clean_loss: float = 0.005) -> Forest:
-    """Grow the forest on a bounded sample and calibrate it on a bounded sample of labelled rows.
+def fit_forest(stats: DataFrame, labels: DataFrame, clean_loss: float = 0.005) -> Forests:
+    """Grow the forests on a bounded sample and calibrate each on all labelled rows, for its part of the loss.
 
-    ``labels`` has ``doc_id`` and ``quality`` (1 is clean). Rows that the base rules reject take no part.
+    ``labels`` has ``doc_id`` and ``quality`` (1 is clean). Rows that the base rules reject take no part. Labelled
+    rows are counted per combination of features, of which there are few, as features are in tenths.
     """
     able = stats.filter("not base_failed").select("doc_id", "features")
     grown = [r["features"] for r in bounded_sample(able, SAMPLE_ROWS, "doc_id").collect()]
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").dropna()
-    known = bounded_sample(able.join(known, "doc_id"), CALIBRATION_ROWS, "doc_id").collect()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("clean")).dropna()
+    known = able.join(known, "doc_id").groupBy("features", "clean").agg(F.count("*").alias("n")).collect()
     width = len(FEATURES)
     rows = np.array([r["features"] for r in known], float).reshape(-1, width)
-    clean = np.array([r["quality"] == 1 for r in known], bool)
-    forest = grow(np.array(grown, float).reshape(-1, width))
-    return calibrate(forest, rows, clean, clean_loss)
+    clean = np.array([r["clean"] for r in known], bool)
+    counts = np.array([r["n"] for r in known], np.int64)
+    grown_rows, loss = np.array(grown, float).reshape(-1, width), clean_loss / len(GROUPS)
+    return Forests([calibrate(grow(grown_rows[:, g]), rows[:, g], clean, loss, counts) for g in GROUPS])
 
 
 def quality_rules(
@@ -199,7 +226,7 @@ def quality_rules(
     """Statistics and verdict per input row.
 
     Columns: ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
-    ``base_failed``, ``kept`` and the anomaly ``score``. Null and empty texts have no words and fail the
+    ``base_failed``, ``kept`` and the anomaly ``score``, the higher one of the forests. Null and empty texts have no words and fail the
     base rules. Rows repeat as they come in; an empty table gives an empty result; without labels of both
     kinds only the base rules reject. Other columns are not looked at.
     """
@@ -212,9 +239,9 @@ def quality_rules(
             features = np.array(batch.column("features").flatten()).reshape(-1, len(FEATURES))
             scores = forest.scores(features)
             failed = np.array(batch.column("base_failed").to_pylist(), bool)
-            kept = ~failed & ~(scores > forest.limit)
+            kept = ~failed & ~forest.rejected(scores)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(kept), pa.array(scores)],
+                [*batch.columns[:-1], pa.array(kept), pa.array(scores.max(1))],
                 [f.split()[0] for f in schema.split(", ")],
             )
 
@@ -231,7 +258,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, text: str = "text", cle
         for batch in batches:
             found = [statistics(t, hashes) for t in byte_texts(batch, text)]
             failed = np.array([base_failed(s[0], s[4]) for s, _ in found], bool)
-            odd = forest.rejects(np.array([f for _, f in found], float).reshape(-1, len(FEATURES)))
+            odd = forest.rejected(forest.scores(np.array([f for _, f in found], float).reshape(-1, len(FEATURES))))
             yield batch.filter(pa.array(~(failed | odd)))
 
     return docs.mapInArrow(run, docs.schema)

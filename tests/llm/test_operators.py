@@ -132,6 +132,33 @@ def test_forest_singles_out_odd_rows():
     assert not quality_rules.grow(rows[:0]).rejects(rows).any()
 
 
+def test_rules_reject_repeated_lines_and_words(spark):
+    rng, rows, known = random.Random(21), [], []
+    words = lambda n: [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(n)]
+    for i in range(600):
+        lines = [" ".join(words(9)) for _ in range(16)]
+        if i % 20 == 0:
+            lines = [x for line in lines[:12] for x in (line, "read more here")]
+        if i % 20 == 1:
+            lines[8:10] = lines[3:5]
+            lines[8] += " and"
+        rows.append((i, "\n".join(lines), 0, ""))
+        known.append((i, int(i % 20 > 1), 0))
+    found = quality_rules.quality_rules(documents(spark, rows), labels(spark, known)).collect()
+    assert not any(r.base_failed for r in found)
+    assert {r.doc_id for r in found if not r.kept} == {i for i in range(600) if i % 20 < 2}
+
+
+def test_threshold_counts_every_labelled_row():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 4, (3000, 7)) / 10
+    clean, forest = rng.random(3000) < 0.9, quality_rules.grow(rows)
+    limit = quality_rules.calibrate(forest, rows, clean, 0.02).limit
+    groups, counts = np.unique(np.column_stack([rows, clean]), axis=0, return_counts=True)
+    assert quality_rules.calibrate(forest, groups[:, :7], groups[:, 7] > 0, 0.02, counts).limit == limit
+    assert not hasattr(quality_rules, "CALIBRATION_ROWS")
+
+
 def brute_spans(text):
     found = []
     assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
