@@ -10,8 +10,10 @@ if all of them do, so one prefix token, its rarest shingle in the corpus, decide
    which must lie inside the document (position and length bound);
 4. compare the words of the item-sized window one by one.
 
-The benchmark is worked on in blocks of bounded size, each sent to all tasks, so documents are
-never shuffled and any number of items can be held against them.
+A benchmark whose windows fit one block of bounded size is sent to all tasks. A larger one stays on Spark:
+windows, counts and prefix tokens are tables, a bit table of fixed size leaves of the documents' shingles those
+that may be in the benchmark, and these are joined, with the words around them, with the prefix tokens.
+Documents are never shuffled, and the driver holds at most one block.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 
 from keytide.llm.common import WordHashes, byte_texts, ngram_hashes, raw, stage
 
-#: Bytes of window text in one block of the benchmark.
+#: Bytes of window text up to which a benchmark is sent to all tasks.
 BLOCK_BYTES = 24 << 20
 SHINGLE = 3
+#: Occurrences of a prefix token in the documents from which its rows are dealt over several tasks, and tokens at most.
+HOT_ROWS, HOT_TOKENS = 20_000, 4096
 _TABLE_BITS = 22
 
 #: Letters a-z after lower-casing A-Z, digits and everything beyond ASCII make words.
@@ -151,17 +155,130 @@ def _count_shingles(docs: DataFrame, block: Windows) -> dict[int, int]:
     return {int(np.int64(r["shingle"]).view(np.uint64)): r["n"] for r in rows}
 
 
-def benchmark_blocks(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> list[Windows]:
-    """The benchmark's windows in blocks, each with its prefix tokens."""
-    windows = stage(_windows(benchmark, window), "windows")
-    size = windows.agg(F.sum(F.length("window") + F.length("item") + 100)).first()[0] or 0
-    blocks, made = max(1, -(-size // BLOCK_BYTES)), []
-    for i in range(blocks):
-        part = F.pmod(F.xxhash64("window"), F.lit(blocks)) == i
-        block = Windows(windows.filter(part).collect())
-        block.order_by_rarity(_count_shingles(docs, block))
-        made.append(block)
-    return made
+def _fits(windows: DataFrame) -> bool:
+    return (windows.agg(F.sum(F.length("window") + F.length("item") + 100)).first()[0] or 0) <= BLOCK_BYTES
+
+
+def _block(docs: DataFrame, windows: DataFrame) -> Windows:
+    """All windows, with their prefix tokens, in one block."""
+    block = Windows(windows.collect())
+    block.order_by_rarity(_count_shingles(docs, block))
+    return block
+
+
+def _shingled(windows: DataFrame) -> DataFrame:
+    """``window, size, at, shingle``: the shingles of the distinct windows with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            rows = []
+            for window in batch.column(0).to_pylist():
+                words = window.split()
+                size = min(SHINGLE, len(words))
+                found = ngram_hashes(hashes.of(words), size).view(np.int64).tolist()
+                rows += [(window, size, at, shingle) for at, shingle in enumerate(found)]
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["window", "size", "at", "shingle"]
+            )
+
+    return windows.select("window").distinct().mapInArrow(run, "window binary, size int, at int, shingle long")
+
+
+def _bit_table(shingles: DataFrame) -> np.ndarray:
+    """Which slots of a ``Membership`` table the shingles take, packed; its size does not depend on theirs."""
+    low = _TABLE_BITS - 6
+    slots = shingles.select(F.shiftrightunsigned("shingle", 64 - _TABLE_BITS).alias("slot")).distinct()
+    slots = slots.repartition(64, F.shiftright("slot", low))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            found = batch.column(0).to_numpy()
+            for part in np.unique(found >> low).tolist():
+                bits = parts.setdefault(part, np.zeros(1 << low, bool))
+                bits[found[found >> low == part] & ((1 << low) - 1)] = True
+        packed = [np.packbits(b).tobytes() for b in parts.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array(packed, pa.binary())], ["part", "bits"])
+
+    table = np.zeros((64, (1 << low) // 8), np.uint8)
+    for row in slots.mapInArrow(run, "part long, bits binary").collect():
+        table[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
+    return table.ravel()
+
+
+def _document_shingles(docs: DataFrame, sizes: list[int], bits: np.ndarray, window: int, counted: bool) -> DataFrame:
+    """Shingles of ``docs`` (``text_key, text``) that the bit table knows: counts, or places with the words around."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, table = WordHashes(), np.unpackbits(bits).view(bool)
+        for batch in batches:
+            counts: dict[tuple[int, int], int] = defaultdict(int)
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), byte_texts(batch, "text")):
+                words = words_of(text)
+                ids = hashes.of(words)
+                for size in sizes:
+                    values = ngram_hashes(ids, size)
+                    at = np.flatnonzero(table[Membership._slot(values)])
+                    for place, value in zip(at.tolist(), values[at].view(np.int64).tolist()):
+                        if counted:
+                            counts[size, value] += 1
+                        else:
+                            first = max(0, place - window + 1)
+                            around = b" ".join(words[first : place + window])
+                            rows.append((key, size, value, place, place - first, around))
+            if counted:
+                rows = [(size, value, n) for (size, value), n in counts.items()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names
+            )
+
+    if counted:
+        schema, kinds = "size int, shingle long, n long", (pa.int32(), pa.int64(), pa.int64())
+    else:
+        schema = "text_key long, size int, shingle long, place long, lead int, around binary"
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    names = [f.split()[0] for f in schema.split(", ")]
+    return docs.select("text_key", raw("text").alias("text")).mapInArrow(run, schema)
+
+
+def _joined_occurrences(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
+    """``text_key, start, end, window`` of every occurrence of a window in a text of ``docs``, each once."""
+    shingles = stage(_shingled(windows), "shingles")
+    sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())
+    counts = _document_shingles(docs, sizes, _bit_table(shingles), window, counted=True)
+    counts = counts.groupBy("size", "shingle").agg(F.sum("n").alias("n"))
+    ranked = shingles.join(counts, ["size", "shingle"], "left")
+    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at", "size")
+    prefixes = ranked.groupBy("window").agg(F.min(rarity).alias("p")).select("window", "p.*").filter("n > 0")
+    prefixes = stage(prefixes, "prefixes")
+    hot = prefixes.filter(F.col("n") > HOT_ROWS).select("shingle", "n").distinct().orderBy(F.desc("n"), "shingle")
+    salts = {r["shingle"]: min(256, -(-r["n"] // HOT_ROWS)) for r in hot.limit(HOT_TOKENS).collect()}
+    # Of a token in very many places every place is dealt to one salt, and the windows are there for each.
+    table = prefixes.sparkSession.createDataFrame(list(salts.items()), "shingle long, salts int")
+    some = lambda df: df.join(F.broadcast(table), "shingle", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    places = _document_shingles(docs, sizes, _bit_table(prefixes), window, counted=False)
+    places = some(places).withColumn("salt", F.pmod(F.xxhash64("text_key", "place"), F.col("salts")).cast("int"))
+    looked = some(prefixes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    pairs = places.drop("salts").join(looked.drop("salts", "n"), ["size", "shingle", "salt"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, place, lead, around, expected, at in zip(*(c.to_pylist() for c in batch.columns)):
+                words, first = expected.split(), lead - at
+                if first >= 0 and around.split()[first : first + len(words)] == words:
+                    rows.append((key, place - at, place - at + len(words), expected))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
+                ["text_key", "start", "end", "window"],
+            )
+
+    pairs = pairs.select("text_key", "place", "lead", "around", "window", "at")
+    return pairs.mapInArrow(run, "text_key long, start long, end long, window binary").distinct()
 
 
 def _searcher(block: Windows) -> Callable[[bytes], tuple[int, list[tuple[int, int]]]]:
@@ -251,34 +368,41 @@ def contamination(
     other columns are not looked at.
     """
     docs = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
-    blocks = benchmark_blocks(docs, benchmark, window)
-    found = [_occurrences(docs, key, "text", b) for b in blocks]
-    if len(found) == 1:
-        return _finish(found[0])
-    together = found[0]
-    for more in found[1:]:
-        together = together.union(more)
-    gather = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    copies = F.sequence(F.lit(1), (F.count("*") / len(blocks)).cast("int"))
-    merged = together.groupBy("doc_id", "text_key").agg(
-        F.first("n_words").alias("n_words"),
-        gather("starts"),
-        gather("ends"),
-        gather("items"),
-        copies.alias("copies"),
+    windows = stage(_windows(benchmark, window), "windows")
+    if _fits(windows):
+        return _finish(_occurrences(docs, key, "text", _block(docs, windows)))
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    found = stage(_joined_occurrences(keyed, windows, window), "occurrences")
+    places = found.groupBy("text_key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    items = found.select("text_key", "window").distinct().join(windows, "window")
+    items = items.groupBy("text_key").agg(F.collect_set("item").alias("items"))
+    rows = _occurrences(docs, key, "text", Windows([])).select("doc_id", "text_key", "n_words")
+    rows = rows.join(places, "text_key", "left").join(items, "text_key", "left")
+    empty = F.array().cast("array<long>")
+    return _finish(
+        rows.withColumns(
+            {
+                "starts": F.coalesce("starts", empty),
+                "ends": F.coalesce("ends", empty),
+                "items": F.coalesce("items", F.array().cast("array<string>")),
+            }
+        )
     )
-    return _finish(merged.withColumn("copy", F.explode("copies")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10) -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs; all columns stay as they are."""
-    kept = docs
-    for block in benchmark_blocks(docs.select(F.col(text).alias("text")), benchmark, window):
+    texts = docs.select(F.col(text).alias("text"))
+    windows = stage(_windows(benchmark, window), "windows")
+    if not _fits(windows):
+        keyed = texts.withColumn("text_key", F.xxhash64("text"))
+        found = stage(_joined_occurrences(keyed, windows, window).select(F.col("text_key").alias("__text_key")).distinct(), "found")
+        return docs.join(found, F.xxhash64(F.col(text)) == F.col("__text_key"), "left_anti")
+    block = _block(texts, windows)
 
-        def run(batches: Iterator[pa.RecordBatch], block: Windows = block) -> Iterator[pa.RecordBatch]:
-            search = _searcher(block)
-            for batch in batches:
-                yield batch.filter(pa.array([not search(t)[1] for t in byte_texts(batch, text)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _searcher(block)
+        for batch in batches:
+            yield batch.filter(pa.array([not search(t)[1] for t in byte_texts(batch, text)], pa.bool_()))
 
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+    return docs.mapInArrow(run, docs.schema)

@@ -104,6 +104,22 @@ def test_contamination_matches_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == clean and kept.columns == documents(spark).columns
 
 
+def test_large_benchmark_never_passes_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", 3)
+
+    def collected(*_):
+        raise AssertionError("windows were collected")
+
+    monkeypatch.setattr(decontaminate, "_block", collected)
+    rng = random.Random(15)
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.randint(3, 30)))) for i in range(30)] + [(40, "alpha"), (41, "mu nu")]
+    rows = [(i, " ".join(rng.choices(WORDS, k=20)) + " " + items[i % 7][1] + " end", 0, "") for i in range(60)]
+    found = contamination(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    mine = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in found)
+    assert mine == sorted((r[0], *brute_contamination(r[1], items)) for r in rows)
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen, dup = set(), 0
