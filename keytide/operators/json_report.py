@@ -22,8 +22,11 @@ FIELDS = {
     "ReportedKeys": "reported_keys",
     "ReportedBandwidth": "reported_bytes",
     "ReportedBandwidthPercentage": "reported_percentage",
+    "Part": "Part",
     "Rows": "Rows",
 }
+#: Rows in one object; a longer report is several objects.
+PART_ROWS = R.MAX_TOP
 STATS_FIELDS = ("Culumative", "Incremental")
 _BYTES = "sum(size)"
 
@@ -38,20 +41,21 @@ def json_reports(
     format: str | ReportSpec = DEFAULT_SPEC,
     by: Sequence[str] = (),
     stamp=None,
-    top: int = R.MAX_TOP,
+    top: int | None = None,
     threshold: int | None = None,
     rank_by: str | None = None,
     stats: DataFrame | None = None,
 ) -> DataFrame:
     """One row per interval (or one for ``by=()``) with the fields of a JSON report.
 
-    The rows of an interval become one array, which is why there is a default ``top``.  ``stamp`` is
+    All rows are reported unless ``top`` is given.  An array holds ``PART_ROWS`` rows; an interval with
+    more has one row per array, with the same totals and its number as ``Part``, which is null else.  ``stamp`` is
     the report time, by default the interval's end.  ``stats`` holds per-interval counters to include.
     Totals are of bytes whatever the rows are ranked by, so ``full`` needs ``sum(size)``; make it with
     ``spec.with_sum()`` if ``format`` does not list that.
     """
     spec = report_spec(format)
-    if top < 0:
+    if top is not None and top < 0:
         raise ValueError("top must not be negative")
     if _BYTES not in full.columns:
         raise ValueError(f"totals need {_BYTES}; make the report with with_sum()")
@@ -76,13 +80,14 @@ def json_reports(
         ]
 
     rows = F.collect_list(F.struct(F.col("rank"), row_struct(spec).alias("row")))
-    listed = shown.groupBy(*keys).agg(
-        *counted("reported"), F.array_sort(rows).getField("row").alias("Rows")
-    )
+    part = F.floor((F.col("rank") - 1) / PART_ROWS).alias("Part")
+    listed = shown.groupBy(*keys, part).agg(F.array_sort(rows).getField("row").alias("Rows"))
     empty = F.array().cast(listed.schema["Rows"].dataType)
-    out = full.groupBy(*keys).agg(*counted("total")).join(listed, keys, "left")
+    out = full.groupBy(*keys).agg(*counted("total"))
+    out = out.join(shown.groupBy(*keys).agg(*counted("reported")), keys, "left").join(listed, keys, "left")
     out = out.withColumns(
         {
+            "Part": F.when(F.col("reported_keys") > PART_ROWS, F.col("Part")),
             "Rows": F.coalesce("Rows", empty),
             "reported_keys": F.coalesce("reported_keys", F.lit(0).cast("long")),
             "reported_bytes": F.coalesce("reported_bytes", F.lit(0).cast("long")),

@@ -81,9 +81,8 @@ def start_running_json_reports(
 def _write_json(
     full: DataFrame, hot: R.HotKeys, by: Sequence[str], stamp: Column | None, path: str | None, batch: int
 ) -> None:
-    top = R.MAX_TOP if hot.top is None else hot.top
     reports = J.json_reports(
-        full, hot.spec, by, stamp=stamp, top=top, threshold=hot.threshold, rank_by=hot.rank_by
+        full, hot.spec, by, stamp=stamp, top=hot.top, threshold=hot.threshold, rank_by=hot.rank_by
     )
     # A batch that is repeated after a failure replaces its own files.
     write_reports(reports, path and f"{path}/batch={batch}", "overwrite")

@@ -354,3 +354,13 @@ def test_json_totals_are_bytes(spark):
     assert [r.asDict() for r in row["Rows"]] == [{"key": "a", "p95(size)": (1 << 63) - 1}]
     with pytest.raises(ValueError):
         J.json_reports(R.report(events, spec), spec, stamp=stamp)
+
+
+def test_json_report_without_top_has_all_rows(spark, monkeypatch):
+    events = spark.range(70_000).selectExpr("concat('k', id) AS key", "id AS size", "timestamp'2024-01-01' AS ts")
+    stamp = F.lit("2024-05-06").cast("timestamp")
+    lines = [json.loads(r["value"]) for r in J.as_json_lines(J.json_reports(R.report(events), stamp=stamp)).collect()]
+    lines.sort(key=lambda x: x["Part"])
+    assert [x["Part"] for x in lines] == [0, 1] and {x["ReportedKeys"] for x in lines} == {70_000}
+    assert [len(x["Rows"]) for x in lines] == [65_535, 70_000 - 65_535]
+    assert [r["key"] for x in lines for r in x["Rows"]] == [f"k{i}" for i in range(69_999, -1, -1)]
