@@ -4,8 +4,8 @@ A stage takes ``(spark, docs, sf_dir)`` and returns a table that is written and
 one's ``docs``. All but the last return the columns of ``docs`` as they are:
 
 1. quality rules: rows that the rules or the isolation forest reject go;
-2. Jaccard join (five-word shingles, 80 %): of each group of linked documents the one with the smallest
-   ``doc_id`` stays;
+2. Jaccard join (five-word shingles, 80 %): of each group of linked rows the one with the smallest
+   ``doc_id`` stays, of equal or no ids one of them;
 3. decontamination: rows with a benchmark window go;
 4. secrets: found spans are replaced by ``[SECRET]``, ``n_chars`` follows, no row goes;
 5. packing: one row per piece of a document and its place.
@@ -35,16 +35,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group: the smallest id, of equal ids the first text; wordless rows stay."""
+    """One row of each linked group: by id (null last), text hash and place in the table; wordless rows stay."""
     ship(spark)
-    linked = jaccard_join(docs)
-    first = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = stage(first.groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__rows")), "kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id"))
-    kept = docs.join(ids, same, "left_semi")
-    if ids.filter("__rows > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])  # repeated rows
+    # Rows are told apart by a number that is written with them: ids may be null or repeat.
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    linked = jaccard_join(rows, key="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "__row")
+    firsts = rows.select("__row", order.alias("__order")).join(linked, "__row").groupBy("__group").agg(F.min("__order").alias("o"))
+    ids = stage(firsts.select(F.col("o.__row").alias("__row")), "kept")
+    return rows.join(ids, "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -466,3 +466,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["secrets"] == kept["decontamination"]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted({r.doc_id for r in packed.collect()}) == sorted(set(kept["secrets"]))
+
+
+def test_near_copies_without_an_id_of_their_own_go(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [" ".join(random.Random(i).choices(WORDS, k=60)) + f" number{i}" for i in range(5)]
+    rows = [(None, texts[0], 0, "a"), (None, texts[0] + " more", 0, "a"), (None, texts[1], 0, "b")]
+    rows += [(7, texts[2], 0, "c"), (7, texts[2] + " more", 0, "c"), (7, texts[3] + " more", 0, "d"), (3, texts[3], 0, "d")]
+    rows += [(8, texts[4], 0, "e"), (None, texts[4], 0, "e"), (9, "", 0, "f"), (None, None, 0, "g")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = corpus_pipeline.read(spark, str(tmp_path), "documents")
+    found = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert found.columns == docs.columns
+    expected = [(None, "a"), (None, "b"), (7, "c"), (3, "d"), (8, "e"), (9, "f"), (None, "g")]
+    assert sorted(((r.doc_id, r.kept) for r in found.collect()), key=repr) == sorted(expected, key=repr)
