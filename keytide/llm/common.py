@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def remove(*staged: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote and no result still to be computed reads; other tables are left alone."""
+    for df in staged:
+        path = getattr(df, "staged_at", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
@@ -86,6 +99,21 @@ def byte_texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [v or b"" for v in values]
 
 
+def slices(batch: pa.RecordBatch, name: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose text column has about ``size`` bytes, at least one row each.
+
+    Only a part at a time becomes Python objects.
+    """
+    lengths = pc.binary_length(batch.column(batch.schema.get_field_index(name))).fill_null(0)
+    reach = np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        done = reach[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(reach, done + size, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def portions(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts that together have about ``size`` bytes, at least one text each."""
     low = total = 0

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keytide.llm.common import read
 from keytide.llm.decontaminate import contamination
+from keytide.llm.fill_middle import fill_in_middle, restored
 from keytide.llm.html_text import extract_text
 from keytide.llm.jaccard import jaccard_join
+from keytide.llm.licenses import find_licenses
 from keytide.llm.packing import pack
 from keytide.llm.quality_model import quality_scores
 from keytide.llm.quality_rules import quality_rules
+from keytide.llm.ranked_search import ranked_search
 from keytide.llm.secrets import find_secrets
 from keytide.llm.token_counts import token_counts
 from keytide.llm.toxicity import toxicity
@@ -72,6 +76,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read(spark, sf_dir, "pages"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that each document names or holds."""
+    return find_licenses(read(spark, sf_dir, "documents")).drop("matches")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=20)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in their forms, and what the forms are restored to, as digests."""
+    made = fill_in_middle(read(spark, sf_dir, "documents"))
+    made = made.withColumn("output_sha256", F.sha2(F.col("output").cast("binary"), 256))
+    again = restored(F.col("form"), F.col("output"))
+    return made.withColumn("restored_sha256", F.sha2(again.cast("binary"), 256)).drop("output")
+
+
 _ALL = (
     op1_warc_round_trip,
     op2_secret_scan,
@@ -83,6 +105,9 @@ _ALL = (
     op8_benchmark_decontamination,
     op9_quality_rules,
     op10_html_extraction,
+    op11_license_scan,
+    op12_ranked_search,
+    op13_fill_in_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -143,4 +168,46 @@ SQL = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
     """,
+    "op12_ranked_search": rf"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), corpus AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+        q AS (
+            SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM benchmark
+        ), asked AS (SELECT item_id, t, count(*) AS repeats FROM q GROUP BY ALL),
+        found AS (
+            SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL
+        ), weighted AS (
+            SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+            FROM found, corpus GROUP BY t, docs
+        ), scored AS (
+            SELECT item_id, doc_id, sum(repeats * weight * ((1000000000 * tf) //
+                (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+            FROM asked JOIN found USING (t) JOIN weighted USING (t), corpus GROUP BY item_id, doc_id
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 20
+    """,
+    "op13_fill_in_middle": """
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+        ), drawn AS (
+            SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+                t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                    OR ('0x' || h[17:24])::BIGINT % 100 >= 90 AS plain,
+                ('0x' || h[25:32])::BIGINT % 100 < 20 AS spm FROM d
+        ), cut AS (
+            SELECT *, left(t, least(a, b)) AS p, substring(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m,
+                substring(t, greatest(a, b) + 1) AS s FROM drawn
+        )
+        SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+            CASE WHEN NOT plain THEN least(a, b) END AS prefix_chars,
+            CASE WHEN NOT plain THEN greatest(a, b) - least(a, b) END AS middle_chars,
+            sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m
+                ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM cut
+    """,
 }
