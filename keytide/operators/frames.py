@@ -16,6 +16,7 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,6 +152,12 @@ def _headers(heads: pa.Array, lengths: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([arrays[n] for n in _HEADER.names], fields=list(_HEADER))
 
 
+def tcp_ports(data: pa.Array) -> list[pa.Array]:
+    """Source and destination ports of frames, null where a frame holds no TCP."""
+    walked = _headers(data, pc.binary_length(data))
+    return [walked.field("src_port"), walked.field("dst_port")]
+
+
 def _head() -> Column:
     """The part of a frame that can hold headers; long only behind a hop-by-hop header.
 

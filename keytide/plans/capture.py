@@ -20,16 +20,19 @@ def raw_packets(
     packets: DataFrame | None = None,
     ports: Sequence[int] = DEFAULT_PORTS,
 ) -> DataFrame:
-    """Raw packets from exactly one source: capture files, or any table with their columns."""
+    """Raw packets from exactly one source: capture files, or any table with their columns.
+
+    Of capture files only packets on ``ports`` are read.
+    """
     if (path is None) == (packets is None):
         raise ValueError("give either a path or a table of packets")
     check_ports(ports)
     if path is not None:
-        return read_captures(spark, path)
+        return read_captures(spark, path, ports=ports)
     missing = [c for c in RAW_SCHEMA.names if c not in packets.columns]
     if missing:
         raise ValueError(f"packets lack the columns {missing}")
-    return packets
+    return packets.select(*RAW_SCHEMA.names)
 
 
 def capture_events(

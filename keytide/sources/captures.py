@@ -1,23 +1,28 @@
-"""Capture files (classic pcap) as raw packets.
-
-``read_captures`` splits large files: records carry no markers, so each split first guesses where
-its first record starts, and the guesses are checked against where the split before it ends; a wrong
-guess is replaced by the true place.  ``ord`` is a record's byte offset, unique and increasing within
-its file.
+"""Capture files (pcap and pcapng) as raw packets.
+
+Large files are read in splits. Records carry no markers, so each split first guesses where its first
+record starts, and the guesses are checked against where the split before it ends; a wrong guess is
+replaced by the true place. What a pcapng split must know of the file before it (byte order, interfaces)
+is handed on in the same pass over one short row per split. ``ord`` is a record's byte offset, unique and
+increasing within its file. With ``ports``, payloads of packets that cannot be TCP on one of them are never
+read.
 """
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-from typing import BinaryIO
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+
+from keytide.operators.frames import check_ports, tcp_ports
+from keytide.sources.formats import BadCapture, CaptureFile, Section, Wanted, on_ports, open_capture
+
+__all__ = ["RAW_SCHEMA", "BadCapture", "read_captures", "register_pcap", "stream_captures"]
 
 RAW_SCHEMA = T.StructType(
     [
@@ -30,200 +35,117 @@ RAW_SCHEMA = T.StructType(
         T.StructField("data", T.BinaryType()),
     ]
 )
+_TYPES = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), *[pa.int32()] * 3, pa.binary()]
 
-# Magic numbers (with the units per second they stand for), link types, sizes.
-MAGICS = {0xA1B2C3D4: 1_000_000, 0xA1B23C4D: 1_000_000_000}
-LINK_TYPES = {0: "null", 1: "ethernet", 108: "loop"}
-FILE_HEADER, RECORD_HEADER = 24, 16
-LONGEST_RECORD = 262144
 BATCH_RECORDS, BATCH_BYTES = 1000, 8 << 20
-
 SPLIT_BYTES = 64 << 20
-_CHAIN = 16
-
-
-class BadCapture(ValueError):
-    """Not a capture file this reader knows."""
-
-
-def open_file(path: str) -> BinaryIO:
-    """Open a local path or any URI the installed file systems know, for seeking reads."""
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    if "://" not in path:
-        return open(path, "rb", buffering=1 << 20)
-    from pyarrow import fs
+#: Tasks of one reading; with more splits than these a task reads several.
+MOST_TASKS = 100_000
 
-    system, name = fs.FileSystem.from_uri(path)
-    return system.open_input_file(name)
 
+def _batches(
+    capture: CaptureFile, start: int, stop: int, section: Section, wanted: Wanted | None
+) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
 
-class CaptureFile:
-    """One open capture file: its header and its records from a given offset."""
-
-    def __init__(self, path: str):
-        self.path, self.file = path, open_file(path)
-        head = self.file.read(FILE_HEADER)
-        if len(head) < FILE_HEADER:
-            raise BadCapture(f"{path}: shorter than a capture header")
-        for order in "<>":
-            (magic,) = struct.unpack(order + "I", head[:4])
-            if magic in MAGICS:
-                break
-        else:
-            raise BadCapture(f"{path}: not a capture file")
-        self.units = MAGICS[magic]
-        self.layout = struct.Struct(order + "IIII")
-        self.linktype = struct.unpack(order + "I", head[20:24])[0] & 0x0FFFFFFF
-        if self.linktype not in LINK_TYPES:
-            raise BadCapture(f"{path}: link type {self.linktype} is not supported")
-
-    def __enter__(self) -> CaptureFile:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.file.close()
-
-    def records(self, start: int, stop: int) -> Iterator[tuple[int, int, int, bytes]]:
-        """``(offset, microseconds, wire length, data)`` of records that start in the range.
-
-        A record cut off by the end of the file is left out.
-        """
-        at = max(start, FILE_HEADER)
-        self.file.seek(at)
-        while at < stop:
-            head = self.file.read(RECORD_HEADER)
-            if len(head) < RECORD_HEADER:
-                return
-            seconds, fraction, caplen, wirelen = self.layout.unpack(head)
-            if caplen > LONGEST_RECORD:
-                raise BadCapture(f"{self.path}: record of {caplen} bytes at {at}")
-            data = self.file.read(caplen)
-            if len(data) < caplen:
-                return
-            yield at, seconds * 1_000_000 + fraction * 1_000_000 // self.units, wirelen, data
-            at += RECORD_HEADER + caplen
-
-    def leave(self, start: int, stop: int) -> int:
-        """Offset of the first record at or after ``stop``, reading on from ``start``."""
-        end = start
-        for at, _, _, data in self.records(start, stop):
-            end = at + RECORD_HEADER + len(data)
-        return end
-
-    def guess(self, start: int, stop: int) -> int | None:
-        """First place in the range where a chain of plausible records starts."""
-        if start <= FILE_HEADER:
-            return FILE_HEADER
-        self.file.seek(start)
-        window = self.file.read(min(stop - start, LONGEST_RECORD + RECORD_HEADER) + (_CHAIN + 1) * 4096)
-        for at in range(min(stop - start, len(window) - RECORD_HEADER + 1)):
-            if self._plausible(window, at):
-                return start + at
-        return None
-
-    def _plausible(self, window: bytes, at: int) -> bool:
-        first = None
-        for n in range(_CHAIN):
-            if at + RECORD_HEADER > len(window):
-                return n > 0
-            seconds, fraction, caplen, wirelen = self.layout.unpack_from(window, at)
-            first = seconds if first is None else first
-            if fraction >= self.units or not 0 < caplen <= min(wirelen, LONGEST_RECORD):
-                return False
-            if abs(seconds - first) > 86400:
-                return False
-            at += RECORD_HEADER + caplen
-        return True
-
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)]
+        return pa.RecordBatch.from_arrays(columns, RAW_SCHEMA.names)
 
-def _batches(capture: CaptureFile, start: int, stop: int) -> Iterator[list[tuple]]:
-    rows, size = [], 0
-    for at, us, wirelen, data in capture.records(start, stop):
-        rows.append((capture.path, at, us, len(data), wirelen, capture.linktype, data))
-        size += len(data)
+    for p in capture.packets(start, stop, section, wanted):
+        rows.append((capture.path, *p))
+        size += p.caplen
         if len(rows) >= BATCH_RECORDS or size >= BATCH_BYTES:
-            yield rows
+            yield batch()
             rows, size = [], 0
     if rows:
-        yield rows
-
+        yield batch()
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=RAW_SCHEMA.names)
-    out["ts"] = pd.to_datetime(out["ts"], unit="us", utc=True)
-    return out
 
+def _wanted(ports: Sequence[int] | None) -> Wanted | None:
+    return None if ports is None else on_ports(frozenset(check_ports(ports)))
 
-def _read_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path in batch["path"]:
-            with CaptureFile(path) as capture:
-                yield from map(_frame, _batches(capture, 0, 1 << 62))
 
+def _read_files(files: DataFrame, split_bytes: int, ports: Sequence[int] | None, tasks: int) -> DataFrame:
+    """Packets of the files ``path, length``; nothing here keeps state, so files may come as a stream.
 
-def read_captures(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Raw packets of all capture files under ``path``, large files read in parallel splits."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    The number of tasks is stated: rows of splits are short, and Spark would put them all together.
+    """
+    wanted = _wanted(ports)
     step = F.lit(split_bytes).cast("long")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), step)
-    splits = files.select("path", "length", F.explode(starts).alias("start")).withColumn(
-        "stop", F.col("start") + step
-    )
-    guess_schema = "path string, start long, stop long, entry long, leave long"
+    splits = files.select("path", "length", F.explode(starts).alias("start")).withColumn("stop", F.col("start") + step)
+    known = "path string, start long, stop long, section string"
 
     def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "start", "stop", "entry", "order", "leave", "section"]
         for batch in batches:
             rows = []
             for name, start, stop in batch.itertuples(index=False, name=None):
-                with CaptureFile(name) as capture:
-                    entry = capture.guess(start, stop)
-                    leave = None if entry is None else capture.leave(entry, stop)
-                rows.append((name, start, stop, entry, leave))
-            yield pd.DataFrame(rows, columns=["path", "start", "stop", "entry", "leave"], dtype=object)
+                with open_capture(name) as capture:
+                    rows.append((name, start, stop, *(capture.summary(start, stop) or [None] * 4)))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, at = None, 0
-        for batch in batches:
-            rows = []
-            for path, start, stop, entry, leave in batch.itertuples(index=False, name=None):
-                if path != name:
-                    name, at = path, FILE_HEADER
-                rows.append((path, at, stop))
-                if at >= stop:
-                    continue
-                if entry == at:
-                    at = int(leave)
-                else:
-                    with CaptureFile(path) as capture:
-                        at = capture.leave(at, stop)
-            yield pd.DataFrame(rows, columns=["path", "start", "stop"], dtype=object)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # One short row per split; those of a file are all here.
+        rows = sorted((r for b in batches for r in b.itertuples(index=False, name=None)), key=lambda r: (r[0], r[1]))
+        out, name, at, section = [], None, 0, Section()
+        for path, start, stop, entry, order, leave, left in rows:
+            if path != name:
+                name, at, section = path, int(entry), Section()
+            out.append((path, at, stop, section.to_json()))
+            if at >= stop:
+                continue
+            if not pd.isna(leave) and entry == at and order.removeprefix("?") == section.order:
+                at, section = int(leave), section.then(Section.of_json(left))
+            else:
+                with open_capture(path) as capture:
+                    at, changed = capture.leave(at, stop, section)
+                    section = section.then(changed)
+        yield pd.DataFrame(out, columns=["path", "start", "stop", "section"], dtype=object)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, start, stop in batch.itertuples(index=False, name=None):
-                with CaptureFile(name) as capture:
-                    yield from map(_frame, _batches(capture, start, stop))
+            for row in batch.to_pylist():
+                with open_capture(row["path"]) as capture:
+                    yield from _batches(capture, row["start"], row["stop"], Section.of_json(row["section"]), wanted)
 
     # Files of one split need no guess; the others report one short row per split.
-    whole = splits.filter(F.col("length") <= step).select("path", "start", "stop")
-    parts = splits.filter(F.col("length") > step).select("path", "start", "stop")
+    one = F.col("length") <= step
+    whole = splits.filter(one).select("path", "start", "stop", F.lit(Section().to_json()).alias("section"))
     confirmed = (
-        parts.repartition("path", "start")
-        .mapInPandas(guess, guess_schema)
+        splits.filter(~one).select("path", "start", "stop").repartition(tasks, "path", "start")
+        .mapInPandas(guess, "path string, start long, stop long, entry long, order string, leave long, section string")
         .repartition("path")
-        .sortWithinPartitions("path", "start")
-        .mapInPandas(confirm, "path string, start long, stop long")
-    )
-    spread = whole.unionByName(confirmed).repartition("path", "start")
-    return spread.mapInPandas(read, RAW_SCHEMA)
+        .mapInPandas(confirm, known)
+    )
+    return whole.unionByName(confirmed).repartition(tasks, "path", "start").mapInArrow(read, RAW_SCHEMA)
 
 
-def stream_captures(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
+def read_captures(
+    spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, ports: Sequence[int] | None = None
+) -> DataFrame:
+    """Raw packets of all capture files under ``path``, large files read in parallel splits.
+
+    With ``ports`` only packets that may be TCP on one of them; frame decode tells for sure. The files are
+    listed once to count the splits.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    splits = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / split_bytes)), F.lit(0))).first()[0]
+    return _read_files(files, split_bytes, ports, min(max(1, splits), MOST_TASKS))
+
+
+def stream_captures(
+    spark: SparkSession,
+    path: str,
+    files_per_trigger: int = 8,
+    split_bytes: int = SPLIT_BYTES,
+    ports: Sequence[int] | None = None,
+) -> DataFrame:
     """Raw packets of capture files as they land under ``path`` (rotated captures).
 
-    A file must be complete when it appears (write elsewhere, then move).  Each file is read by one
-    task, in pieces of at most 8 MiB.
+    A file must be complete when it appears (write elsewhere, then move). Files of a trigger are read in
+    splits as by :func:`read_captures`, by as many tasks as there are shuffle partitions; a trigger that fails is read again as a whole.
     """
     landing = (
         spark.readStream.format("binaryFile")
@@ -231,7 +153,8 @@ def stream_captures(spark: SparkSession, path: str, files_per_trigger: int = 8)
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(path)
     )
-    return landing.select("path").mapInPandas(_read_whole, RAW_SCHEMA)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _read_files(landing.select("path", "length"), split_bytes, ports, tasks)
 
 
 class _OneFile(InputPartition):
@@ -239,8 +162,11 @@ class _OneFile(InputPartition):
         self.path = path
 
 
+PORT_FIELDS = ["src_port", "dst_port"]
+
+
 class _CaptureReader(DataSourceReader):
-    def __init__(self, path: str):
+    def __init__(self, path: str, ports: frozenset[int]):
         from pyarrow import fs
 
         local = path if "://" in path else "file:///" + path.removeprefix("file:").lstrip("/")
@@ -249,33 +175,65 @@ class _CaptureReader(DataSourceReader):
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(name, recursive=True))
         prefix = local.split("://")[0] + "://"
         self.paths = sorted(prefix + f.path for f in found if f.is_file)
+        self.ports = ports
+        self.sides: list[frozenset[int] | None] = [None, None]
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Take the port conditions; rows are read, and left out, by them."""
+        for f in filters:
+            side = PORT_FIELDS.index(f.attribute[0]) if getattr(f, "attribute", (None,))[0] in PORT_FIELDS else None
+            if side is None or not isinstance(f, (EqualTo, In)):
+                yield f
+                continue
+            values = frozenset([f.value] if isinstance(f, EqualTo) else f.value)
+            self.sides[side] = values if self.sides[side] is None else self.sides[side] & values
 
     def partitions(self) -> list[InputPartition]:
         return [_OneFile(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), *[pa.int32()] * 3, pa.binary()]
-        with CaptureFile(partition.path) as capture:
-            for rows in _batches(capture, 0, 1 << 62):
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-                yield pa.RecordBatch.from_arrays(columns, RAW_SCHEMA.names)
+        asked = bool(self.ports) or self.sides != [None, None]
+        wanted = on_ports(self.ports, *self.sides) if asked else None
+        with open_capture(partition.path) as capture:
+            for batch in _batches(capture, 0, 1 << 62, Section(), wanted):
+                both = tcp_ports(batch.column(RAW_SCHEMA.names.index("data")))
+                batch = pa.RecordBatch.from_arrays([*batch.columns, *both], [*RAW_SCHEMA.names, *PORT_FIELDS])
+                if asked:  # the heads alone do not tell of every frame
+                    batch = batch.filter(self._kept(*both))
+                yield batch
+
+    def _kept(self, src: pa.Array, dst: pa.Array) -> pa.Array:
+        def one(a: int | None, b: int | None) -> bool:
+            if a is None:
+                return False
+            sides = [s is None or p in s for s, p in zip(self.sides, (a, b))]
+            return all(sides) and (not self.ports or a in self.ports or b in self.ports)
+
+        return pa.array([one(a, b) for a, b in zip(src.to_pylist(), dst.to_pylist())], pa.bool_())
 
 
 class CaptureSource(DataSource):
-    """``spark.read.format("pcap").load(path)``: one task per file; for rotated captures."""
+    """``spark.read.format("pcap").load(path)``: one task per file; for rotated captures.
+
+    Has the columns ``src_port`` and ``dst_port`` besides those of a raw packet, null where a frame is no TCP.
+    Conditions on them (``=``, ``IN``) are pushed into the reader if
+    ``spark.sql.python.filterPushdown.enabled`` is set; option ``ports`` keeps packets with one of them on
+    either side. Payloads of packets that are left out are seeked over.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "pcap"
 
     def schema(self) -> T.StructType:
-        return RAW_SCHEMA
+        return T.StructType(RAW_SCHEMA.fields + [T.StructField(n, T.IntegerType()) for n in PORT_FIELDS])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         path = self.options.get("path")
         if not path:
             raise ValueError("a path is needed")
-        return _CaptureReader(path)
+        ports = [int(p) for p in self.options.get("ports", "").split(",") if p.strip()]
+        return _CaptureReader(path, frozenset(check_ports(ports) if ports else ()))
 
 
 def register_pcap(spark: SparkSession) -> None:
