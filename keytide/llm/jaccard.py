@@ -5,18 +5,18 @@ intersection and union are in a ratio of at least ``percent``. All of it is exac
 hashes of different shingles or sets:
 
 * Documents with equal sets form a class; only classes are compared.
-* First order: by hash. With ``l(n) = 1 + n // 20``, linked sets share at least ``l`` of the first
-  ``n - ceil(percent * n / 100) + l`` tokens (the ``l`` smallest common ones are there). Classes
-  with fewer tokens in their head that any other document's head holds are out, nearly all of them.
-* Second order: by frequency, over the whole sets of the rest. All but the ``ceil(percent * n / 100) - 1``
-  most frequent tokens form the prefix, and linked sets share a prefix token. Tokens of one class
-  only come first and join nothing. At the first token two sets share, the tokens from there on must
-  suffice for the overlap that their two sizes ask for.
-* Third order: by hash, descending. The ``n - ceil(percent * n / 100) + 1`` largest tokens of linked
-  sets intersect. Candidates of the other orders that fail this are dropped before the sets are
-  intersected.
-
-Sharing a prefix token puts classes into a bucket. Pairs of a bucket are never listed: each class is
+* Shingles of all classes are counted in a table of ``1 << SLOT_BITS`` slots, by hash. Rarity is the slot's
+  count in steps of a quarter of a power of two. Any order of tokens that is the same for all sets is as
+  good for a prefix filter, so slots that many rare shingles share cost time, never links.
+* Three global orders: by rarity, and among equally rare tokens by three different hashes. Of a set of
+  ``n`` the first ``n - ceil(percent * n / 100) + 1`` tokens of an order are its prefix, and linked sets share
+  a token of their prefixes under every order.
+* First order: prefixes become rows, and a token that classes share a bucket. At the first token two sets share, the
+  tokens from there on must suffice for the overlap that their two sizes ask for.
+* Second and third order: a candidate pair must share prefix tokens under these as well. Only prefixes are
+  moved for that; whole sets follow for the pairs that are left.
+
+Sharing a prefix token puts classes into a bucket. Pairs of a bucket are never listed at once: each class is
 compared with one pivot first, classes that link become one component, and later rounds compare
 pivots only with classes of other components until every bucket has one component or no class that
 was not compared. No bucket is capped.
@@ -32,10 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import WordHashes, columns, ngram_hashes, raw, stage
+from keytide.llm.common import WordHashes, byte_texts, ngram_hashes, raw, remove, scramble, slices, stage
 from keytide.llm.graph import components
 
-_SPARE = 20
+#: Bits of a shingle's hash that name its slot in the table of counts (1 MiB of counts, sent to all tasks as bytes).
+SLOT_BITS = 17
+_SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
+#: Differences between the hashes that order equally rare tokens.
+_SECOND, _THIRD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Sets remembered by a task so that copies are worked on once; beyond it the memory starts anew.
+_REMEMBERED_SETS = 500_000
 #: Classes up to which their table goes to all tasks; beyond, documents are shuffled by id.
 SENT_ROWS = 1_000_000
 #: Pivots of a bucket in the first round of all pivots; later rounds take 8 times as many.
@@ -50,42 +56,118 @@ def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(ngram_hashes(words, min(size, len(words))))
 
 
-def head_length(n: int, percent: int) -> int:
-    return n + percent * n // -100 + 1 + n // _SPARE
+def prefix_length(n: int, percent: int) -> int:
+    return n + percent * n // -100 + 1
+
+
+def slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> _SLOT_SHIFT).astype(np.int64)
+
+
+def prefix(tokens: np.ndarray, rarity: np.ndarray, percent: int, other: np.uint64 | None = None) -> np.ndarray:
+    """The first tokens of a sorted set by rarity, then by hash, under one of the orders."""
+    level = rarity[slots(tokens)]
+    order = np.argsort(level, kind="stable") if other is None else np.lexsort((scramble(tokens ^ other), level))
+    return tokens[order[: prefix_length(len(tokens), percent)]]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets link: length bound, then the descending order, then the whole sets."""
+    """Whether two sorted sets link."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    tails = [x[-(len(x) + percent * len(x) // -100 + 1) :] for x in (a, b)]
-    if not len(np.intersect1d(*tails, assume_unique=True)):
-        return False
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _describe(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, cls long, head array<long>"
+def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """Some rows at a time with their sets and classes."""
+    hashes = WordHashes()
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = [shingle_set(t, size, hashes) for t in byte_texts(part, "text")]
+            yield part, sets, [_class(s) for s in sets]
+
+
+class _Met:
+    """Classes a task has worked on."""
+
+    def __init__(self):
+        self.classes: set[int] = set()
+
+    def fresh(self, sets: list[np.ndarray], classes: list[int]) -> dict[int, np.ndarray]:
+        """The sets, not empty, of classes not met before."""
+        new = {c: s for c, s in zip(classes, sets) if len(s) and c not in self.classes}
+        if len(self.classes) > _REMEMBERED_SETS:
+            self.classes.clear()
+        self.classes.update(new)
+        return new
+
+
+def _describe(docs: DataFrame, size: int) -> DataFrame:
+    """Rows of two kinds: ``doc_id, n_shingles, cls`` of documents, and ``slot, tokens`` counts of tasks."""
+    schema = "doc_id long, n_shingles long, cls long, slot int, tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            ids, texts = columns(batch, "doc_id", "text")
-            sets = [shingle_set(t, size, hashes) for t in texts]
-            heads = [s[: head_length(len(s), percent)] for s in sets]
+        met, counts = _Met(), np.zeros(1 << SLOT_BITS, np.int64)
+        for part, sets, classes in _texts(batches, size):
+            new = met.fresh(sets, classes)
+            if new:
+                counts += np.bincount(slots(np.concatenate(list(new.values()))), minlength=len(counts))
+            none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()),
+                    part.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_class(s) for s in sets], pa.int64()),
-                    _lists(heads),
+                    pa.array(classes, pa.int64()),
+                    none.cast(pa.int32()),
+                    none.cast(pa.int64()),
                 ],
-                ["doc_id", "n_shingles", "cls", "head"],
+                ["doc_id", "n_shingles", "cls", "slot", "tokens"],
             )
+        used = np.flatnonzero(counts)
+        none = pa.nulls(len(used)).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [none, none, none, pa.array(used, pa.int32()), pa.array(counts[used])],
+            ["doc_id", "n_shingles", "cls", "slot", "tokens"],
+        )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), raw(text).alias("text"))
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def _rarity(described: DataFrame) -> np.ndarray:
+    """Level of every slot, from counts added up on the executors; one short row per slot is collected."""
+    counts = np.zeros(1 << SLOT_BITS)
+    for r in described.filter("slot is not null").groupBy("slot").agg(F.sum("tokens").alias("n")).toLocalIterator():
+        counts[r["slot"]] = r["n"]
+    return np.floor(4 * np.log2(1 + counts)).astype(np.uint8)
+
+
+def _prefixes(docs: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataFrame:
+    """``token, cls, n, reach`` of every prefix token under the first order.
+
+    ``reach`` is the number of tokens from this one on. A class is listed once by each task that has it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met()
+        for _, sets, classes in _texts(batches, size):
+            new = met.fresh(sets, classes)
+            heads = [prefix(s, rarity, percent) for s in new.values()]
+            sizes = np.array([len(s) for s in new.values()], np.int32)
+            lengths = np.array([len(h) for h in heads], np.int64)
+            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            whole = np.repeat(sizes, lengths)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.empty(0, np.uint64), *heads]).view(np.int64)),
+                    pa.array(np.repeat(np.fromiter(new, np.int64, len(new)), lengths)),
+                    pa.array(whole.astype(np.int32)),
+                    pa.array((whole - (np.arange(len(whole)) - starts)).astype(np.int32)),
+                ],
+                ["token", "cls", "n", "reach"],
+            )
+
+    return docs.mapInArrow(run, "token long, cls long, n int, reach int")
 
 
 def _class(tokens: np.ndarray) -> int:
@@ -103,33 +185,34 @@ def _arrays(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[i:j] for i, j in zip(offsets, offsets[1:])]
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``cls, n, tokens`` of the wanted classes, from the text of one document of each."""
+def _sets(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataFrame:
+    """``cls, second, third, tokens`` of the wanted classes, from the text of one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            classes, texts = columns(batch, "cls", "text")
-            sets = [shingle_set(t, size, hashes) for t in texts]
-            found = [(c, s) for c, s in zip(classes, sets) if _class(s) == c]
+        for part, sets, classes in _texts(batches, size):
+            asked = part.column(part.schema.get_field_index("cls")).to_pylist()
+            found = {c: s for c, s, a in zip(classes, sets, asked) if c == a}
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([c for c, _ in found], pa.int64()),
-                    pa.array([len(s) for _, s in found], pa.int64()),
-                    _lists([s for _, s in found]),
+                    pa.array(list(found), pa.int64()),
+                    *(_lists([prefix(s, rarity, percent, o) for s in found.values()]) for o in (_SECOND, _THIRD)),
+                    _lists(list(found.values())),
                 ],
-                ["cls", "n", "tokens"],
+                ["cls", "second", "third", "tokens"],
             )
 
     if wanted.count() <= SENT_ROWS:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(key).cast("long").alias("id"), raw(text).alias("text"))
-    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("cls", "text")
-    return rows.mapInArrow(run, "cls long, n long, tokens array<long>").dropDuplicates(["cls"])
+    rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "cls")
+    schema = "cls long, second array<long>, third array<long>, tokens array<long>"
+    return rows.mapInArrow(run, schema).dropDuplicates(["cls"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges ``a, b`` between the components ``ca, cb`` of the classes ``a, b`` that link."""
+    """Edges ``a, b`` between the components ``ca, cb`` of the classes ``a, b`` that link.
+
+    Pairs must share prefix tokens under the second and the third order before their sets are moved.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,85 +220,82 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([linked(p, q, percent) for p, q in zip(x, y)], pa.bool_())
             yield batch.select(["ca", "cb"]).filter(keep).rename_columns(["a", "b"])
 
-    both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
-    both = both.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a")
-    return both.select("ca", "cb", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _shared(postings: DataFrame) -> DataFrame:
-    """The postings whose token others have too, with its frequency ``df``."""
-    frequent = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    return postings.join(frequent, "token")
+    def side(end: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
 
+    orders = ("second", "third")
+    left = pairs.join(side("b", *orders), "b").join(side("a", *orders), "a")
+    for order in orders:
+        left = left.filter(F.arrays_overlap(f"{order}_a", f"{order}_b"))
+    left = stage(left.select("a", "b", "ca", "cb"), "candidates")
+    both = left.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a")
+    found = stage(both.select("ca", "cb", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long"), "links")
+    remove(left)
+    return found
 
-def _survivors(described: DataFrame, percent: int) -> DataFrame:
-    """``cls, rep`` of the classes that the first order leaves."""
-    classes = described.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    heads = described.select("cls", F.col("n_shingles").alias("n"), F.explode("head").alias("token"))
-    hits = _shared(heads).groupBy("cls", "n").agg(F.count("*").alias("hits")).join(classes, "cls")
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / _SPARE)
-    return hits.filter(F.col("hits") >= least * F.col("copies")).select("cls", "rep")
 
-
-def _buckets(sets: DataFrame, percent: int) -> DataFrame:
-    """``token, cls, n, reach`` of every prefix token under the second order that classes share.
-
-    ``reach`` is the number of tokens from this one on.
-    """
-    shared = _shared(sets.select("cls", "n", F.explode("tokens").alias("token")))
-    shared = shared.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    alone = F.col("n") - F.size("shared")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    prefixes = shared.withColumn("alone", alone).withColumn("prefix", prefix.cast("int")).filter("prefix > 0")
-    return prefixes.select(
-        "cls", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("at", "s")
-    ).select(F.col("s.token").alias("token"), "cls", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("reach"))
+def _buckets(prefixes: DataFrame) -> DataFrame:
+    """``token, cls, n, reach`` of the prefix tokens that classes share, each once."""
+    ends = prefixes.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y"))
+    shared = stage(ends.filter("x <> y").select("token"), "shared")
+    shared = F.broadcast(shared) if shared.count() <= SENT_ROWS else shared
+    return prefixes.join(shared, "token").dropDuplicates(["token", "cls"])
 
 
 def _able(percent: int):
     """Whether a class (``n, reach``) and a pivot ``p`` can link if this is the first token they share."""
-    overlap = F.ceil((F.col("n") + F.col("p.n")) * percent / (100 + percent))
+    overlap = F.ceil((F.col("n") + F.col("p.n")) * percent / F.lit(100 + percent))
     return F.least("reach", "p.reach") >= overlap
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table as the side of a join: sent to all tasks if it is counted to be small."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def _rounds(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``cls, comp`` of every class that shares a bucket."""
-    pivot = buckets.groupBy("token").agg(F.min(F.struct("cls", "n", "reach")).alias("p"))
+    comp = stage(buckets.select("cls").distinct().withColumn("comp", F.col("cls")), "components")
+    pivot = stage(buckets.groupBy("token").agg(F.min(F.struct("cls", "n", "reach")).alias("p")), "pivots")
     nearest = (
-        buckets.join(pivot, "token")
+        buckets.join(_sent(pivot), "token")
         .filter((F.col("p.cls") != F.col("cls")) & _able(percent))
         .groupBy(F.col("cls").alias("b"))
         .agg(F.min("p.cls").alias("a"))
     )
     # At first every class is a component by itself.
-    nearest = nearest.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
-    merged = components(_verified(nearest, sets, percent))
-    comp = buckets.select("cls").distinct().withColumn("comp", F.col("cls"))
-    pivots = _PIVOTS
+    pairs = nearest.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    named, done, pivots = buckets.withColumn("comp", F.col("cls")), [pivot], _PIVOTS
     while True:
-        merged = merged.select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+        links = _verified(pairs, sets, percent)
+        merged = components(links)
+        merged = stage(merged.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "merged")
         renamed = F.coalesce("new", "comp").alias("comp")
-        comp = stage(comp.join(merged, "comp", "left").select("cls", renamed), "components")
-        named = buckets.select("token", "cls", "n", "reach").join(comp, "cls")
-        open_ = named.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-        open_ = open_.filter("x <> y").select("token")
-        named = stage(named.join(open_, "token"), "open")
-        if named.isEmpty():
+        newer = stage(comp.join(_sent(merged), "comp", "left").select("cls", renamed), "components")
+        moved = stage(named.join(_sent(merged), "comp", "left").select("token", "cls", "n", "reach", renamed), "moved")
+        ends = moved.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+        open_ = stage(ends.filter("x <> y").select("token"), "open")
+        remove(comp, links, merged, *done)
+        comp = newer
+        if open_.isEmpty():
+            remove(moved, open_)
             return comp
+        named = stage(moved.join(_sent(open_), "token", "left_semi"), "named")
+        remove(moved, open_)
         part = F.pmod(F.xxhash64("cls", F.lit(pivots)), F.lit(pivots))
         chosen = named.groupBy("token", part.alias("part")).agg(
             F.min(F.struct("cls", "n", "reach", "comp")).alias("p")
         )
         chosen = stage(chosen.select("token", "p"), "pivots")
         pairs = (
-            named.join(chosen, "token")
+            named.join(_sent(chosen), "token")
             .filter((F.col("p.comp") != F.col("comp")) & _able(percent))
             .groupBy(F.least("p.cls", "cls").alias("a"), F.greatest("p.cls", "cls").alias("b"))
             .agg(F.least(F.min("p.comp"), F.min("comp")).alias("ca"), F.greatest(F.max("p.comp"), F.max("comp")).alias("cb"))
         )
-        merged = components(_verified(pairs, sets, percent))
+        done = [named, chosen]
         compared = chosen.select("token", F.col("p.cls").alias("cls"))
-        buckets = named.join(compared, ["token", "cls"], "left_anti")
+        named = named.join(compared, ["token", "cls"], "left_anti")
         pivots *= 8
 
 
@@ -233,19 +313,26 @@ def jaccard_join(
     id only if no member has one. Repeated rows come back as often as they go in. An empty table
     gives an empty result; other columns are not looked at.
     """
-    described = stage(_describe(docs, key, text, size, percent), "described")
-    full = described.filter("n_shingles > 0")
-    wanted = stage(_survivors(full, percent), "survivors")
-    sets = stage(_sets(docs, wanted, key, text, size), "sets")
-    buckets = stage(_buckets(sets, percent), "buckets")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), raw(text).alias("text"))
+    described = stage(_describe(rows, size), "described")
+    found = described.filter("slot is null")
+    full = found.filter("n_shingles > 0")
+    rarity = _rarity(described)
+    prefixes = stage(_prefixes(rows, rarity, size, percent), "prefixes")
+    buckets = stage(_buckets(prefixes), "buckets")
+    remove(prefixes)
+    classes = stage(full.groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
+    wanted = stage(classes.join(buckets.select("cls").distinct(), "cls"), "wanted")
+    sets = stage(_sets(rows, wanted, rarity, size, percent), "sets")
     comp = _rounds(buckets, sets, percent)
-    classes = full.groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    remove(buckets, sets, wanted)
     named = classes.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     named = stage(named, "named")
+    remove(comp, classes)
     first = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(first, "comp").select("cls", "comp", "component_id")
     empty = F.col("n_shingles") == 0
-    return described.join(named, "cls", "left").select(
+    return found.join(named, "cls", "left").select(
         "doc_id",
         "n_shingles",
         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),

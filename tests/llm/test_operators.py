@@ -61,16 +61,48 @@ def test_jaccard_components_match_brute_force(spark, seed, size, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == expected
 
 
-def test_heads_of_linked_sets_share_enough_tokens():
-    rng = np.random.default_rng(0)
+def test_prefixes_of_linked_sets_meet_under_every_order():
+    rng, met = np.random.default_rng(0), 0
+    rarity = rng.integers(0, 3, 1 << jaccard.SLOT_BITS).astype(np.uint8)
+    values = rng.integers(0, 2**64, 400, dtype=np.uint64)
     for _ in range(300):
         a = rng.choice(400, rng.integers(1, 200), replace=False)
         b = np.union1d(rng.choice(a, max(1, int(len(a) * 0.95)), replace=False), rng.choice(400, rng.integers(0, 9)))
         both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         if 100 * both >= 85 * either:
-            heads = [np.sort(x)[: jaccard.head_length(len(x), 85)] for x in (a, b)]
-            assert len(np.intersect1d(*heads)) >= 1 + min(len(a), len(b)) // 20
-            assert jaccard.linked(np.sort(a).astype(np.uint64), np.sort(b).astype(np.uint64), 85)
+            met += 1
+            sets = [np.sort(values[x]) for x in (a, b)]
+            assert jaccard.linked(*sets, 85)
+            for other in (None, jaccard._SECOND, jaccard._THIRD):
+                heads = [jaccard.prefix(x, rarity, 85, other) for x in sets]
+                assert len(np.intersect1d(*heads)) and [len(h) for h in heads] == [jaccard.prefix_length(len(x), 85) for x in sets]
+                first = min(min(map(list(x).index, np.intersect1d(*heads))) for x in heads)
+                assert len(a) - first >= both
+    assert met > 50
+
+
+def test_a_line_that_many_unlike_documents_share_makes_no_pairs(spark, monkeypatch):
+    rng, asked = random.Random(31), []
+    line = " ".join(f"common{i}" for i in range(30))
+    word = lambda: f"w{rng.getrandbits(40)}"
+    rows = [(i, f"{line} {' '.join(word() for _ in range(25))}", 0, "") for i in range(10_000)]
+    rows += [(20_000 + i, rows[i][1] + " end", 0, "") for i in range(0, 10_000, 500)]
+    verified = jaccard._verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    found = {r.doc_id: r.component_id for r in jaccard_join(documents(spark, rows)).collect()}
+    assert {i: c for i, c in found.items() if i != c} == {20_000 + i: i for i in range(0, 10_000, 500)}
+    assert sum(asked) < 2 * len(rows)
+
+
+def test_components_of_a_join_without_any_shared_shingle(spark):
+    rows = [(i, f"text{i} of{i} its{i} own{i} words{i} only{i}", 0, "") for i in range(20)]
+    found = jaccard_join(documents(spark, rows)).collect()
+    assert all(r.component_id == r.doc_id and r.n_shingles == 2 for r in found) and len(found) == 20
 
 
 def brute_contamination(text, items, window=10):
