@@ -240,7 +240,7 @@ def key_pattern(spark, sf):
 @check(
     "f4_replaced_filter",
     f"""SELECT key, max(size) AS max_size, CAST(sum(size) AS BIGINT) AS sum_size FROM ({URL_SQL})
-        WHERE key LIKE '%page=%' GROUP BY key ORDER BY sum_size DESC, key LIMIT 65535""",
+        WHERE key LIKE '%page=%' GROUP BY key""",
 )
 def replaced_filter(spark, sf):
     first = R.HotKeys(filter="^https://")
@@ -285,6 +285,19 @@ def sort_by_columns(spark, sf):
     return t.flat(ranked.withColumnRenamed("rank", "position"))
 
 
+@check(
+    "o1_whole_sort",
+    f"""SELECT key, max(size) AS max_size, CAST(sum(size) AS BIGINT) AS sum_size,
+               row_number() OVER (ORDER BY max(size), sum(size) DESC, key) AS position
+        FROM ({PRICES}) GROUP BY key""",
+)
+def whole_sort(spark, sf):
+    """Every key of the report with its place, ranked in ranges."""
+    spec = R.report_spec("key,max(size),sum(size)")
+    full = R.report(t.price_events(spark, sf), spec)
+    return t.flat(R.top_per(full, [], R.sort_columns(spec, 1, -2), None, ["key"]).withColumnRenamed("rank", "position"))
+
+
 @check(
     "o2_o3_top_parts",
     f"""SELECT key, max(size) AS max_size, CAST(sum(size) AS BIGINT) AS sum_size FROM ({PRICES})
@@ -294,6 +307,20 @@ def top_parts(spark, sf):
     return t.flat(R.hot_keys(t.price_events(spark, sf), top=100))
 
 
+@check(
+    "o1_w4_uncut_intervals",
+    f"""SELECT window_start, key, max_size, sum_size,
+               row_number() OVER (PARTITION BY window_start ORDER BY sum_size DESC, key) AS rank
+        FROM (SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start, key,
+                     max(size) AS max_size, CAST(sum(size) AS BIGINT) AS sum_size
+              FROM ({t.USER_EVENTS}) GROUP BY ALL)""",
+)
+def uncut_intervals(spark, sf):
+    """All keys of every day with their ranks."""
+    found = t.flat(I.ranked_intervals(I.interval_report(t.user_events(spark, sf), every="1 day")))
+    return found.drop("window_end").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 # ---- intervals --------------------------------------------------------------------------------
 
 

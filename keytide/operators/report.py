@@ -13,6 +13,7 @@ from keytide.functions import hdr
 from keytide.functions.spec import DEFAULT_SPEC, BadDescriptor, ReportSpec, aggregate_of, report_spec
 from keytide.functions.text import percentage
 from keytide.operators.events import filter_keys, hits_and_misses
+from keytide.plans.ranks import ranked
 
 # Rows of a report that becomes one JSON value, unless the caller asks for another number.
 MAX_TOP = 65535
@@ -205,10 +206,11 @@ def top_per(
     """First ``top`` rows of each ``by`` group, or all, with their ``rank``.
 
     Groups are cut in two steps: each of ``parts`` hash slices of a group keeps its first ``top``
-    rows, and only those meet in one task, so no task holds a whole interval's keys.
+    rows, and only those meet in one task, so no task holds a whole interval's keys. Without ``top``
+    rows are ranked in ranges (``plans.ranks``), so no task does then either.
     """
     if top is None:
-        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+        return ranked(df, by, order)
     sliced = df.withColumn("__part", F.pmod(F.xxhash64(*[quoted(s) for s in spread]), F.lit(parts)))
     first = Window.partitionBy(*by, "__part").orderBy(*order)
     final = Window.partitionBy(*by).orderBy(*order)
