@@ -44,6 +44,14 @@ def remove(*staged: DataFrame) -> None:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """At most ``rows`` rows, those with the smallest hash of ``by``: the same ones on every run."""
     return df.orderBy(F.xxhash64(*by), *by).limit(rows)

@@ -11,7 +11,7 @@ if all of them do, so one prefix token, its rarest shingle in the corpus, decide
 4. compare the words of the item-sized window one by one.
 
 A benchmark whose windows fit one block of bounded size is sent to all tasks. A larger one stays on Spark:
-windows, counts and prefix tokens are tables, a bit table of fixed size leaves of the documents' shingles those
+windows, counts and prefix tokens are tables, a bit table sized by their number leaves of the documents' shingles those
 that may be in the benchmark, and these are joined, with the words around them, with the prefix tokens.
 Documents are never shuffled, and the driver holds at most one block.
 """
@@ -27,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import WordHashes, byte_texts, ngram_hashes, raw, stage
+from keytide.llm.bits import BitTable
+from keytide.llm.common import WordHashes, byte_texts, ngram_hashes, raw, slices, stage, unused
 
 #: Bytes of window text up to which a benchmark is sent to all tasks.
 BLOCK_BYTES = 24 << 20
 SHINGLE = 3
-#: Occurrences of a prefix token in the documents from which its rows are dealt over several tasks, and tokens at most.
-HOT_ROWS, HOT_TOKENS = 20_000, 4096
+#: Occurrences of a prefix token in the documents from which its rows are dealt over several tasks.
+HOT_ROWS = 20_000
+#: Hot tokens up to which their table goes to all tasks.
+SENT_ROWS = 500_000
 _TABLE_BITS = 22
 
 #: Letters a-z after lower-casing A-Z, digits and everything beyond ASCII make words.
@@ -140,7 +143,7 @@ def _count_shingles(docs: DataFrame, block: Windows) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, members = WordHashes(), Membership(members_of)
         counts = np.zeros(len(members.values), np.int64)
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, "text")):
             for text in byte_texts(batch, "text"):
                 ids = hashes.of(words_of(text))
                 for size in sizes:
@@ -186,33 +189,13 @@ def _shingled(windows: DataFrame) -> DataFrame:
     return windows.select("window").distinct().mapInArrow(run, "window binary, size int, at int, shingle long")
 
 
-def _bit_table(shingles: DataFrame) -> np.ndarray:
-    """Which slots of a ``Membership`` table the shingles take, packed; its size does not depend on theirs."""
-    low = _TABLE_BITS - 6
-    slots = shingles.select(F.shiftrightunsigned("shingle", 64 - _TABLE_BITS).alias("slot")).distinct()
-    slots = slots.repartition(64, F.shiftright("slot", low))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            found = batch.column(0).to_numpy()
-            for part in np.unique(found >> low).tolist():
-                bits = parts.setdefault(part, np.zeros(1 << low, bool))
-                bits[found[found >> low == part] & ((1 << low) - 1)] = True
-        packed = [np.packbits(b).tobytes() for b in parts.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array(packed, pa.binary())], ["part", "bits"])
-
-    table = np.zeros((64, (1 << low) // 8), np.uint8)
-    for row in slots.mapInArrow(run, "part long, bits binary").collect():
-        table[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
-    return table.ravel()
-
-
-def _document_shingles(docs: DataFrame, sizes: list[int], bits: np.ndarray, window: int, counted: bool) -> DataFrame:
+def _document_shingles(
+    docs: DataFrame, sizes: list[int], table: BitTable, window: int, counted: bool
+) -> DataFrame:
     """Shingles of ``docs`` (``text_key, text``) that the bit table knows: counts, or places with the words around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHashes(), np.unpackbits(bits).view(bool)
+        hashes = WordHashes()
         for batch in batches:
             counts: dict[tuple[int, int], int] = defaultdict(int)
             rows = []
@@ -221,7 +204,7 @@ def _document_shingles(docs: DataFrame, sizes: list[int], bits: np.ndarray, wind
                 ids = hashes.of(words)
                 for size in sizes:
                     values = ngram_hashes(ids, size)
-                    at = np.flatnonzero(table[Membership._slot(values)])
+                    at = np.flatnonzero(table.taken(values))
                     for place, value in zip(at.tolist(), values[at].view(np.int64).tolist()):
                         if counted:
                             counts[size, value] += 1
@@ -248,18 +231,18 @@ def _joined_occurrences(docs: DataFrame, windows: DataFrame, window: int) -> Dat
     """``text_key, start, end, window`` of every occurrence of a window in a text of ``docs``, each once."""
     shingles = stage(_shingled(windows), "shingles")
     sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())
-    counts = _document_shingles(docs, sizes, _bit_table(shingles), window, counted=True)
+    counts = _document_shingles(docs, sizes, BitTable.of(shingles, "shingle"), window, counted=True)
     counts = counts.groupBy("size", "shingle").agg(F.sum("n").alias("n"))
     ranked = shingles.join(counts, ["size", "shingle"], "left")
     rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at", "size")
     prefixes = ranked.groupBy("window").agg(F.min(rarity).alias("p")).select("window", "p.*").filter("n > 0")
     prefixes = stage(prefixes, "prefixes")
-    hot = prefixes.filter(F.col("n") > HOT_ROWS).select("shingle", "n").distinct().orderBy(F.desc("n"), "shingle")
-    salts = {r["shingle"]: min(256, -(-r["n"] // HOT_ROWS)) for r in hot.limit(HOT_TOKENS).collect()}
     # Of a token in very many places every place is dealt to one salt, and the windows are there for each.
-    table = prefixes.sparkSession.createDataFrame(list(salts.items()), "shingle long, salts int")
-    some = lambda df: df.join(F.broadcast(table), "shingle", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    places = _document_shingles(docs, sizes, _bit_table(prefixes), window, counted=False)
+    salts = F.least(F.lit(256), F.ceil(F.col("n") / HOT_ROWS)).cast("int").alias("salts")
+    hot = stage(prefixes.filter(F.col("n") > HOT_ROWS).select("size", "shingle", salts).distinct(), "hot")
+    hot = F.broadcast(hot) if hot.count() <= SENT_ROWS else hot
+    some = lambda df: df.join(hot, ["size", "shingle"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    places = _document_shingles(docs, sizes, BitTable.of(prefixes, "shingle"), window, counted=False)
     places = some(places).withColumn("salt", F.pmod(F.xxhash64("text_key", "place"), F.col("salts")).cast("int"))
     looked = some(prefixes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     pairs = places.drop("salts").join(looked.drop("salts", "n"), ["size", "shingle", "salt"])
@@ -297,7 +280,7 @@ def _occurrences(docs: DataFrame, key: str, text: str, block: Windows) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = _searcher(block)
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, "text")):
             results = [search(t) for t in byte_texts(batch, "text")]
             found = [r[1] for r in results]
             yield pa.RecordBatch.from_arrays(
@@ -396,13 +379,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     windows = stage(_windows(benchmark, window), "windows")
     if not _fits(windows):
         keyed = texts.withColumn("text_key", F.xxhash64("text"))
-        found = stage(_joined_occurrences(keyed, windows, window).select(F.col("text_key").alias("__text_key")).distinct(), "found")
-        return docs.join(found, F.xxhash64(F.col(text)) == F.col("__text_key"), "left_anti")
+        name = unused(docs, "text_key")
+        found = _joined_occurrences(keyed, windows, window).select(F.col("text_key").alias(name)).distinct()
+        found = stage(found, "found")
+        return docs.join(found, F.xxhash64(docs[text]) == found[name], "left_anti")
     block = _block(texts, windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = _searcher(block)
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, text)):
             yield batch.filter(pa.array([not search(t)[1] for t in byte_texts(batch, text)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,13 +6,15 @@ hashes of different shingles or sets:
 
 * Documents with equal sets form a class; only classes are compared.
 * Shingles of all classes are counted in a table of ``1 << SLOT_BITS`` slots, by hash. Rarity is the slot's
-  count in steps of a quarter of a power of two. Any order of tokens that is the same for all sets is as
-  good for a prefix filter, so slots that many rare shingles share cost time, never links.
+  count in steps of the root of two. Any order of tokens that is the same for all sets is as good for a
+  prefix filter, so slots that many rare shingles share cost time, never links.
 * Three global orders: by rarity, and among equally rare tokens by three different hashes. Of a set of
   ``n`` the first ``n - ceil(percent * n / 100) + 1`` tokens of an order are its prefix, and linked sets share
   a token of their prefixes under every order.
-* First order: prefixes become rows, and a token that classes share a bucket. At the first token two sets share, the
-  tokens from there on must suffice for the overlap that their two sizes ask for.
+* First order: with ``l(n) = 1 + n // 20``, linked sets share at least ``l`` of the tokens up to the ``l - 1``-th
+  behind the prefix (the ``l`` first common ones are there). Classes with fewer that any other class has there are
+  out. Of the others prefix tokens become rows, and a token that classes share a bucket. At the first token two
+  sets share, the tokens from there on must suffice for the overlap that their two sizes ask for.
 * Second and third order: a candidate pair must share prefix tokens under these as well. Only prefixes are
   moved for that; whole sets follow for the pairs that are left.
 
@@ -24,6 +26,7 @@ was not compared. No bucket is capped.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keytide.llm.bits import BitTable
 from keytide.llm.common import WordHashes, byte_texts, ngram_hashes, raw, remove, scramble, slices, stage
 from keytide.llm.graph import components
 
-#: Bits of a shingle's hash that name its slot in the table of counts (1 MiB of counts, sent to all tasks as bytes).
-SLOT_BITS = 17
+_SPARE = 20
+#: Bits of a shingle's hash that name its slot in the table of counts (a byte for each slot is sent to all tasks).
+SLOT_BITS, _PART_BITS = 22, 6
 _SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
+_PART_SLOTS = 1 << (SLOT_BITS - _PART_BITS)
 #: Differences between the hashes that order equally rare tokens.
 _SECOND, _THIRD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Sets remembered by a task so that copies are worked on once; beyond it the memory starts anew.
@@ -64,11 +70,18 @@ def slots(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> _SLOT_SHIFT).astype(np.int64)
 
 
-def prefix(tokens: np.ndarray, rarity: np.ndarray, percent: int, other: np.uint64 | None = None) -> np.ndarray:
-    """The first tokens of a sorted set by rarity, then by hash, under one of the orders."""
+def prefix(
+    tokens: np.ndarray, rarity: np.ndarray, percent: int, other: np.uint64 | None = None, more: int = 0
+) -> np.ndarray:
+    """The first tokens of a sorted set by rarity, then by hash, under one of the orders, and ``more`` behind them."""
     level = rarity[slots(tokens)]
     order = np.argsort(level, kind="stable") if other is None else np.lexsort((scramble(tokens ^ other), level))
-    return tokens[order[: prefix_length(len(tokens), percent)]]
+    return tokens[order[: prefix_length(len(tokens), percent) + more]]
+
+
+def least_shared(n: int, percent: int) -> int:
+    """Tokens that a set of ``n`` shares with any linked one, of the prefix and the ``n // 20`` tokens behind it."""
+    return 1 + -(percent * n // -100) // _SPARE
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -104,15 +117,16 @@ class _Met:
 
 
 def _describe(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of two kinds: ``doc_id, n_shingles, cls`` of documents, and ``slot, tokens`` counts of tasks."""
-    schema = "doc_id long, n_shingles long, cls long, slot int, tokens long"
+    """Rows of two kinds: ``doc_id, n_shingles, cls`` of documents, and ``part, counts`` of each task's slots."""
+    schema = "doc_id long, n_shingles long, cls long, part int, counts binary"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, counts = _Met(), np.zeros(1 << SLOT_BITS, np.int64)
+        met, counts = _Met(), np.zeros(1 << SLOT_BITS, np.uint32)
         for part, sets, classes in _texts(batches, size):
             new = met.fresh(sets, classes)
             if new:
-                counts += np.bincount(slots(np.concatenate(list(new.values()))), minlength=len(counts))
+                counts += np.bincount(slots(np.concatenate(list(new.values()))), minlength=len(counts)).astype(np.uint32)
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -120,54 +134,92 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(classes, pa.int64()),
                     none.cast(pa.int32()),
-                    none.cast(pa.int64()),
+                    none.cast(pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "cls", "slot", "tokens"],
+                names,
             )
-        used = np.flatnonzero(counts)
-        none = pa.nulls(len(used)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, none, none, pa.array(used, pa.int32()), pa.array(counts[used])],
-            ["doc_id", "n_shingles", "cls", "slot", "tokens"],
-        )
+        parts = [p for p in counts.reshape(1 << _PART_BITS, _PART_SLOTS)]
+        none = pa.nulls(len(parts)).cast(pa.int64())
+        packed = pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(parts)), pa.int32()), packed], names)
 
     return docs.mapInArrow(run, schema)
 
 
 def _rarity(described: DataFrame) -> np.ndarray:
-    """Level of every slot, from counts added up on the executors; one short row per slot is collected."""
-    counts = np.zeros(1 << SLOT_BITS)
-    for r in described.filter("slot is not null").groupBy("slot").agg(F.sum("tokens").alias("n")).toLocalIterator():
-        counts[r["slot"]] = r["n"]
-    return np.floor(4 * np.log2(1 + counts)).astype(np.uint8)
+    """Level of every slot, from counts added up on the executors; a byte for each slot is collected."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                total = sums.setdefault(part, np.zeros(_PART_SLOTS, np.int64))
+                total += np.frombuffer(zlib.decompress(packed), np.uint32)
+        levels = [np.floor(2 * np.log2(1 + s)).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
 
-def _prefixes(docs: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``token, cls, n, reach`` of every prefix token under the first order.
+    parts = described.filter("part is not null").select("part", "counts").repartition(1 << _PART_BITS, "part")
+    out = np.zeros((1 << _PART_BITS, _PART_SLOTS), np.uint8)
+    for r in parts.mapInArrow(run, "part int, levels binary").toLocalIterator():
+        out[r["part"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.ravel()
 
-    ``reach`` is the number of tokens from this one on. A class is listed once by each task that has it.
-    """
+
+def _heads(docs: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataFrame:
+    """``cls, n, head``: the prefix under the first order and what counts behind it; once for each task with the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _Met()
         for _, sets, classes in _texts(batches, size):
             new = met.fresh(sets, classes)
-            heads = [prefix(s, rarity, percent) for s in new.values()]
-            sizes = np.array([len(s) for s in new.values()], np.int32)
-            lengths = np.array([len(h) for h in heads], np.int64)
-            starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            whole = np.repeat(sizes, lengths)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([np.empty(0, np.uint64), *heads]).view(np.int64)),
-                    pa.array(np.repeat(np.fromiter(new, np.int64, len(new)), lengths)),
-                    pa.array(whole.astype(np.int32)),
-                    pa.array((whole - (np.arange(len(whole)) - starts)).astype(np.int32)),
+                    pa.array(list(new), pa.int64()),
+                    pa.array([len(s) for s in new.values()], pa.int32()),
+                    _lists([prefix(s, rarity, percent, more=len(s) // _SPARE) for s in new.values()]),
+                ],
+                ["cls", "n", "head"],
+            )
+
+    return docs.mapInArrow(run, "cls long, n int, head array<long>")
+
+
+def _shared(heads: DataFrame) -> DataFrame:
+    """The ``token`` of heads that more than one class has."""
+    rows = heads.select(F.explode("head").alias("token"), F.hash("cls").alias("c"))
+    return rows.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("token")
+
+
+def _prefixes(heads: DataFrame, shared: BitTable, percent: int) -> DataFrame:
+    """``token, cls, n, reach`` of shared prefix tokens, of the classes that share as many tokens as a link needs.
+
+    ``reach`` is the number of tokens from this one on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            classes, sizes = (batch.column(i).to_numpy() for i in (0, 1))
+            arrays = _arrays(batch.column(2))
+            lengths = np.array([len(a) for a in arrays])
+            flat = np.concatenate(arrays)
+            taken = shared.taken(flat)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            owner = np.repeat(np.arange(len(arrays)), lengths)
+            enough = np.bincount(owner[taken], minlength=len(arrays)) >= [least_shared(int(n), percent) for n in sizes]
+            keep = taken & enough[owner] & (place < np.array([prefix_length(int(n), percent) for n in sizes])[owner])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(flat[keep].view(np.int64)),
+                    pa.array(classes[owner[keep]]),
+                    pa.array(sizes[owner[keep]].astype(np.int32)),
+                    pa.array((sizes[owner[keep]] - place[keep]).astype(np.int32)),
                 ],
                 ["token", "cls", "n", "reach"],
             )
 
-    return docs.mapInArrow(run, "token long, cls long, n int, reach int")
+    return heads.mapInArrow(run, "token long, cls long, n int, reach int")
 
 
 def _class(tokens: np.ndarray) -> int:
@@ -186,12 +238,16 @@ def _arrays(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``cls, second, third, tokens`` of the wanted classes, from the text of one document of each."""
+    """``cls, second, third, tokens`` of the wanted classes, from the text of one document of each.
+
+    A class comes once for each task that has its document; more than one has it only if ids repeat or are null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met()
         for part, sets, classes in _texts(batches, size):
             asked = part.column(part.schema.get_field_index("cls")).to_pylist()
-            found = {c: s for c, s, a in zip(classes, sets, asked) if c == a}
+            found = met.fresh(*([x for x, c, a in zip(xs, classes, asked) if c == a] for xs in (sets, classes)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(list(found), pa.int64()),
@@ -205,7 +261,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray, size: int, per
         wanted = F.broadcast(wanted)
     rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "cls")
     schema = "cls long, second array<long>, third array<long>, tokens array<long>"
-    return rows.mapInArrow(run, schema).dropDuplicates(["cls"])
+    return rows.mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,7 +283,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = pairs.join(side("b", *orders), "b").join(side("a", *orders), "a")
     for order in orders:
         left = left.filter(F.arrays_overlap(f"{order}_a", f"{order}_b"))
-    left = stage(left.select("a", "b", "ca", "cb"), "candidates")
+    left = stage(left.select("a", "b", "ca", "cb").distinct(), "candidates")
     both = left.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a")
     found = stage(both.select("ca", "cb", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long"), "links")
     remove(left)
@@ -315,10 +371,13 @@ def jaccard_join(
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), raw(text).alias("text"))
     described = stage(_describe(rows, size), "described")
-    found = described.filter("slot is null")
+    found = described.filter("part is null")
     full = found.filter("n_shingles > 0")
     rarity = _rarity(described)
-    prefixes = stage(_prefixes(rows, rarity, size, percent), "prefixes")
+    heads = stage(_heads(rows, rarity, size, percent), "heads")
+    shared = stage(_shared(heads), "shared")
+    prefixes = stage(_prefixes(heads, BitTable.of(shared, "token"), percent), "prefixes")
+    remove(heads, shared)
     buckets = stage(_buckets(prefixes), "buckets")
     remove(prefixes)
     classes = stage(full.groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
