@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.llm.common import byte_texts, portions, raw, scramble, stage
+from keytide.llm.common import byte_texts, raw, scramble, slices, stage
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked by one task, on average at most.
 RANKED_TOGETHER = 500_000
-REMEMBERED_CHUNKS = 2_000_000
+#: Parts whose ids one Python worker remembers, some 40 bytes each; beyond it the memory starts anew.
+REMEMBERED_CHUNKS = 1_000_000
 
 
 class Powers:
@@ -176,19 +177,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = chunk_tokens(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), byte_texts(batch, "text")
-            rows = []
-            for low, high in portions(texts):
-                for doc, tokens in zip(ids[low:high], chunks.encode(texts[low:high])):
+            for some in slices(batch, "text"):
+                rows = []
+                for doc, tokens in zip(some.column(0).to_pylist(), chunks.encode(byte_texts(some, "text"))):
                     data = np.append(tokens, np.uint32(0)).astype("<u4")
                     for i, start in enumerate(range(0, len(data), capacity)):
                         part = data[start : start + capacity]
                         rows.append((doc, i, start, len(part), zlib.crc32(part.tobytes())))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
-                [f.split()[0] for f in schema.split(", ")],
-            )
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
+                    [f.split()[0] for f in schema.split(", ")],
+                )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), raw(text).alias("text"))
     return rows.mapInArrow(run, schema)
@@ -253,16 +253,19 @@ def _dominating(counts: np.ndarray, s: int, capacity: int) -> tuple[int, ...] |
 
 
 def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[Entry]:
-    """Fix dominating sets as long as there are any; ``counts`` keeps what is left."""
+    """Fix dominating sets as long as there are any; ``counts`` keeps what is left.
+
+    A dominating set stays one until a length in it runs out: what was the largest piece that fits still is, the
+    sums of the smallest pieces only grow, and those of the best pairs only shrink. So it is fixed as often as it
+    can be, at most a few pieces of some length are left each time, and the entries are no more than a small
+    multiple of the capacity, whatever the counts.
+    """
     fixed, again = [], True
     while again:
         again = False
         for s in range(capacity, 0, -1):
             while counts[s] and (found := _dominating(counts, s, capacity)):
-                most = min(int(counts[x]) // found.count(x) for x in set(found))
-                exact = len(found) == 2 and sum(found) == capacity
-                # An exact pair stays dominant until it runs out; the others are looked at again.
-                times = most if exact or len(found) == 1 or _smallest_sum(counts, 3) > capacity else 1
+                times = min(int(counts[x]) // found.count(x) for x in set(found))
                 for x in found:
                     counts[x] -= times
                 fixed.append(Entry(found, times))
