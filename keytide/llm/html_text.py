@@ -1,17 +1,19 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements. What is page furniture by its element or role (menus, headers, footers, forms,
-scripts, styles) is no part of it. A class or id that is a furniture word as a whole (sidebar, ad, comments) is only
-evidence: such an element goes unless it holds most of the page's text, or stands inside the article and is as dense
-as the page. For every element, with C characters, T tags, LC link characters and LT link tags below it, the density is
+scripts, styles) is no part of it. A class or id made of furniture words is only evidence, by itself (``sidebar``) or
+with words of layout (``comment-list``, ``ad-slot``, ``sidebar-left``); one with any other word (``share-price``) is
+none. Such an element goes unless it holds most of the page's text; inside the article, words that can also name
+parts of it (search, notice, related) take away only what is less dense than the page. For every element, with C characters, T tags, LC link characters and LT link tags below it, the density is
 
     C / T * log((C / LC) * (T / LT)) / log(log(C / (C - LC) * LC + LC_body / C_body * C + e))
 
 with 1 in place of every divisor that is 0, so links lower it. An element's density sum is that of its children.
 The element with the largest sum holds the text; from there the path to the body is climbed while the element
 above is at least as dense as the body, the threshold for the page. An article may stand in several elements:
-those beside the chosen one that reach the threshold belong to it. Within what is chosen, parts that
-fall below the threshold and are mostly links are left out; everything else is text.
+those beside the chosen one that reach the threshold belong to it. Where the page names no article, parts at
+either end of what is chosen that fall below the threshold and are mostly links are left out; everything else
+is text, lists of links between or below paragraphs of an article included.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import byte_texts, raw
+from keytide.llm.common import byte_texts, raw, slices
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
@@ -44,6 +46,17 @@ _WORDS = frozenset(
     "comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter "
     "subscribe subscription popup modal overlay toolbar pagination pager login signup search widget skip".split()
 )
+#: Of these, words that hardly name a part of an article.
+_SURE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "sidebar navbar breadcrumb breadcrumbs masthead comment comments commentlist disqus reply replies respond newsletter "
+    "subscribe subscription popup modal overlay toolbar pagination pager login signup".split()
+)
+#: Words of layout, which say nothing beside a furniture word.
+_LAYOUT = frozenset(
+    "area list item items slot left right top bottom wrapper wrap container box block section inner outer unit panel "
+    "module row col column zone holder group body main content primary secondary bar buttons links title form".split()
+)
 _KEPT = frozenset(["html", "body", "main", "article"])
 _CONTAINERS = frozenset("html body main article section div center address fieldset details".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -64,7 +77,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 class Node:
     __slots__ = ("tag", "parent", "children", "noise", "hint", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool, hint: bool = False, inside: bool = False):
+    def __init__(self, tag: str, parent: Node | None, noise: bool, hint: str = "", inside: bool = False):
         self.tag, self.parent, self.noise, self.hint, self.inside = tag, parent, noise, hint, inside
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -87,16 +100,18 @@ def is_noise(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
     return False
 
 
-def is_hint(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    """Whether a class or an id is nothing but furniture words; says nothing of an article's headings and paragraphs."""
+def hint_of(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> str:
+    """``sure`` or ``likely`` furniture by a class or an id, or nothing; headings and paragraphs of an article are none."""
     if tag in _KEPT or in_article and (tag == "p" or tag in _HEADINGS):
-        return False
+        return ""
+    found = ""
     for name, value in attrs:
         for token in (value or "").split() if name in ("class", "id") else ():
             words = {w for w in _SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w}
-            if words and words <= _WORDS | ({"header"} if not in_article else set()):
-                return True
-    return False
+            named = words & (_WORDS | ({"header"} if not in_article else set()))
+            if named and words <= named | _LAYOUT:
+                found = "sure" if named & _SURE else found or "likely"
+    return found
 
 
 class Tree(HTMLParser):
@@ -142,7 +157,7 @@ class Tree(HTMLParser):
             self.open, self.articles = self.root, 0  # an unclosed head
         inside, noise = self.articles > 0, self.open.noise
         noise = noise or is_noise(tag, attrs, inside)
-        node = Node(tag, self.open, noise, not noise and is_hint(tag, attrs, inside), inside)
+        node = Node(tag, self.open, noise, "" if noise else hint_of(tag, attrs, inside), inside)
         if node.hint:
             self.hints.append(node)
         self.open.children.append(node)
@@ -203,7 +218,7 @@ def score(order: list[Node], body: Node) -> None:
 
 
 def drop_hinted(hints: list[Node], order: list[Node], body: Node) -> None:
-    """Drop hinted elements, but not most of the page and nothing inside the article that is dense enough.
+    """Drop hinted elements, but not most of the page, and inside the article nothing likely that is dense enough.
 
     Inside is what is below an article or main element, or stands among paragraphs. On a page that has such an
     element, only what holds one can be most of it: a long advert beside a short article is still one.
@@ -219,7 +234,7 @@ def drop_hinted(hints: list[Node], order: list[Node], body: Node) -> None:
         if 2 * node.chars > body.chars and (node in holders or not named):
             continue
         among = node.inside or any(isinstance(c, Node) and c.tag == "p" and c.chars and not c.hint for c in node.parent.children)
-        node.noise = not (among and node.density >= body.density)
+        node.noise = node.hint == "sure" or not (among and node.density >= body.density)
 
 
 def choose(order: list[Node], body: Node) -> Node:
@@ -264,7 +279,32 @@ def article(best: Node, threshold: float) -> list[Node | str]:
     return found
 
 
-def blocks(tops: list[Node | str], best: Node, threshold: float) -> list[str]:
+def link_ends(tops: list[Node | str], threshold: float) -> set[int]:
+    """Elements at either end of what is chosen that are mostly links and not dense, up to the first other text.
+
+    Inside an article or main element there are none: its links are its own.
+    """
+    out: set[int] = set()
+    whole = {id(top) for top in tops if isinstance(top, Node) and top.tag in _CONTAINERS}
+    for forward in (True, False):
+        work: list[Node | str] = list(tops[::-1] if forward else tops)
+        while work:
+            item = work.pop()
+            if isinstance(item, str):
+                if item.strip():
+                    break
+            elif not item.noise and item.chars:
+                if item.inside or item.tag in ("article", "main"):
+                    break
+                sparse = item.density < threshold and 2 * item.link_chars > item.chars
+                if sparse and item.tag in _BLOCKS and id(item) not in whole:
+                    out.add(id(item))
+                    continue
+                work += reversed(item.children) if forward else item.children
+    return out
+
+
+def blocks(tops: list[Node | str], threshold: float) -> list[str]:
     """The text blocks in and below some elements, white space within each turned into one space."""
     found, parts = [], []
 
@@ -275,16 +315,14 @@ def blocks(tops: list[Node | str], best: Node, threshold: float) -> list[str]:
             found.append(text)
 
     work: list[Node | str | None] = tops[::-1]
-    whole = {id(best), *(id(top) for top in tops if isinstance(top, Node) and top.tag in _CONTAINERS)}
+    left_out = link_ends(tops, threshold)
     while work:
         item = work.pop()
         if item is None:
             end()
         elif isinstance(item, str):
             parts.append(item)
-        elif not item.noise:
-            if id(item) not in whole and item.tag in _BLOCKS and item.density < threshold and 2 * item.link_chars > item.chars:
-                continue
+        elif not item.noise and id(item) not in left_out:
             if item.tag in _SPACED:
                 parts.append(" ")
             if item.tag in _BLOCKS:
@@ -308,7 +346,7 @@ def main_text(html: str) -> str:
         order = measure(body)
         score(order, body)
     best = choose(order, body)
-    return "\n\n".join(blocks(article(best, body.density), best, body.density))
+    return "\n\n".join(blocks(article(best, body.density), body.density))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -321,7 +359,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     schema = "page_id long, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, "html")):
             texts = [main_text(h.decode("utf-8", "replace")) for h in byte_texts(batch, "html")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
