@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import WordHashes, bounded_sample, byte_texts, ngram_hashes, raw, stage
+from keytide.llm.common import bounded_sample, byte_texts, ngram_hashes, raw, slices, stage, WordHashes
 
 #: Rows from which the trees are grown.
 SAMPLE_ROWS = 8192
@@ -186,7 +186,7 @@ def rule_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, "text")):
             found = [statistics(t, hashes) for t in byte_texts(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -255,7 +255,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, text: str = "text", cle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, text)):
             found = [statistics(t, hashes) for t in byte_texts(batch, text)]
             failed = np.array([base_failed(s[0], s[4]) for s, _ in found], bool)
             odd = forest.rejected(forest.scores(np.array([f for _, f in found], float).reshape(-1, len(FEATURES))))

@@ -78,6 +78,8 @@ def test_prefixes_of_linked_sets_meet_under_every_order():
                 assert len(np.intersect1d(*heads)) and [len(h) for h in heads] == [jaccard.prefix_length(len(x), 85) for x in sets]
                 first = min(min(map(list(x).index, np.intersect1d(*heads))) for x in heads)
                 assert len(a) - first >= both
+            heads = [jaccard.prefix(x, rarity, 85, more=len(x) // 20) for x in sets]
+            assert len(np.intersect1d(*heads)) >= max(jaccard.least_shared(len(x), 85) for x in sets)
     assert met > 50
 
 
@@ -224,20 +226,34 @@ def test_base_spans_match_brute_force():
         assert secrets.base_spans(text.encode()) == brute_spans(text)
 
 
+def random_words(rng, n):
+    return ["".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 9))) for _ in range(n)]
+
+
 def test_network_finds_secrets_that_no_pattern_names():
     rng = random.Random(4)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
-    rows = []
+    rows, further = [], []
     for i in range(400):
-        bad = f"some words token = {hexes(40)} and more"
-        good = f"write to mail{i}.example.com or 10.0.{i % 200}.17 today"
-        for text in (bad, good):
-            decoded, spans = secrets.candidates(text.encode())
-            rows += [(secrets.windows(decoded, *s)[0], 2 if "token" in text else -1) for s in spans]
-    network = secrets.train(rows)
-    hidden = f"signing value {hexes(30).upper().replace('A', 'a')}x9 here"
+        text = f"some words token = {hexes(40)} and more"
+        start = text.index("=") + 2
+        rows += [(secrets.windows(text, start, start + 40)[0], 0)]
+        rows += [(w, 0) for w in secrets.bare_windows(text, (text.index("token"), 0, start + 40))]
+        text = f"write to mail{i}.example.com or 10.0.{i % 200}.17 today"
+        rows += [(secrets.windows(text, m.start(), m.end())[0], -1) for m in re.finditer(r"\S+", text)]
+        text = " ".join(random_words(rng, 8))
+        rows += [(secrets.windows(text, m.start(), m.end())[0], -1) for m in re.finditer(r"\S+", text)]
+        text = " ".join(random_words(rng, 20))
+        further += [secrets.windows(text, m.start(), m.end())[0] for m in re.finditer(r"\S+", text)]
+    network = secrets.train(rows, further)
+    hidden = f"signing value {hexes(32).upper()} here"
     (base, every), (_, none) = secrets.all_spans([hidden.encode(), b"see mail777.example.com now"], network)
-    assert 0.5 <= network.threshold <= 1 and not none and len(every) >= len(base)
+    assert base == [] and every == [(14, 3, 46)] and none == []
+    assert np.isfinite(network.thresholds[0]) and np.isinf(network.thresholds[1:]).all()
+    # Too few held-out findings, and counter-examples that cannot be told from findings: nothing is added.
+    assert np.isinf(secrets.train(rows[:60] + [r for r in rows if r[1] < 0], further).thresholds).all()
+    confused = secrets.train(rows, [w for w, k in rows if k == 0] + further)
+    assert np.isinf(confused.thresholds).all()
     assert secrets.redacted(b"a token=abcdefabcdefabcd1 b", secrets.base_spans(b"a token=abcdefabcdefabcd1 b"), "[S]") == "a [S] b"
 
 
@@ -260,6 +276,26 @@ def test_secrets_without_a_name_are_found(spark):
     assert sum(r.n_model for r in found if r.doc_id < 1000) <= 20 and sum(r.n_assign for r in found) == 600
 
 
+@pytest.mark.parametrize("findings", [10, 150])
+def test_clean_texts_get_no_spans_of_the_network(spark, findings):
+    rng, rows = random.Random(findings), []
+    for i in range(1500):
+        words = [w.capitalize() if rng.random() < 0.2 else w.upper() if rng.random() < 0.05 else w for w in random_words(rng, 40)]
+        words += [f"mail{i}.example.com", f"10.0.{i % 200}.17", "La.", f"{i}-{i + 4}", f"2024-01-{i % 28 + 1}"]
+        rng.shuffle(words)
+        if i < findings:
+            kind = i % 3
+            value = "".join(rng.choices("0123456789abcdef", k=32))
+            words.insert(9, [f"token={value}x", f"AKIA{value.upper().replace('A', 'Q')[:16]}", value][kind])
+        rows.append((i, " ".join(words), 0, ""))
+    found = secrets.find_secrets(documents(spark, rows)).collect()
+    assert sum(r.n_assign + r.n_access + r.n_hex > 0 for r in found) == findings
+    assert sum(r.n_model for r in found if r.doc_id >= findings) <= 1
+    texts = {r[0]: r[1] for r in rows}
+    changed = [r.doc_id for r in secrets.redact_secrets(documents(spark, rows)).collect() if r.text != texts[r.doc_id]]
+    assert set(range(findings)) <= set(changed) and len(changed) <= findings + 1
+
+
 def test_long_runs_and_blocks_score_like_windows():
     rng = random.Random(13)
     rows = [(w, k) for k, a in ((0, "0123456789abcdef"), (-1, "etaoin")) for _ in range(200) for w in secrets.windows("".join(rng.choices(a, k=20)), 0, 20)]
@@ -332,6 +368,25 @@ def test_plans_hold_every_piece_and_reduction_keeps_the_optimum():
         assert sum(e.count for e in fixed) + _fewest(rest, 12) == _fewest([s for s in sizes if s < 12], 12)
 
 
+def test_plans_are_as_short_for_any_counts():
+    rng = np.random.default_rng(7)
+    for capacity in (12, 64, 2048):
+        for most in (3, 10**9):
+            for low in (1, capacity // 3):
+                counts = np.zeros(capacity + 1, np.int64)
+                some = rng.choice(np.arange(low, capacity + 1), max(1, capacity // 3), replace=False)
+                counts[some] = rng.integers(1, most, len(some), endpoint=True)
+                plan = packing.plan(counts, capacity)
+                assert len(plan) <= 4 * capacity
+                held = np.zeros(capacity + 1, np.int64)
+                for e in plan:
+                    assert sum(e.lengths) <= capacity and e.count > 0
+                    for x in e.lengths:
+                        held[x] += e.count
+                assert (held == counts).all()
+                assert len(packing.Places(plan).keys) <= 8 * capacity
+
+
 def _fewest(sizes, capacity):
     best = len(sizes)
 
@@ -425,6 +480,101 @@ def test_html_article_in_several_elements():
     assert main_text(named) == "\n\n".join(["Title", *[text] * 3])
 
 
+def test_html_links_of_an_article_stay():
+    prose = "Plain words that make up the article and go on for a while, as articles do. " * 4
+    text, part = prose.strip(), f"<p>{prose}</p>"
+    sources = "<h2>References</h2><ul><li><a href=x>First source</a><li><a href=y>Second source</a></ul>"
+    link = "<p><a href=z>A paragraph that is one link</a></p>"
+    listed = ["References", "First source", "Second source"]
+    expected = [text, "A paragraph that is one link", text, *listed]
+    for tag in ("article", "main"):
+        page = f"<body><nav><a href=x>m</a></nav><{tag}>{part}{link}{part}{sources}</{tag}><footer>f</footer></body>"
+        assert main_text(page) == "\n\n".join(expected)
+    between = f"<body><div>{part * 2}<ul><li><a href=x>One</a><li><a href=y>Two</a></ul>{part * 2}<div><a href=x>More</a></div></div></body>"
+    assert main_text(between) == "\n\n".join([text, text, "One", "Two", text, text])
+
+
+def test_html_compound_names_are_evidence():
+    prose = "Plain words that make up the article and go on for a while, as articles do. " * 4
+    text, part = prose.strip(), f"<p>{prose}</p>"
+    for name in ("comments-area", "comment-list", "commentList", "ad-slot", "sidebar-left", "cookie-bar", "newsletterBox"):
+        other = f'<div class="{name}"><p>Somebody else says this, at some length and without a link. {prose}</p></div>'
+        assert main_text(f"<body><article>{part * 3}{other}</article></body>") == "\n\n".join([text] * 3), name
+        assert main_text(f'<body><div class="wrap">{part * 3}</div>{other}</body>') == "\n\n".join([text] * 3), name
+    for name in ("share-price", "has-sidebar", "search-theory", "related-work", "notice", "commentary"):
+        own = f'<div class="{name}">{part}</div>'
+        assert main_text(f"<body><article>{part * 3}{own}</article></body>") == "\n\n".join([text] * 4), name
+
+
+def brute_density(node, link=False):
+    """``characters, tags, link characters, link tags`` of a nested ``(tag, children)``, by recursion."""
+    tag, children = node
+    totals = [0, 0, 0, 0]
+    for c in children:
+        if isinstance(c, str):
+            n = sum(not ch.isspace() for ch in c)
+            totals = [totals[0] + n, totals[1], totals[2] + n * (link or tag == "a"), totals[3]]
+        else:
+            below = brute_density(c, link or tag == "a")
+            totals = [t + b for t, b in zip(totals, below)]
+            totals[1] += 1
+            totals[3] += c[0] == "a"
+    return totals
+
+
+def test_densities_match_a_plain_recursion():
+    from math import e, log
+
+    from keytide.llm import html_text
+
+    rng = random.Random(17)
+
+    def grown(depth):
+        tag = rng.choice(["div", "section", "span", "b", "a", "article"])
+        children = []
+        for _ in range(rng.randint(0, 4)):
+            children.append(grown(depth - 1) if depth and rng.random() < 0.6 else rng.choice(["word ", " x\n", "", "longer text here "]))
+        return tag, children
+
+    def shown(node):
+        return f"<{node[0]}>{''.join(c if isinstance(c, str) else shown(c) for c in node[1])}</{node[0]}>"
+
+    def nested_links(node, inside=False):
+        return any(not isinstance(c, str) and (c[0] == "a" and (inside or node[0] == "a") or nested_links(c, inside or node[0] == "a")) for c in node[1])
+
+    compared = 0
+    for _ in range(300):
+        body = ("body", [grown(4) for _ in range(3)])
+        if nested_links(body):
+            continue
+        tree = html_text.Tree()
+        tree.feed(shown(body))
+        tree.close()
+        order = html_text.measure(tree.body)
+        html_text.score(order, tree.body)
+        all_c, _, all_lc, _ = brute_density(body)
+
+        def density(node):
+            c, t, lc, lt = brute_density(node, node[0] == "a")
+            if not c:
+                return 0.0
+            spread = log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt)))
+            base = log(max(e, log(c / max(1, c - lc) * lc + all_lc / max(1, all_c) * c + e)))
+            return c / max(1, t) * spread / max(1.0, base)
+
+        def walk(node, made):
+            nonlocal compared
+            compared += 1
+            assert abs(density(node) - made.density) < 1e-9
+            inner = [c for c in node[1] if not isinstance(c, str)]
+            assert abs(sum(map(density, inner)) - made.total) < 1e-9
+            for c, m in zip(inner, [m for m in made.children if not isinstance(m, str)], strict=True):
+                walk(c, m)
+
+        walk(body, tree.body)
+    assert compared > 1000
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a<p>b", 1), (1, "u", "<p>a<p>b", 1), (None, None, None, 2), (2, "v", "", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
@@ -472,6 +622,9 @@ def test_odd_rows_and_empty_tables(spark):
         "redaction": secrets.redact_secrets,
         "tokens": lambda d: token_counts.token_counts(d, path),
     }
+    packed = packing.pack(documents(spark), public_tokenizers.path("word_bpe_49k.json"))
+    assert packed.filter("piece = 0").count() == len(ODD)
+    assert packing.pack(documents(spark).limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
     for name, operator in operators.items():
         assert operator(documents(spark)).count() == len(ODD), name
         assert operator(documents(spark).limit(0)).count() == 0, name
