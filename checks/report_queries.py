@@ -403,6 +403,27 @@ def cumulative_percentiles(spark, sf):
     return t.flat(running.drop("window_end"))
 
 
+@check(
+    "w2_keyless_percentiles",
+    f"""WITH e AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, size FROM ({t.USER_EVENTS})),
+         ticks AS (SELECT DISTINCT hour FROM e),
+         grid AS (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL '1 hour')) AS tick FROM e),
+         r AS (SELECT ticks.hour AS hour, size, row_number() OVER (PARTITION BY ticks.hour ORDER BY size) AS reached,
+                      count(*) OVER (PARTITION BY ticks.hour) AS total
+               FROM ticks JOIN e ON e.hour <= ticks.hour),
+         p AS (SELECT hour, max(size) AS max_size, CAST(sum(size) AS BIGINT) AS sum_size,
+                      min(size) FILTER (reached >= greatest(1, floor(0.5::DOUBLE * total + 0.5))) AS p50_size,
+                      min(size) FILTER (reached >= greatest(1, floor(0.99::DOUBLE * total + 0.5))) AS p99_size
+               FROM r GROUP BY hour)
+    SELECT tick AS window_start, max_size, sum_size, p50_size, p99_size FROM grid ASOF JOIN p ON tick >= hour""",
+)
+def keyless_percentiles(spark, sf):
+    """One running report of all events, hour by hour: hundreds of slices, no key."""
+    spec = "max(size),sum(size),p50(size),p99(size)"
+    running = I.cumulative_report(t.user_events(spark, sf), spec, "1 hour")
+    return t.flat(running.drop("window_end"))
+
+
 # ---- statistics -------------------------------------------------------------------------------
 
 STATS_SQL = """

@@ -7,13 +7,14 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keytide.functions.spec import DEFAULT_SPEC, ReportSpec, report_spec
 from keytide.operators import report as R
+from keytide.plans.cut import cut
 
 WINDOW = ["window_start", "window_end"]
 
@@ -54,25 +55,25 @@ def cumulative_report(
 ) -> DataFrame:
     """One report per interval over everything up to that interval's end.
 
-    Events are first reduced to one row per key and interval.  A key that is idle in an interval
-    repeats its last values, up to the last interval of the input.
+    Events are first reduced to one row per key and interval (and histogram bucket), which is written to the
+    checkpoint folder, so events are read once. A key that is idle in an interval repeats its last values, up to
+    the last interval of the input. Intervals are counted in microseconds, so clock changes do not matter.
     """
     spec = report_spec(format)
-    step = F.expr(f"INTERVAL {every}")
     partials = R.partial_report(in_intervals(events, every), spec, WINDOW)
+    local = isinstance(partials.schema["window_start"].dataType, T.TimestampNTZType)
+    start, end = (_micros(F.col(c), local) for c in WINDOW)
+    partials = cut(partials.select(start.alias(_START), (end - start).alias(_STEP), "*").drop(*WINDOW))
     states = partials
     if spec.percentiles:
-        states = partials.groupBy(*WINDOW, *spec.key_names).agg(*R._merge_columns(spec))
-    so_far = (
-        Window.partitionBy(*spec.key_names)
-        .orderBy("window_start")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    order = Window.partitionBy(*spec.key_names).orderBy("window_start")
+        states = partials.groupBy(_START, _STEP, *spec.key_names).agg(*R._merge_columns(spec))
+    order = Window.partitionBy(*spec.key_names).orderBy(_START)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     accumulated = states.select(
         *spec.key_names,
-        "window_start",
-        F.lead("window_start").over(order).alias("__next"),
+        _START,
+        _STEP,
+        F.lead(_START).over(order).alias("__next"),
         *[
             state.merge(F.col(R._state_name(i, j))).over(so_far).alias(R._state_name(i, j))
             for i, term in enumerate(spec.aggs)
@@ -81,70 +82,121 @@ def cumulative_report(
     )
     if spec.percentiles:
         quantiles = _running_percentiles(partials, spec)
-        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in spec.key_names]
-        same.append(F.col("window_start") == F.col("__window_start"))
-        renamed = {c: f"__{c}" for c in [*spec.key_names, "window_start"]}
-        accumulated = accumulated.join(quantiles.withColumnsRenamed(renamed), reduce(and_, same))
-    last = partials.agg(F.max("window_start")).scalar()
-    return (
-        accumulated.withColumn("__until", F.coalesce(F.col("__next") - step, last))
-        .withColumn("window_start", F.explode(F.sequence("window_start", "__until", step)))
-        .select(
-            F.col("window_start"),
-            (F.col("window_start") + step).alias("window_end"),
-            *spec.key_names,
-            *[R.finished_value(spec, n) for n in spec.value_names],
-        )
+        renamed = {c: f"{c}__" for c in [*spec.key_names, _START]}
+        accumulated = accumulated.join(quantiles.withColumnsRenamed(renamed), _same(renamed))
+    last = partials.agg(F.max(_START)).scalar()
+    until = F.coalesce(F.col("__next") - F.col(_STEP), last)
+    return accumulated.withColumn(_START, F.explode(F.sequence(F.col(_START), until, F.col(_STEP)))).select(
+        _time(F.col(_START), local).alias("window_start"),
+        _time(F.col(_START) + F.col(_STEP), local).alias("window_end"),
+        *spec.key_names,
+        *[R.finished_value(spec, n) for n in spec.value_names],
     )
 
 
+_START, _STEP, _SLICE = "__start", "__step", "__slice"
+#: Intervals whose running percentiles are made together.
+SLICE_INTERVALS = 64
+_BEFORE = -(1 << 62)
+
+
+def _micros(time: Column, local: bool) -> Column:
+    """Microseconds since 1970, of a local time as if in UTC."""
+    return F.unix_micros(F.concat(time.cast("string"), F.lit("Z")).cast("timestamp") if local else time)
+
+
+def _time(micros: Column, local: bool) -> Column:
+    if not local:
+        return F.timestamp_micros(micros)
+    seconds = (micros.cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def _same(renamed: dict[str, str]) -> Column:
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in renamed.items()])
+
+
 def _running_percentiles(partials: DataFrame, spec: ReportSpec) -> DataFrame:
     """Percentiles of each key over all intervals so far, at each interval the key occurs in.
 
-    Rows are bucket counts, sorted by key and interval; a task keeps the one histogram of the key
-    it is reading, at most 17,409 counts.
+    Intervals are taken in slices. The histogram with which a slice begins is the sum of those before it, bucket
+    by bucket, so a key is spread over its buckets; from there a slice is worked on by itself, so a key is
+    spread over its slices. No task holds more than one histogram for each interval of a slice.
     """
     keys, quantiles = spec.key_names, [(t.name, t.quantile) for t in spec.percentiles]
     sized = F.col(R._BUCKET).isNotNull()  # null sizes keep their key's row and count for nothing
     rows = partials.select(
         *keys,
-        "window_start",
+        F.floor(F.col(_START) / (F.col(_STEP) * SLICE_INTERVALS)).alias(_SLICE),
+        _START,
         F.when(sized, F.col(R._BUCKET)).otherwise(0).alias(R._BUCKET),
         F.when(sized, F.col(R._ROWS)).otherwise(0).alias(R._ROWS),
     )
+    counted = rows.groupBy(*keys, _SLICE, R._BUCKET).agg(F.sum(R._ROWS).alias(R._ROWS))
+    order = Window.partitionBy(*keys, R._BUCKET).orderBy(_SLICE)
+    summed = counted.select(
+        *keys, _SLICE, R._BUCKET,
+        F.sum(R._ROWS).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(R._ROWS),
+        F.lead(_SLICE).over(order).alias("__next"),
+    )
+    # A sum holds for the slices up to the bucket's next one, or up to the key's last one.
     if keys:
-        rows = rows.repartition(*keys)
+        renamed = {c: f"{c}__" for c in keys}
+        lasts = rows.groupBy(*keys).agg(F.max(_SLICE).alias("__last")).withColumnsRenamed(renamed)
+        summed = summed.join(lasts, _same(renamed)).drop(*renamed.values())
     else:
-        rows = rows.coalesce(1)
-    rows = rows.sortWithinPartitions(*keys, "window_start", R._BUCKET)
+        summed = summed.withColumn("__last", rows.agg(F.max(_SLICE)).scalar())
+    until = F.coalesce("__next", "__last")
+    later = F.explode(F.sequence(F.col(_SLICE) + 1, until))
+    before = summed.filter(F.col(_SLICE) < until).withColumn(_SLICE, later)
+    before = before.withColumn(_START, F.lit(_BEFORE)).select(*rows.columns)
+    together = rows.unionByName(before).repartition(*keys, _SLICE)
+    together = together.sortWithinPartitions(*keys, _SLICE)
     out = T.StructType(
         [rows.schema[k] for k in keys]
-        + [rows.schema["window_start"]]
+        + [T.StructField(_START, T.LongType())]
         + [T.StructField(name, T.LongType()) for name, _ in quantiles]
     )
+    width = len(keys) + 1  # what tells one slice of a key from another
+
+    def percentiles(starts: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list]:
+        """At each interval of a slice; counts before the slice stand at ``_BEFORE``."""
+        ticks = np.unique(starts[starts != _BEFORE])
+        tops, at = np.unique(buckets, return_inverse=True)
+        table = np.zeros((len(tops), len(ticks) + 1), np.int64)
+        np.add.at(table, (at, np.where(starts == _BEFORE, 0, np.searchsorted(ticks, starts) + 1)), counts)
+        reached = table.cumsum(1)[:, 1:].cumsum(0)
+        found = []
+        for _, q in quantiles:
+            ranks = np.maximum(1, np.floor(q / 100.0 * reached[-1] + 0.5)).astype(np.int64)
+            tops_at = tops[(reached >= ranks).argmax(0)]
+            found.append(pa.array(tops_at, mask=ranks > reached[-1]))
+        return ticks, found
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the slice that is being read
+
+        def done(table: pa.Table) -> pa.RecordBatch:
+            starts, buckets, counts = (table.column(i).to_numpy() for i in range(width, width + 3))
+            ticks, found = percentiles(starts, buckets, counts)
+            key = [pa.repeat(table.column(i)[0], len(ticks)) for i in range(width - 1)]
+            return pa.RecordBatch.from_arrays([*key, pa.array(ticks), *found], names=out.names)
 
-    def percentiles(counts: dict[int, int]) -> list[int]:
-        tops = np.array(sorted(counts), dtype="int64")
-        reached = np.cumsum([counts[t] for t in tops.tolist()])
-        rows = int(reached[-1])
-        ranks = [max(1, int(np.floor(q / 100.0 * rows + 0.5))) for _, q in quantiles]
-        return [int(tops[np.searchsorted(reached, r)]) if r <= rows else None for r in ranks]
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tick, counts = None, None, {}
         for batch in batches:
-            done = []
-            for row in batch.itertuples(index=False, name=None):
-                now_key, now_tick = row[: len(keys)], row[len(keys)]
-                if tick is not None and (now_key, now_tick) != (key, tick):
-                    done.append((*key, tick, *percentiles(counts)))
-                    if now_key != key:
-                        counts = {}
-                key, tick = now_key, now_tick
-                counts[row[-2]] = counts.get(row[-2], 0) + row[-1]
-            if done:
-                yield pd.DataFrame(done, columns=out.names)
-        if tick is not None:
-            yield pd.DataFrame([(*key, tick, *percentiles(counts))], columns=out.names)
-
-    return rows.mapInPandas(scan, out)
+            if not batch.num_rows:
+                continue
+            edges = np.zeros(batch.num_rows - 1, bool)
+            for i in range(width):
+                codes = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                edges |= np.diff(codes) != 0
+            borders = [0, *(np.flatnonzero(edges) + 1).tolist(), batch.num_rows]
+            for low, high in zip(borders, borders[1:]):
+                part = batch.slice(low, high - low)
+                if held and any(part.column(i)[0].as_py() != held[0].column(i)[0].as_py() for i in range(width)):
+                    yield done(pa.Table.from_batches(held))
+                    held.clear()
+                held.append(part)
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return together.mapInArrow(scan, out)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from keytide.operators.frames import DEFAULT_PORTS, conn_label, port_filter, with_connection
 from keytide.plans.cut import cut
+from keytide.plans.scan import running
 
 # Packets of a connection are scanned in slices of this many seconds of capture time, and of this
 # many bytes of its streams.
@@ -28,12 +29,14 @@ _WRAP = 1 << 32
 def packet_index(packets: DataFrame, ports: Sequence[int] = DEFAULT_PORTS) -> DataFrame:
     """Header facts of the packets that matter to reassembly: about 100 bytes each, no payload.
 
-    Arrival order is ``us`` (time in microseconds), then ``source`` and ``ord`` (position in the
+    These are packets with a payload, and those that open or end a connection (``fin`` and ``rst`` are
+    false where ``packets`` has no such columns); bare acknowledgements are left out. Arrival order is ``us`` (time in microseconds), then ``source`` and ``ord`` (position in the
     capture; ``source`` is a hash of the file name).
     """
     kept = with_connection(port_filter(packets, ports), ports)
     size = F.octet_length("payload")
-    return kept.filter((size > 0) | F.col("syn")).select(
+    ends = {n: F.coalesce(F.col(n), F.lit(False)) if n in packets.columns else F.lit(False) for n in ("fin", "rst")}
+    return kept.filter((size > 0) | F.col("syn") | ends["fin"] | ends["rst"]).select(
         conn_label(F.col("conn")).alias("conn"),
         "from_server",
         F.unix_micros("ts").alias("us"),
@@ -42,6 +45,7 @@ def packet_index(packets: DataFrame, ports: Sequence[int] = DEFAULT_PORTS) -> Da
         "seq",
         size.cast("long").alias("len"),
         "syn",
+        *[c.alias(n) for n, c in ends.items()],
         F.conv(F.hex(F.substring("payload", 1, 1)), 16, 10).cast("int").alias("first_byte"),
     )
 
@@ -59,7 +63,7 @@ def with_flows(
     """Add ``flow`` (connection and incarnation) and ``unwrapped`` (sequence number past 2^32).
 
     A new incarnation starts at a client SYN with another sequence number (reused ports) and after
-    ``idle_seconds`` without packets.  Neighbours in arrival order must be less than 2 GiB apart
+    ``idle_seconds`` without packets; ``split_at_closes`` adds those that follow an end or a reset.  Neighbours in arrival order must be less than 2 GiB apart
     in their stream.
     """
     idle = idle_seconds * 1_000_000
@@ -143,10 +147,66 @@ def with_flows(
         (seq + steps * _WRAP).alias("unwrapped"),
         "len",
         "syn",
+        "fin",
+        "rst",
         "first_byte",
     )
 
 
+_ARRIVAL = ("us", "source", "ord")
+
+
+def closing_packets(flows: DataFrame) -> DataFrame:
+    """``source, ord`` of the packets that end a connection: a reset, or the end of the second direction.
+
+    Only ends and resets are looked at. Between two resets the ends of a connection, in arrival order, form runs
+    of one direction. The first end of a run closes the connection if the other direction had ended since the
+    last close. Had it? After a run of several ends it had, for at most its first end was used up by a close.
+    After a run of one end it had if that end closed nothing. So the answer turns over from run to run and is
+    known anew behind every long run: a count of runs and the last known answer carry it over any distance.
+    """
+    slices = F.floor(F.col("us") / F.lit(SLICE_SECONDS * 1_000_000))
+    order = [F.col(c) for c in _ARRIVAL]
+    ends = flows.filter(F.col("fin") | F.col("rst")).select("flow", "from_server", *_ARRIVAL, "fin", "rst")
+    ends = cut(ends)
+    reset = F.col("rst").cast("long")
+    eras = running(ends, ["flow"], slices, order, {"era": ("sum", reset)}, inclusive=False)
+    eras = eras.withColumn("era", F.coalesce("era", F.lit(0).cast("long")))
+    closed = eras.filter("rst").select("source", "ord")
+    fins = eras.filter("fin and not rst")
+    keys = ["flow", "era"]
+    fins = running(fins, keys, slices, order, {"before": ("last", F.col("from_server"))}, inclusive=False)
+    fins = fins.withColumn("opens", F.col("before").isNull() | (F.col("before") != F.col("from_server")))
+    fins = running(fins, keys, slices, order, {"after_open": ("last", F.col("opens"))}, inclusive=False)
+    fins = running(fins, keys, slices, order, {"runs": ("sum", F.col("opens").cast("long"))})
+    # Known at a run's first end: nothing had ended before the first run, something behind a long one.
+    known = F.when(F.col("before").isNull(), 2 * F.col("runs")).when(
+        F.col("opens") & ~F.col("after_open"), 2 * F.col("runs") + 1
+    )
+    fins = running(fins, keys, slices, order, {"known": ("last", known)})
+    turned = F.pmod(F.col("runs") - F.floor(F.col("known") / 2), F.lit(2))
+    had = F.pmod(F.col("known") + turned, F.lit(2)) == 1
+    return closed.union(fins.filter(F.col("opens") & had).select("source", "ord"))
+
+
+def split_at_closes(flows: DataFrame) -> DataFrame:
+    """Packets behind the one that closes a connection belong to a new incarnation of it.
+
+    Adds the number of closes so far to ``flow``. Without ends and resets nothing is ordered again.
+    """
+    plain = flows.drop("fin", "rst")
+    if flows.filter(F.col("fin") | F.col("rst")).isEmpty():
+        return plain
+    closing = closing_packets(flows).withColumn("closes", F.lit(1).cast("long"))
+    marked = plain.join(closing, ["source", "ord"], "left")
+    slices = F.floor(F.col("us") / F.lit(SLICE_SECONDS * 1_000_000))
+    order = [F.col(c) for c in _ARRIVAL]
+    counted = running(marked, ["flow"], slices, order, {"closed": ("sum", F.col("closes"))}, inclusive=False)
+    flow = F.concat("flow", F.lit("."), F.coalesce("closed", F.lit(0)).cast("string")).alias("flow")
+    # An end without payload has no place in the stream.
+    return counted.filter((F.col("len") > 0) | F.col("syn")).select(flow, *[c for c in plain.columns if c != "flow"])
+
+
 def conn_of(flow: Column | str) -> Column:
     return F.split_part(F.col(flow) if isinstance(flow, str) else flow, F.lit("#"), F.lit(1))
 
@@ -247,7 +307,7 @@ def placed_segments(
 ) -> DataFrame:
     """Segments of all connections without their bytes, written out for the steps that follow."""
     index = cut(packet_index(packets, ports))
-    return cut(segment_index(with_flows(index, idle_seconds)))
+    return cut(segment_index(split_at_closes(with_flows(index, idle_seconds))))
 
 
 def segments(

@@ -75,8 +75,7 @@ class Connection:
         if syn:
             seq = (seq + 1) % _WRAP
             if not from_server and seq != self.opened:
-                if self.opened is not None:
-                    self.__init__(self.choice, self.max_pending, last_us=self.last_us, lost=self.lost)
+                self.__init__(self.choice, self.max_pending, last_us=self.last_us, lost=self.lost)
                 self.opened = seq
         half = self.server if from_server else self.client
         if half.expected is None and (syn or payload):
@@ -222,3 +221,31 @@ class Connection:
             if answer.kind in ("bulk", "nil"):
                 kind = HIT if answer.kind == "bulk" else MISS
                 yield kind, key.decode("utf-8", "replace"), answer.size or 0
+
+
+@dataclass
+class Follower:
+    """A connection through all its incarnations: what is idle, ended or reset begins anew."""
+
+    steps: dict[str, Protocol]
+    idle_us: int
+    connection: Connection
+
+    def take(self, us: int, from_server: bool, seq: int, syn: bool, fin: bool, rst: bool, payload: bytes):
+        """Take one packet in arrival order; yields ``(us, protocol, *event)``."""
+        old = self.connection
+        if old.last_us and us - old.last_us > self.idle_us:
+            yield from self.finish(old.last_us)
+            self.connection = Connection(old.choice, old.max_pending, lost=old.lost)
+        connection = self.connection
+        connection.last_us = max(us, connection.last_us)
+        for event in connection.add(self.steps, from_server, seq, syn, payload):
+            yield us, connection.protocol, *event
+        if connection.closes(from_server, fin, rst):
+            yield from self.finish(us)
+            self.connection = Connection(connection.choice, connection.max_pending, last_us=us, lost=connection.lost)
+
+    def finish(self, us: int):
+        connection = self.connection
+        for event in connection.finish(self.steps):
+            yield us, connection.protocol, *event

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from keytide.functions.protocols import INFER, LINE_LIMIT, check_protocol, protocols
 from keytide.operators.frames import DEFAULT_PORTS, check_ports, conn_label, port_filter, with_connection
 from keytide.operators.segments import IDLE_SECONDS
-from keytide.streaming.connection import Connection
+from keytide.streaming.connection import Connection, Follower
 
 EVENT_SCHEMA = "ts timestamp, conn string, protocol string, type string, key string, size long, lost long"
 
@@ -40,23 +40,13 @@ class ConnectionProcessor(StatefulProcessor):
         return Connection(self.protocol, self.max_pending)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        connection = self._load()
+        follower = Follower(self.steps, self.idle_us, self._load())
         packets = pd.concat(list(rows)).sort_values(["us", "file", "ord"], kind="stable")
-        out, lost = [], connection.lost
+        lost = follower.connection.lost
         columns = ["us", "from_server", "seq", "syn", "fin", "rst", "payload"]
         rows = packets[columns].itertuples(index=False, name=None)
-        for us, from_server, seq, syn, fin, rst, payload in rows:
-            if connection.last_us and us - connection.last_us > self.idle_us:
-                found = connection.finish(self.steps)
-                out += self._rows(key, connection, connection.last_us, found)
-                connection = Connection(self.protocol, self.max_pending, lost=connection.lost)
-            connection.last_us = max(us, connection.last_us)
-            found = connection.add(self.steps, from_server, seq, syn, payload)
-            out += self._rows(key, connection, us, found)
-            if connection.closes(from_server, fin, rst):
-                out += self._rows(key, connection, us, connection.finish(self.steps))
-                lost_so_far, connection = connection.lost, Connection(self.protocol, self.max_pending)
-                connection.lost, connection.last_us = lost_so_far, us
+        out = [self._row(key, found) for row in rows for found in follower.take(*row)]
+        connection = follower.connection
         lost = connection.lost - lost
         if lost:
             out.append((connection.last_us, key[0], connection.protocol, "lost", None, 0, lost))
@@ -67,16 +57,17 @@ class ConnectionProcessor(StatefulProcessor):
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        connection = self._load()
-        rows = self._rows(key, connection, connection.last_us, connection.finish(self.steps))
+        follower = Follower(self.steps, self.idle_us, self._load())
+        rows = [self._row(key, found) for found in follower.finish(follower.connection.last_us)]
         self.state.clear()
         yield self._frame(rows)
 
     def close(self) -> None:
         pass
 
-    def _rows(self, key, connection: Connection, us: int, found) -> list[tuple]:
-        return [(us, key[0], connection.protocol, *event, 0) for event in found]
+    def _row(self, key, found: tuple) -> tuple:
+        us, protocol, *event = found
+        return (us, key[0], protocol, *event, 0)
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         names = [f.split(" ")[0] for f in EVENT_SCHEMA.split(", ")]
@@ -100,6 +91,8 @@ def stream_events(
     """
     check_protocol(protocol)
     kept = with_connection(port_filter(packets, check_ports(ports)), ports)
+    # Bare acknowledgements say nothing, also not that a connection is alive.
+    kept = kept.filter((F.octet_length("payload") > 0) | F.col("syn") | F.col("fin") | F.col("rst"))
     rows = kept.select(
         conn_label(F.col("conn")).alias("conn"),
         "ts",
