@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.ship import ship
-from keytide.llm.common import read, stage
+from keytide.llm.common import read, remove, stage, unused
 from keytide.llm.decontaminate import drop_contaminated
 from keytide.llm.jaccard import jaccard_join
 from keytide.llm.packing import pack
@@ -38,12 +38,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each linked group: by id (null last), text hash and place in the table; wordless rows stay."""
     ship(spark)
     # Rows are told apart by a number that is written with them: ids may be null or repeat.
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    linked = jaccard_join(rows, key="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "__row")
-    firsts = rows.select("__row", order.alias("__order")).join(linked, "__row").groupBy("__group").agg(F.min("__order").alias("o"))
-    ids = stage(firsts.select(F.col("o.__row").alias("__row")), "kept")
-    return rows.join(ids, "__row", "left_semi").select(*docs.columns)
+    row = unused(docs, "row_number")
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    linked = jaccard_join(rows, key=row).select(F.col("doc_id").alias(row), F.col("component_id").alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.col(row).alias("row"))
+    firsts = rows.select(row, order.alias("order")).join(linked, row).groupBy("group").agg(F.min("order").alias("o"))
+    ids = stage(firsts.select(F.col("o.row").alias(row)), "kept")
+    return rows.join(ids, row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +78,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     docs = read(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        kept = stage(step(spark, docs, sf_dir), name)
+        remove(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
