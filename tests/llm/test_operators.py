@@ -1,6 +1,7 @@
 """Every corpus operator against brute force, and on nulls, empty, long and repeated rows and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -666,3 +667,90 @@ def test_near_copies_without_an_id_of_their_own_go(spark, tmp_path):
     assert found.columns == docs.columns
     expected = [(None, "a"), (None, "b"), (7, "c"), (3, "d"), (8, "e"), (9, "f"), (None, "g")]
     assert sorted(((r.doc_id, r.kept) for r in found.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_pipeline_of_empty_tables_and_of_columns_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["__row", "row_number", "text_key", "Text_Key_", "cls", "rep", "group", "n_chars"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names)
+    good = [(i, " ".join(random.Random(i).choices(WORDS, k=60)) + f" number{i}", *range(100 + i, 108 + i)) for i in range(12)]
+    rows = good + [(20, good[3][1], *range(8)), (21, None, *range(8))]
+    rows += [(22, good[4][1] + " one two three four five six seven eight nine ten eleven", *range(8))]
+    items = [(1, "one two three four five six seven eight nine ten eleven")]
+    for name, data in (("full", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/documents.parquet")
+        labels(spark).write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame(items[: len(data)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs = corpus_pipeline.read(spark, folder, "documents")
+        for _, step in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.stage(step(spark, docs, folder), "stage")
+            assert docs.columns == ["doc_id", "text", *names]
+        # No text holds a secret: what is kept comes out as it went in.
+        assert sorted(map(tuple, docs.collect())) == (good if data else [])
+        packed = corpus_pipeline.run(spark, folder)
+        assert sorted({r.doc_id for r in packed.collect()}) == ([r[0] for r in good] if data else [])
+
+
+def test_large_benchmark_drops_rows_of_tables_with_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(WORDS, k=30)), i, i) for i in range(20)]
+    rows += [(30, "and " + rows[0][1] + " too", 5, 6), (31, None, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key long, TEXT_KEY_ long")
+    benchmark = spark.createDataFrame([(1, rows[0][1]), (2, rows[5][1])], "item_id long, text string")
+    kept = drop_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted((r for r in rows if r[0] not in (0, 5, 30)), key=lambda r: r[0])
+
+
+def test_quality_model_matches_a_dense_fit(monkeypatch):
+    """The same updates on whole vectors, coordinate by coordinate as the method's paper states them."""
+    from keytide.llm import quality_model as q
+
+    monkeypatch.setattr(q, "BITS", 6)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        label = int(i % 3 > 0)
+        places = np.unique(rng.integers(0, 40, rng.integers(0, 12)) + 20 * label).astype(np.int32)
+        rows.append((places, label, 1.0 if label else 1.5))
+    model = q.fit(rows, epochs=4, seed=9)
+    z, n, order = [0.0] * 65, [0.0] * 65, np.random.default_rng(9)
+
+    def weight(i):
+        l1 = 0 if i == 0 else q.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((q.BETA + math.sqrt(n[i])) / q.ALPHA + q.L2)
+
+    for _ in range(4):
+        for r in order.permutation(60):
+            places, label, times = rows[r]
+            x = [0.0] * 65
+            x[0] = 1.0
+            for at in places.tolist():
+                x[at + 1] = 1 / math.sqrt(len(places))
+            w = [weight(i) for i in range(65)]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
+            for i in range(65):
+                g = (p - label) * times * x[i]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / q.ALPHA * w[i]
+                n[i] += g * g
+    assert np.allclose(model.weights, [weight(i) for i in range(1, 65)], atol=1e-6) and abs(model.bias - weight(0)) < 1e-9
+    for places, *_ in rows[:10]:
+        total = model.bias + sum(model.weights[a] for a in places.tolist()) / math.sqrt(max(1, len(places)))
+        assert abs(model.score(places) - 1 / (1 + math.exp(-total))) < 1e-6
+    features = q.WordFeatures()
+    text = "Some words, some WORDS 42 42 here"
+    ids, shapes = ([q.xxhash.xxh64_intdigest(f(w), k) for w in text.encode().split()] for f, k in ((bytes, 0), (q.shape, 1)))
+    shapes = [s ^ (i > 0 and ids[i] == ids[i - 1]) for i, s in enumerate(shapes)]
+
+    def grams(values, size):
+        return [q.ngram_hashes(np.array(values[i : i + size], np.uint64), size)[0] for i in range(len(values) - size + 1)]
+
+    turned = [s ^ (2**64 - 1) for s in shapes]
+    plain = [q.scramble(np.array([v], np.uint64))[0] for v in ids + turned]
+    expected = plain + grams(ids, 2) + grams(turned, 2) + grams(turned, 3)
+    assert features.of(text.encode()).tolist() == sorted({int(h) >> 58 for h in expected})
