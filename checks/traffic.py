@@ -15,12 +15,14 @@ FIRST_SEQ = 2**32 - 5000
 START = "2024-01-01 00:00:00"
 
 
-def packets_of(messages: DataFrame, group_rows: int = 64, copies: bool = True, dropped=None) -> DataFrame:
+def packets_of(
+    messages: DataFrame, group_rows: int = 64, copies: bool = True, dropped=None, delays: bool = True
+) -> DataFrame:
     """Packets of messages ``(client, client_port, port, from_server, at, part, bytes)``.
 
     ``at`` orders the messages of a connection (one second each), ``part`` orders messages within
     it.  Streams start with a SYN shortly before the sequence number wraps.  Pieces are delayed a
-    little (so neighbours swap), some are sent twice, and those matching ``dropped`` are left out.
+    little (so neighbours swap) unless ``delays`` is off, some are sent twice, and those matching ``dropped`` are left out.
     """
     stream = ["client", "client_port", "port", "from_server"]
     sized = messages.withColumn("len", F.octet_length("bytes").cast("long"))
@@ -33,7 +35,8 @@ def packets_of(messages: DataFrame, group_rows: int = 64, copies: bool = True, d
         pieces = pieces.filter(~dropped)
     base = F.unix_micros(F.lit(START).cast("timestamp"))
     mixed = F.pmod(F.xxhash64("client", "at", "part", "piece"), F.lit(21))
-    us = base + F.col("at") * 1_000_000 + F.col("part") * 100_000 + F.col("piece") * 10 + F.pmod(mixed, F.lit(3)) * 15
+    us = base + F.col("at") * 1_000_000 + F.col("part") * 100_000 + F.col("piece") * 10
+    us += F.pmod(mixed, F.lit(3)) * (15 if delays else 0)
     twice = F.array(F.lit(0)) if not copies else F.when(
         F.pmod(mixed, F.lit(7)) == 0, F.array(F.lit(0), F.lit(1))
     ).otherwise(F.array(F.lit(0)))
