@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from keytide.plans.cut import shared_folder
 
 #: Words remembered by one Python worker; beyond it the memory starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 300_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,27 @@ def columns(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
     return (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
 
 
+@contextmanager
+def task_memory(*caches: dict) -> Iterator[None]:
+    """Empties the caches when a task is done with them and gives free memory back: Python workers live on."""
+    try:
+        yield
+    finally:
+        for cache in caches:
+            cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _libc is not None:
+            _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
 class WordHashes(dict):
     """64-bit hash of each word, computed once while it is remembered."""
 

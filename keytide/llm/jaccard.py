@@ -8,15 +8,16 @@ hashes of different shingles or sets:
 * Shingles of all classes are counted in a table of ``1 << SLOT_BITS`` slots, by hash. Rarity is the slot's
   count in steps of the root of two. Any order of tokens that is the same for all sets is as good for a
   prefix filter, so slots that many rare shingles share cost time, never links.
-* Three global orders: by rarity, and among equally rare tokens by three different hashes. Of a set of
-  ``n`` the first ``n - ceil(percent * n / 100) + 1`` tokens of an order are its prefix, and linked sets share
-  a token of their prefixes under every order.
-* First order: with ``l(n) = 1 + n // 20``, linked sets share at least ``l`` of the tokens up to the ``l - 1``-th
-  behind the prefix (the ``l`` first common ones are there). Classes with fewer that any other class has there are
-  out. Of the others prefix tokens become rows, and a token that classes share a bucket. At the first token two
-  sets share, the tokens from there on must suffice for the overlap that their two sizes ask for.
-* Second and third order: a candidate pair must share prefix tokens under these as well. Only prefixes are
-  moved for that; whole sets follow for the pairs that are left.
+* Three global orders of tokens. Of a set of ``n`` the first ``n - ceil(percent * n / 100) + 1`` tokens of an order
+  are its prefix, and linked sets share a token of their prefixes under every order.
+* First order: by rarity, then by hash. With ``l(n) = 1 + n // 20``, linked sets share at least ``l`` of the tokens
+  up to the ``l - 1``-th behind the prefix (the ``l`` first common ones are there). Classes with fewer that any
+  other class has there are out, most of them.
+* Second order: what only one of the remaining classes has comes first, the rest by rarity and by another
+  hash. Prefix tokens that classes share become rows and make buckets; a token of one class only joins nothing.
+  At the first token two sets share, the tokens from there on must suffice for the overlap that their sizes ask for.
+* Third order: by rarity and by a third hash. A candidate pair must share prefix tokens under this and the first
+  order as well. Only prefixes are moved for that; whole sets follow for the pairs that are left.
 
 Sharing a prefix token puts classes into a bucket. Pairs of a bucket are never listed at once: each class is
 compared with one pivot first, classes that link become one component, and later rounds compare
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm.bits import BitTable
-from keytide.llm.common import WordHashes, byte_texts, ngram_hashes, raw, remove, scramble, slices, stage
+from keytide.llm.common import WordHashes, byte_texts, ngram_hashes, raw, remove, scramble, slices, stage, task_memory
 from keytide.llm.graph import components
 
 _SPARE = 20
@@ -49,7 +50,7 @@ _SECOND, _THIRD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Sets remembered by a task so that copies are worked on once; beyond it the memory starts anew.
 _REMEMBERED_SETS = 500_000
 #: Classes up to which their table goes to all tasks; beyond, documents are shuffled by id.
-SENT_ROWS = 1_000_000
+SENT_ROWS = 300_000
 #: Pivots of a bucket in the first round of all pivots; later rounds take 8 times as many.
 _PIVOTS = 8
 
@@ -71,10 +72,21 @@ def slots(tokens: np.ndarray) -> np.ndarray:
 
 
 def prefix(
-    tokens: np.ndarray, rarity: np.ndarray, percent: int, other: np.uint64 | None = None, more: int = 0
+    tokens: np.ndarray,
+    rarity: np.ndarray,
+    percent: int,
+    other: np.uint64 | None = None,
+    more: int = 0,
+    shared: BitTable | None = None,
 ) -> np.ndarray:
-    """The first tokens of a sorted set by rarity, then by hash, under one of the orders, and ``more`` behind them."""
-    level = rarity[slots(tokens)]
+    """The first tokens of a sorted set under one of the orders, and ``more`` behind them.
+
+    Orders differ by the hash they use among equally rare tokens (``other``); with ``shared`` the tokens
+    that the table does not know come first.
+    """
+    level = rarity[slots(tokens)].astype(np.int16)
+    if shared is not None:
+        level += shared.taken(tokens) * np.int16(256)
     order = np.argsort(level, kind="stable") if other is None else np.lexsort((scramble(tokens ^ other), level))
     return tokens[order[: prefix_length(len(tokens), percent) + more]]
 
@@ -95,10 +107,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list, list]]:
     """Some rows at a time with their sets and classes."""
     hashes = WordHashes()
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets = [shingle_set(t, size, hashes) for t in byte_texts(part, "text")]
-            yield part, sets, [_class(s) for s in sets]
+    with task_memory(hashes):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [shingle_set(t, size, hashes) for t in byte_texts(part, "text")]
+                yield part, sets, [_class(s) for s in sets]
 
 
 class _Met:
@@ -184,42 +197,55 @@ def _heads(docs: DataFrame, rarity: np.ndarray, size: int, percent: int) -> Data
     return docs.mapInArrow(run, "cls long, n int, head array<long>")
 
 
-def _shared(heads: DataFrame) -> DataFrame:
-    """The ``token`` of heads that more than one class has."""
-    rows = heads.select(F.explode("head").alias("token"), F.hash("cls").alias("c"))
-    return rows.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("token")
+def _shared(sets: DataFrame, column: str) -> DataFrame:
+    """The ``token`` of a column of tokens that more than one class has."""
+    rows = sets.select(F.explode(column).alias("token"), "cls")
+    return rows.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("token")
 
 
-def _prefixes(heads: DataFrame, shared: BitTable, percent: int) -> DataFrame:
-    """``token, cls, n, reach`` of shared prefix tokens, of the classes that share as many tokens as a link needs.
-
-    ``reach`` is the number of tokens from this one on.
-    """
+def _survivors(heads: DataFrame, shared: BitTable, percent: int) -> DataFrame:
+    """``cls`` of the classes that share as many tokens of their heads as a link needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            classes, sizes = (batch.column(i).to_numpy() for i in (0, 1))
             arrays = _arrays(batch.column(2))
-            lengths = np.array([len(a) for a in arrays])
-            flat = np.concatenate(arrays)
-            taken = shared.taken(flat)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            owner = np.repeat(np.arange(len(arrays)), lengths)
-            enough = np.bincount(owner[taken], minlength=len(arrays)) >= [least_shared(int(n), percent) for n in sizes]
-            keep = taken & enough[owner] & (place < np.array([prefix_length(int(n), percent) for n in sizes])[owner])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(flat[keep].view(np.int64)),
-                    pa.array(classes[owner[keep]]),
-                    pa.array(sizes[owner[keep]].astype(np.int32)),
-                    pa.array((sizes[owner[keep]] - place[keep]).astype(np.int32)),
-                ],
-                ["token", "cls", "n", "reach"],
-            )
+            owner = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
+            known = np.bincount(owner[shared.taken(np.concatenate(arrays))], minlength=len(arrays))
+            enough = known >= [least_shared(n, percent) for n in batch.column(1).to_pylist()]
+            yield batch.select(["cls"]).filter(pa.array(enough))
+
+    return heads.mapInArrow(run, "cls long").distinct()
 
-    return heads.mapInArrow(run, "token long, cls long, n int, reach int")
+
+def _prefixes(sets: DataFrame, rarity: np.ndarray, shared: BitTable, percent: int) -> DataFrame:
+    """``token, cls, n, reach`` of the shared prefix tokens under the second order.
+
+    ``reach`` is the number of tokens from this one on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                rows = []
+                for cls, tokens in zip(part.column(0).to_pylist(), _arrays(part.column(1))):
+                    head = prefix(tokens, rarity, percent, _SECOND, shared=shared)
+                    at = np.flatnonzero(shared.taken(head))
+                    rows.append((head[at], np.full(len(at), cls), np.full(len(at), len(tokens)), len(tokens) - at))
+                columns = [np.concatenate(c) for c in zip(*rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(columns[0].view(np.int64)),
+                        pa.array(columns[1].astype(np.int64)),
+                        pa.array(columns[2].astype(np.int32)),
+                        pa.array(columns[3].astype(np.int32)),
+                    ],
+                    ["token", "cls", "n", "reach"],
+                )
+
+    return sets.select("cls", "tokens").mapInArrow(run, "token long, cls long, n int, reach int")
 
 
 def _class(tokens: np.ndarray) -> int:
@@ -238,7 +264,7 @@ def _arrays(column: pa.ListArray) -> list[np.ndarray]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``cls, second, third, tokens`` of the wanted classes, from the text of one document of each.
+    """``cls, first, third, tokens`` of the wanted classes, from the text of one document of each.
 
     A class comes once for each task that has its document; more than one has it only if ids repeat or are null.
     """
@@ -251,23 +277,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray, size: int, per
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(list(found), pa.int64()),
-                    *(_lists([prefix(s, rarity, percent, o) for s in found.values()]) for o in (_SECOND, _THIRD)),
+                    *(_lists([prefix(s, rarity, percent, o) for s in found.values()]) for o in (None, _THIRD)),
                     _lists(list(found.values())),
                 ],
-                ["cls", "second", "third", "tokens"],
+                ["cls", "first", "third", "tokens"],
             )
 
     if wanted.count() <= SENT_ROWS:
         wanted = F.broadcast(wanted)
     rows = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "text", "cls")
-    schema = "cls long, second array<long>, third array<long>, tokens array<long>"
+    schema = "cls long, first array<long>, third array<long>, tokens array<long>"
     return rows.mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` between the components ``ca, cb`` of the classes ``a, b`` that link.
 
-    Pairs must share prefix tokens under the second and the third order before their sets are moved.
+    Pairs must share prefix tokens under the first and the third order, too, before their sets are moved.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +305,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def side(end: str, *columns: str) -> DataFrame:
         return sets.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
 
-    orders = ("second", "third")
+    orders = ("first", "third")
     left = pairs.join(side("b", *orders), "b").join(side("a", *orders), "a")
     for order in orders:
         left = left.filter(F.arrays_overlap(f"{order}_a", f"{order}_b"))
@@ -375,14 +401,17 @@ def jaccard_join(
     full = found.filter("n_shingles > 0")
     rarity = _rarity(described)
     heads = stage(_heads(rows, rarity, size, percent), "heads")
-    shared = stage(_shared(heads), "shared")
-    prefixes = stage(_prefixes(heads, BitTable.of(shared, "token"), percent), "prefixes")
+    shared = stage(_shared(heads, "head"), "shared")
+    survivors = stage(_survivors(heads, BitTable.of(shared, "token"), percent), "survivors")
     remove(heads, shared)
-    buckets = stage(_buckets(prefixes), "buckets")
-    remove(prefixes)
     classes = stage(full.groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
-    wanted = stage(classes.join(buckets.select("cls").distinct(), "cls"), "wanted")
+    wanted = stage(classes.join(survivors, "cls"), "wanted")
     sets = stage(_sets(rows, wanted, rarity, size, percent), "sets")
+    shared = stage(_shared(sets, "tokens"), "shared")
+    prefixes = stage(_prefixes(sets, rarity, BitTable.of(shared, "token"), percent), "prefixes")
+    remove(shared, survivors)
+    buckets = stage(_buckets(prefixes), "buckets")
+    remove(prefixes)
     comp = _rounds(buckets, sets, percent)
     remove(buckets, sets, wanted)
     named = classes.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))

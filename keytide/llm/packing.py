@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.llm.common import byte_texts, raw, scramble, slices, stage
+from keytide.llm.common import byte_texts, raw, scramble, slices, stage, task_memory
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked by one task, on average at most.
 RANKED_TOGETHER = 500_000
 #: Parts whose ids one Python worker remembers, some 40 bytes each; beyond it the memory starts anew.
 REMEMBERED_CHUNKS = 1_000_000
+#: Bytes of text encoded together; the arrays for that take some 50 bytes for each.
+_PORTION = 1 << 20
 
 
 class Powers:
@@ -176,19 +178,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = chunk_tokens(tokenizer)
-        for batch in batches:
-            for some in slices(batch, "text"):
-                rows = []
-                for doc, tokens in zip(some.column(0).to_pylist(), chunks.encode(byte_texts(some, "text"))):
-                    data = np.append(tokens, np.uint32(0)).astype("<u4")
-                    for i, start in enumerate(range(0, len(data), capacity)):
-                        part = data[start : start + capacity]
-                        rows.append((doc, i, start, len(part), zlib.crc32(part.tobytes())))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
-                    [f.split()[0] for f in schema.split(", ")],
-                )
+        with task_memory():
+            for batch in batches:
+                for some in slices(batch, "text", _PORTION):
+                    rows = []
+                    for doc, tokens in zip(some.column(0).to_pylist(), chunks.encode(byte_texts(some, "text"))):
+                        data = np.append(tokens, np.uint32(0)).astype("<u4")
+                        for i, start in enumerate(range(0, len(data), capacity)):
+                            part = data[start : start + capacity]
+                            rows.append((doc, i, start, len(part), zlib.crc32(part.tobytes())))
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
+                        [f.split()[0] for f in schema.split(", ")],
+                    )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), raw(text).alias("text"))
     return rows.mapInArrow(run, schema)

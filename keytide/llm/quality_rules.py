@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import bounded_sample, byte_texts, ngram_hashes, raw, slices, stage, WordHashes
+from keytide.llm.common import WordHashes, bounded_sample, byte_texts, ngram_hashes, raw, slices, stage, task_memory
 
 #: Rows from which the trees are grown.
 SAMPLE_ROWS = 8192
@@ -186,17 +186,18 @@ def rule_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in (p for b in batches for p in slices(b, "text")):
-            found = [statistics(t, hashes) for t in byte_texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    *(pa.array([s[i] for s, _ in found], pa.int64()) for i in range(len(_NAMES))),
-                    pa.array([base_failed(s[0], s[4]) for s, _ in found], pa.bool_()),
-                    pa.array([f for _, f in found], pa.list_(pa.float64())),
-                ],
-                ["doc_id", *_NAMES, "base_failed", "features"],
-            )
+        with task_memory(hashes):
+            for batch in (p for b in batches for p in slices(b, "text")):
+                found = [statistics(t, hashes) for t in byte_texts(batch, "text")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        *(pa.array([s[i] for s, _ in found], pa.int64()) for i in range(len(_NAMES))),
+                        pa.array([base_failed(s[0], s[4]) for s, _ in found], pa.bool_()),
+                        pa.array([f for _, f in found], pa.list_(pa.float64())),
+                    ],
+                    ["doc_id", *_NAMES, "base_failed", "features"],
+                )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), raw(text).alias("text"))
     return rows.mapInArrow(run, schema)
@@ -255,10 +256,11 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, text: str = "text", cle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in (p for b in batches for p in slices(b, text)):
-            found = [statistics(t, hashes) for t in byte_texts(batch, text)]
-            failed = np.array([base_failed(s[0], s[4]) for s, _ in found], bool)
-            odd = forest.rejected(forest.scores(np.array([f for _, f in found], float).reshape(-1, len(FEATURES))))
-            yield batch.filter(pa.array(~(failed | odd)))
+        with task_memory(hashes):
+            for batch in (p for b in batches for p in slices(b, text)):
+                found = [statistics(t, hashes) for t in byte_texts(batch, text)]
+                failed = np.array([base_failed(s[0], s[4]) for s, _ in found], bool)
+                odd = forest.rejected(forest.scores(np.array([f for _, f in found], float).reshape(-1, len(FEATURES))))
+                yield batch.filter(pa.array(~(failed | odd)))
 
     return docs.mapInArrow(run, docs.schema)

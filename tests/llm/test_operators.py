@@ -66,6 +66,7 @@ def test_prefixes_of_linked_sets_meet_under_every_order():
     rng, met = np.random.default_rng(0), 0
     rarity = rng.integers(0, 3, 1 << jaccard.SLOT_BITS).astype(np.uint8)
     values = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    table = jaccard.BitTable(8, rng.integers(0, 256, 32).astype(np.uint8))
     for _ in range(300):
         a = rng.choice(400, rng.integers(1, 200), replace=False)
         b = np.union1d(rng.choice(a, max(1, int(len(a) * 0.95)), replace=False), rng.choice(400, rng.integers(0, 9)))
@@ -74,11 +75,11 @@ def test_prefixes_of_linked_sets_meet_under_every_order():
             met += 1
             sets = [np.sort(values[x]) for x in (a, b)]
             assert jaccard.linked(*sets, 85)
-            for other in (None, jaccard._SECOND, jaccard._THIRD):
-                heads = [jaccard.prefix(x, rarity, 85, other) for x in sets]
+            for other, known in ((None, None), (jaccard._SECOND, table), (jaccard._THIRD, None)):
+                heads = [jaccard.prefix(x, rarity, 85, other, shared=known) for x in sets]
                 assert len(np.intersect1d(*heads)) and [len(h) for h in heads] == [jaccard.prefix_length(len(x), 85) for x in sets]
-                first = min(min(map(list(x).index, np.intersect1d(*heads))) for x in heads)
-                assert len(a) - first >= both
+                at = [min(map(list(x).index, np.intersect1d(*heads))) for x in heads]
+                assert min(len(a) - at[0], len(b) - at[1]) >= both
             heads = [jaccard.prefix(x, rarity, 85, more=len(x) // 20) for x in sets]
             assert len(np.intersect1d(*heads)) >= max(jaccard.least_shared(len(x), 85) for x in sets)
     assert met > 50
