@@ -44,13 +44,14 @@ def json_reports(
     top: int | None = None,
     threshold: int | None = None,
     rank_by: str | None = None,
-    stats: DataFrame | None = None,
+    stats: DataFrame | tuple[dict[str, int], dict[str, int]] | None = None,
 ) -> DataFrame:
     """One row per interval (or one for ``by=()``) with the fields of a JSON report.
 
     All rows are reported unless ``top`` is given.  An array holds ``PART_ROWS`` rows; an interval with
     more has one row per array, with the same totals and its number as ``Part``, which is null else.  ``stamp`` is
-    the report time, by default the interval's end.  ``stats`` holds per-interval counters to include.
+    the report time, by default the interval's end.  ``stats`` holds per-interval counters to include, or the
+    counters of a running query so far and since its last report; of these the first interval gets the change.
     Totals are of bytes whatever the rows are ranked by, so ``full`` needs ``sum(size)``; make it with
     ``spec.with_sum()`` if ``format`` does not list that.
     """
@@ -98,7 +99,14 @@ def json_reports(
     stamp = stamp if stamp is not None else F.col("window_end")
     out = out.withColumn("Timestamp", rfc3339(stamp))
     fields = [F.col(c).alias(n) for n, c in FIELDS.items()]
-    if stats is not None:
+    if isinstance(stats, tuple):
+        first = F.lit(True) if not by else F.col(by[0]) == full.agg(F.min(by[0])).scalar()
+        so_far, change = (
+            F.struct(*[F.when(now, F.lit(counted_[n])).otherwise(0).cast("long").alias(n) for n in S.COUNTERS])
+            for counted_, now in zip(stats, (F.lit(True), first))
+        )
+        fields.append(F.struct(so_far.alias(STATS_FIELDS[0]), change.alias(STATS_FIELDS[1])).alias("Stats"))
+    elif stats is not None:
         running = S.cumulative(stats).select(
             *by, F.struct(*S.COUNTERS).alias(STATS_FIELDS[0])
         )

@@ -189,14 +189,16 @@ def closing_packets(flows: DataFrame) -> DataFrame:
     return closed.union(fins.filter(F.col("opens") & had).select("source", "ord"))
 
 
-def split_at_closes(flows: DataFrame) -> DataFrame:
+def split_at_closes(flows: DataFrame, index: DataFrame) -> DataFrame:
     """Packets behind the one that closes a connection belong to a new incarnation of it.
 
-    Adds the number of closes so far to ``flow``. Without ends and resets nothing is ordered again.
+    Adds the number of closes so far to ``flow``. Without ends and resets in the ``index`` that ``flows`` were made
+    of nothing is ordered again.
     """
+    if index.filter(F.col("fin") | F.col("rst")).isEmpty():
+        return flows.drop("fin", "rst")
+    flows = cut(flows)  # read three times
     plain = flows.drop("fin", "rst")
-    if flows.filter(F.col("fin") | F.col("rst")).isEmpty():
-        return plain
     closing = closing_packets(flows).withColumn("closes", F.lit(1).cast("long"))
     marked = plain.join(closing, ["source", "ord"], "left")
     slices = F.floor(F.col("us") / F.lit(SLICE_SECONDS * 1_000_000))
@@ -307,7 +309,7 @@ def placed_segments(
 ) -> DataFrame:
     """Segments of all connections without their bytes, written out for the steps that follow."""
     index = cut(packet_index(packets, ports))
-    return cut(segment_index(split_at_closes(with_flows(index, idle_seconds))))
+    return cut(segment_index(split_at_closes(with_flows(index, idle_seconds), index)))
 
 
 def segments(

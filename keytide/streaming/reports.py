@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from threading import Event
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,6 +15,7 @@ from keytide.operators import json_report as J
 from keytide.operators import report as R
 from keytide.operators.intervals import WINDOW, ranked_intervals
 from keytide.sources.jsonl import write_reports
+from keytide.streaming.stats import RunningCounters
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -55,34 +58,64 @@ def start_json_reports(
     events: DataFrame, hot: R.HotKeys, every: str, checkpoint: str, path: str | None = None,
     delay: str = "0 seconds", **trigger,
 ) -> StreamingQuery:
-    """Append one JSON line per closed interval to ``path``, or print it."""
+    """Append one JSON line per closed interval to ``path``, or print it.
+
+    Every line has the run's statistics so far and since the last one, from the query's own progress: what was
+    counted on the way (``streaming.stats.observe_packets``, ``observe_events``), without that the rows that came
+    in, and the rows that came too late.
+    """
     counted = replace(hot, format=hot.spec.with_sum())
+    counters = _Counters(events.sparkSession, checkpoint)
 
     def emit(states: DataFrame, batch: int) -> None:
         full = R.finish_report(states, counted.spec, WINDOW)
-        _write_json(full, hot, WINDOW, None, path, batch)
+        _write_json(full, hot, WINDOW, None, path, batch, counters.at(batch, not states.isEmpty()))
 
-    return _start(interval_states(events, counted, every, delay), "append", emit, checkpoint, trigger)
+    states = interval_states(events, counted, every, delay)
+    return counters.of(_start(states, "append", emit, checkpoint, trigger))
 
 
 def start_running_json_reports(
     events: DataFrame, hot: R.HotKeys, checkpoint: str, path: str | None = None, **trigger
 ) -> StreamingQuery:
-    """Append one JSON line per trigger, over all events so far and stamped with the trigger's time."""
+    """Append one JSON line per trigger, over all events so far and stamped with the trigger's time.
+
+    Lines have statistics as those of :func:`start_json_reports`.
+    """
     counted = replace(hot, format=hot.spec.with_sum())
+    counters = _Counters(events.sparkSession, checkpoint)
 
     def emit(states: DataFrame, batch: int) -> None:
         full = R.finish_report(states, counted.spec)
-        _write_json(full, hot, (), F.current_timestamp(), path, batch)
+        _write_json(full, hot, (), F.current_timestamp(), path, batch, counters.at(batch, True))
+
+    states = running_states(events, counted)
+    return counters.of(_start(states, "complete", emit, checkpoint, trigger))
+
+
+class _Counters:
+    """The counters of a query that is about to start."""
+
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        self.running, self.query, self.started = RunningCounters(spark, checkpoint), None, Event()
+
+    def of(self, query: StreamingQuery) -> StreamingQuery:
+        self.query = query
+        self.started.set()
+        return query
 
-    return _start(running_states(events, counted), "complete", emit, checkpoint, trigger)
+    def at(self, batch: int, reported: bool) -> tuple[dict[str, int], dict[str, int]] | None:
+        """Counters when ``batch`` is reported; a batch without a report leaves the change to the next one."""
+        self.started.wait()
+        self.running.advance([json.loads(p.json) for p in self.query.recentProgress])
+        return self.running.report(batch) if reported else None
 
 
 def _write_json(
-    full: DataFrame, hot: R.HotKeys, by: Sequence[str], stamp: Column | None, path: str | None, batch: int
+    full: DataFrame, hot: R.HotKeys, by: Sequence[str], stamp: Column | None, path: str | None, batch: int, stats
 ) -> None:
     reports = J.json_reports(
-        full, hot.spec, by, stamp=stamp, top=hot.top, threshold=hot.threshold, rank_by=hot.rank_by
+        full, hot.spec, by, stamp=stamp, top=hot.top, threshold=hot.threshold, rank_by=hot.rank_by, stats=stats
     )
     # A batch that is repeated after a failure replaces its own files.
     write_reports(reports, path and f"{path}/batch={batch}", "overwrite")

@@ -113,7 +113,8 @@ def test_ends_of_a_hot_connection_span_slices(spark):
     for i in range(600):
         wire.packet(i * 7_000_000, rng.random() < 0.5, 100 + i)
         wire.rows[-1] = (*wire.rows[-1][:10], rng.random() < 0.95, rng.random() < 0.02, b"")
-    index = S.with_flows(S.packet_index(wire.table(spark)))
-    found = S.closing_packets(index)
+    index = S.packet_index(wire.table(spark))
+    found = S.closing_packets(S.with_flows(index))
     assert sorted(r["ord"] for r in found.collect()) == streamed(wire.rows)[1]
-    assert S.split_at_closes(index.filter(F.lit(False))).count() == 0
+    empty = index.filter(F.lit(False))
+    assert S.split_at_closes(S.with_flows(empty), empty).count() == 0
