@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from checks import report_queries as r
@@ -9,7 +11,7 @@ from checks import tables as t
 from checks import traffic as w
 from checks.packet_queries import order_frames
 from checks.stream_queries import source_messages
-from checks.streaming_queries import run_folder, streamed_user_events
+from checks.streaming_queries import run_folder, streamed_user_events, user_events_of
 from keytide.functions import protocols as P
 from keytide.functions.patterns import BadPattern
 from keytide.functions.spec import BadDescriptor
@@ -256,3 +258,59 @@ def several_triggers(spark, sf):
         f"{folder}/state", availableNow=True,
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("key", "type", "size")
+
+
+@check(
+    "r7_overlong_requests",
+    "SELECT url AS key, 'hit' AS type, octet_length(encode(html)) AS size FROM pages WHERE page_id % 2 = 0",
+)
+def overlong_requests(spark, sf):
+    """Every second request line is longer than the limit: it and its reply are dropped, the next ones count."""
+    pages = t.read(spark, sf, "pages")
+    url, html, end = F.col("url"), F.col("html"), F.lit("\r\n")
+    asked = F.when(F.pmod("page_id", F.lit(2)) == 0, url).otherwise(F.concat(url, F.repeat(F.lit("x"), F.lit(9000))))
+    size = F.octet_length("html").cast("string")
+    reply = F.concat(F.lit("VALUE "), url, F.lit(" 0 "), size, end, html, end, F.lit("END"), end)
+    messages = w._exchange(
+        pages, [(F.concat(F.lit("get "), asked, end), reply)], "page_id",
+        client=F.crc32(F.encode(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), "utf-8")),
+        client_port=F.lit(40002), port=F.lit(11211),
+    )
+    events = C.extract_events(w.packets_of(messages), P.MCTEXT, idle_seconds=10**9, line_limit=4096)
+    return events.select("key", "type", "size")
+
+
+MIDDLE = "(SELECT time_bucket(INTERVAL '1 day', min(ts) + (max(ts) - min(ts)) / 2, TIMESTAMP '1970-01-01') FROM events)"
+
+
+@check(
+    "t3_late_events",
+    f"""SELECT window_start, key, max_size, sum_size, row_number() OVER (PARTITION BY window_start ORDER BY sum_size DESC, key) AS rank
+        FROM ({r.interval_sql("1 day", r.MAX_SUM)})
+        WHERE window_start >= {MIDDLE} AND window_end <= (SELECT max(ts) FROM events)""",
+)
+def late_events(spark, sf):
+    """The later half of the events comes first, in two files; the earlier half is late then, counted and left out.
+
+    Rows are held against the watermark of the trigger before, so the second file is not late yet.
+    """
+    folder = run_folder(spark)
+    events = t.read(spark, sf, "events")
+    seconds = [events.agg(f(F.unix_seconds(F.col("ts").cast("timestamp")))).scalar() for f in (F.min, F.max)]
+    day = F.unix_seconds(F.col("ts").cast("timestamp")) >= F.floor((seconds[0] + seconds[1]) / 2 / 86400) * 86400
+    even = F.pmod("user_id", F.lit(2)) == 0
+    for part in (day & even, day & ~even, ~day):
+        events.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    found = user_events_of(stream)
+    query = SR.start_interval_reports(
+        found, R.HotKeys(), "1 day", f"{folder}/state",
+        lambda report, batch: report.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}"),
+        availableNow=True,
+    )
+    query.awaitTermination()
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
+    if not late:
+        raise AssertionError("no late rows were counted")
+    out = t.flat(spark.read.parquet(f"{folder}/out").drop("batch", "window_end"))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

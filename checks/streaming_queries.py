@@ -34,7 +34,10 @@ def run_folder(spark) -> str:
 
 def streamed_user_events(spark, sf):
     schema = t.read(spark, sf, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return user_events_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def user_events_of(rows):
     return as_events(
         rows,
         F.concat(F.lit("user:"), F.col("user_id").cast("string")),
