@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import reduce
+from operator import and_
 from threading import Event
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,7 +126,14 @@ def _write_json(
 def start_running_reports(
     events: DataFrame, hot: R.HotKeys, checkpoint: str, sink: Sink, **trigger
 ) -> StreamingQuery:
-    """Hand the report over all events so far to ``sink`` at every trigger."""
+    """Hand the report over all events so far to ``sink`` at every trigger.
+
+    A top by ``max`` or ``sum`` without percentiles is kept from trigger to trigger: only keys that changed are handed
+    over, and meet the last top. That is exact because such values never fall; a negative size, which could lower
+    a sum, is an error there. Other reports are made from all keys each time.
+    """
+    if hot.top is not None and not hot.spec.percentiles and _rising(hot):
+        return _start_running_top(events, hot, checkpoint, sink, trigger)
 
     def emit(states: DataFrame, batch: int) -> None:
         full = R.finish_report(states, hot.spec)
@@ -133,6 +142,62 @@ def start_running_reports(
     return _start(running_states(events, hot), "complete", emit, checkpoint, trigger)
 
 
+def _rising(hot: R.HotKeys) -> bool:
+    """Whether the ranked value of a key can only grow."""
+    name = hot.rank_by or hot.spec.rank_by
+    return any(t.name == name and t.aggregate in ("max", "sum") for t in hot.spec.aggs) and bool(hot.spec.key_names)
+
+
+def _start_running_top(events: DataFrame, hot: R.HotKeys, checkpoint: str, sink: Sink, trigger: dict) -> StreamingQuery:
+    """The top of a running report from the keys that changed and the top of the trigger before.
+
+    A key that did not change and was not in the last top ranks behind all of that top, whose values have only
+    grown since, so it is in no later top before it changes. Tops are written beside the checkpoint under their
+    batch's number, so a batch that is repeated starts from the same one.
+    """
+    ranked_field = next(t.field for t in hot.spec.aggs if t.name == (hot.rank_by or hot.spec.rank_by))
+    size = F.col(ranked_field)
+    error = F.raise_error(F.lit("negative size in a running top"))
+    checked = events.withColumn(ranked_field, F.when(size < 0, error.cast("long")).otherwise(size))
+    folder = f"{checkpoint}-top"
+
+    def emit(states: DataFrame, batch: int) -> None:
+        spark = states.sparkSession
+        changed = R.finish_report(states, hot.spec)
+        last = _newest(spark, folder, batch)
+        if last is not None:
+            same = [F.col(f"o.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in hot.spec.key_names]
+            old = spark.read.schema(changed.schema).parquet(f"{folder}/batch={last}")
+            changed = changed.unionByName(old.alias("o").join(changed.alias("c"), reduce(and_, same), "left_anti"))
+        hot.ranked(changed).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        top = spark.read.schema(changed.schema).parquet(f"{folder}/batch={batch}")
+        sink(hot.ranked(top), batch)
+        _drop_before(spark, folder, batch)
+
+    return _start(running_states(checked, hot), "update", emit, checkpoint, trigger)
+
+
+def _batches(spark: SparkSession, folder: str) -> dict[int, object]:
+    """Numbers and places of the batches in a folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.listStatus(place)] if files.exists(place) else []
+    return {int(p.getName().split("=")[1]): p for p in found if p.getName().startswith("batch=")}
+
+
+def _newest(spark: SparkSession, folder: str, batch: int) -> int | None:
+    return max((n for n in _batches(spark, folder) if n < batch), default=None)
+
+
+def _drop_before(spark: SparkSession, folder: str, batch: int) -> None:
+    """Remove tops that no repeated batch can ask for: all but the last two."""
+    kept = _batches(spark, folder)
+    for n in sorted(kept)[:-2]:
+        if n < batch:
+            path = kept[n]
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def start_events(
     events: DataFrame, handler: Sink, checkpoint: str, **trigger
 ) -> StreamingQuery:
