@@ -146,7 +146,7 @@ def brute_search(rows, queries, top):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("width, block, sent", [(1 << 14, 4 << 20, 1 << 20), (7, 40, 0)])
+@pytest.mark.parametrize("width, block, sent", [(1 << 14, 4 << 20, 1 << 20), (7, 150, 0)])
 def test_ranked_search_matches_brute_force(spark, monkeypatch, width, block, sent):
     monkeypatch.setattr(ranked_search, "BLOCK_BYTES", block)
     monkeypatch.setattr(ranked_search, "SENT_PAIRS", sent)
