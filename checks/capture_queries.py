@@ -127,7 +127,6 @@ def landing_captures(spark, sf):
 def pushed_ports(spark, sf):
     """A condition on a port column, pushed into the format's reader."""
     register_pcap(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     folder = written(spark, order_frames(spark, sf))
     found = spark.read.format("pcap").load(f"{folder}/pcap").filter(F.col("dst_port").isin(6379, 80))
     return found.groupBy("src_port", "dst_port").agg(F.count(F.lit(1)).alias("n"))

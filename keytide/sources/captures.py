@@ -216,9 +216,8 @@ class CaptureSource(DataSource):
     """``spark.read.format("pcap").load(path)``: one task per file; for rotated captures.
 
     Has the columns ``src_port`` and ``dst_port`` besides those of a raw packet, null where a frame is no TCP.
-    Conditions on them (``=``, ``IN``) are pushed into the reader if
-    ``spark.sql.python.filterPushdown.enabled`` is set; option ``ports`` keeps packets with one of them on
-    either side. Payloads of packets that are left out are seeked over.
+    Conditions on them (``=``, ``IN``) are pushed into the reader; option ``ports`` keeps packets with one of
+    them on either side. Payloads of packets that are left out are seeked over.
     """
 
     @classmethod
@@ -237,5 +236,9 @@ class CaptureSource(DataSource):
 
 
 def register_pcap(spark: SparkSession) -> None:
-    """Make the ``pcap`` format known to a session."""
+    """Make the ``pcap`` format known to a session, and let conditions reach readers of such formats.
+
+    Spark refuses a reader that takes conditions while ``spark.sql.python.filterPushdown.enabled`` is off.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     spark.dataSource.register(CaptureSource)
