@@ -302,17 +302,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([linked(p, q, percent) for p, q in zip(x, y)], pa.bool_())
             yield batch.select(["ca", "cb"]).filter(keep).rename_columns(["a", "b"])
 
-    def side(end: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns))
-
-    orders = ("first", "third")
-    left = pairs.join(side("b", *orders), "b").join(side("a", *orders), "a")
-    for order in orders:
+    def joined(some: DataFrame, *columns: str) -> DataFrame:
+        """Pairs with columns of both their sets; only sets of classes that are in a pair are moved."""
+        classes = stage(some.select(F.col("a").alias("cls")).union(some.select("b")).distinct(), "asked")
+        asked = sets.join(_sent(classes), "cls", "left_semi")
+        for end in ("b", "a"):
+            some = some.join(asked.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+        return some
+
+    pairs = stage(pairs, "pairs")
+    left = joined(pairs, "first", "third")
+    for order in ("first", "third"):
         left = left.filter(F.arrays_overlap(f"{order}_a", f"{order}_b"))
     left = stage(left.select("a", "b", "ca", "cb").distinct(), "candidates")
-    both = left.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a")
+    both = joined(left, "tokens")
     found = stage(both.select("ca", "cb", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long"), "links")
-    remove(left)
+    remove(pairs, left)
     return found
 
 
