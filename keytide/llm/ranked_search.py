@@ -298,16 +298,16 @@ def _rescored(
 
 
 def _best(scored: DataFrame, top: int) -> DataFrame:
-    """The ``top`` best texts of each query; tasks cut before they meet."""
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "hash")
-    return scored.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= top).drop("at")
+    """The ``top`` best texts of each query, and all that score as much as the last of these; tasks cut before they meet."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"))
+    return scored.withColumn("at", F.rank().over(order)).filter(F.col("at") <= top).drop("at")
 
 
 def _thresholds(scored: DataFrame, count: int, top: int) -> np.ndarray:
     """The ``top``-th best score of each query, 1 where fewer texts have a score."""
     rows = _best(scored, top).groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     out = np.ones(count, np.int64)
-    for r in rows.filter(F.col("n") == top).collect():  # one row for each query of the block
+    for r in rows.filter(F.col("n") >= top).collect():  # one row for each query of the block
         out[r["query"]] = r["least"]
     return out
 
@@ -335,11 +335,15 @@ def _search_block(docs: DataFrame, queries: Queries, top: int) -> DataFrame:
     best = stage(_best(first.union(second), top), "best")
     ids = sketches.select("doc_id", "hash").join(best.select("hash").distinct(), "hash", "left_semi")
     copies = Window.partitionBy("hash").orderBy(F.col("doc_id").asc_nulls_last())
-    ids = ids.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= top)
+    ids = stage(ids.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= top), "ids")
+    # Of texts with equal scores those with the smallest ids stay; a text's first copy has its smallest.
+    firsts = ids.filter(F.col("copy") == 1).select("hash", F.col("doc_id").alias("first"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("first").asc_nulls_last(), "hash")
+    kept = best.join(firsts, "hash").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= top)
     ranks = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "hash", "copy")
-    out = best.join(ids, "hash").withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= top)
+    out = kept.join(ids, "hash").withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= top)
     out = stage(out.select("query", "rank", "doc_id", "score"), "ranked")
-    remove(made, seeds, first, rest, second, best)
+    remove(made, seeds, first, rest, second, best, ids)
     return out
 
 

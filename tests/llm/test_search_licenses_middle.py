@@ -1,6 +1,7 @@
 """License scan, ranked search and fill-in-the-middle against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -162,6 +163,19 @@ def test_ranked_search_matches_brute_force(spark, monkeypatch, width, block, sen
     assert sorted(map(tuple, found), key=repr) == brute_search(rows, items, 5)
 
 
+def test_ranked_search_of_equal_scores_goes_by_id(spark):
+    words = ["alpha", "beta", "gamma", "delta", "other"]
+    texts = [" ".join(p) for p in itertools.permutations(words)]  # all different, all with one score
+    rng = random.Random(3)
+    ids = rng.sample(range(1000), len(texts) + 3)
+    rows = [*zip(ids, [*texts, *texts[:3]]), (None, "beta gamma alpha delta")]
+    benchmark = spark.createDataFrame([("q", "alpha beta"), ("r", "other")], "item_id string, text string")
+    found = ranked_search.ranked_search(documents(spark, rows), benchmark, top=7).orderBy("item_id", "rank").collect()
+    assert len({r["score"] for r in found if r["item_id"] == "r"}) == 1
+    assert [r["doc_id"] for r in found if r["item_id"] == "r"] == sorted(ids)[:7]
+    assert [r["doc_id"] for r in found if r["item_id"] == "q"] == [None, *sorted(ids)[:6]]
+
+
 def test_ranked_search_of_odd_and_empty_tables(spark):
     benchmark = spark.createDataFrame([(1, "word a"), (2, None)], "item_id long, text string")
     found = ranked_search.ranked_search(documents(spark), benchmark).collect()
