@@ -12,6 +12,7 @@ from keytide.operators.conversations import events_of_messages
 from keytide.operators.messages import read_messages
 from keytide.operators.resp import decode_resp
 from keytide.plans.cut import cut
+from keytide.plans.scan import running
 
 QUERIES, SQL = {}, {}
 
@@ -108,7 +109,12 @@ def until_quit(spark, sf):
 )
 def line_events(spark, sf):
     """A supplier's line items as its requests: N is a hit, A a miss, R a command of another kind."""
-    items = t.read(spark, sf, "lineitem").withColumn("at", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
+    used = ["l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_quantity"]
+    # Numbered along the supplier's requests: several line items may have one place in one order.
+    items = running(
+        t.read(spark, sf, "lineitem").select("l_suppkey", *used), ["l_suppkey"], F.floor(F.col("l_orderkey") / 2048),
+        [F.col(c) for c in used], {"at": ("sum", F.lit(1))},
+    )
     flag, part = F.col("l_returnflag"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))
     request = F.when(flag == "R", F.concat(F.lit("incr "), part, F.lit(" 1"))).otherwise(
         F.concat(F.lit("get "), part)
