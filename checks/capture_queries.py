@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from checks.packet_queries import ORDERS, order_frames
 from keytide.operators import frames as D
 from keytide.plans.cut import shared_folder
-from keytide.sources.captures import read_captures, register_pcap, stream_captures
+from keytide.sources.captures import BATCH_RECORDS, read_captures, register_pcap, stream_captures
 
 QUERIES, SQL = {}, {}
 PORTS = [6379, 11211]
+#: Frames of a file on average, where there are enough for four files.
+FILE_FRAMES = 400_000
 
 
 def check(name, sql=None):
@@ -67,20 +69,30 @@ def written(spark, frames) -> str:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        rows = [r for b in batches for r in b.to_pylist()]
-        part, done = TaskContext.get().partitionId(), []
-        files = {f"pcap/part-{part}-{k}": _PCAP_HEAD[k] + _records([r for r in rows if r["linktype"] == k]) for k in (0, 1)}
-        files[f"pcapng/part-{part}"] = _NG_HEAD + _blocks(rows)
-        for name, data in files.items():
+        def opened(name: str, head: bytes) -> pa.NativeFile:
             system, path = fs.FileSystem.from_uri(f"{folder if '://' in folder else 'file://' + folder.removeprefix('file:')}/{name}")
             system.create_dir(path.rpartition("/")[0])
-            with system.open_output_stream(path) as out:
-                out.write(data)
-            done.append(name)
-        yield pa.RecordBatch.from_arrays([pa.array(done)], ["file"])
+            out = system.open_output_stream(path)
+            out.write(head)
+            return out
+
+        part = TaskContext.get().partitionId()
+        plain = {k: opened(f"pcap/part-{part}-{k}", _PCAP_HEAD[k]) for k in (0, 1)}
+        blocks = opened(f"pcapng/part-{part}", _NG_HEAD)
+        for batch in batches:
+            for low in range(0, batch.num_rows, BATCH_RECORDS):
+                rows = batch.slice(low, BATCH_RECORDS).to_pylist()
+                for k, out in plain.items():
+                    out.write(_records([r for r in rows if r["linktype"] == k]))
+                blocks.write(_blocks(rows))
+        for out in (*plain.values(), blocks):
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32())], ["part"])
 
     plain = frames.select(F.unix_micros("ts").alias("us"), "wirelen", "linktype", "data")
-    plain.repartition(4, "us", "data").mapInArrow(write, "file string").collect()  # names of a dozen files
+    parts = max(4, frames.count() // FILE_FRAMES)
+    written = plain.repartition(parts, "us", "data").mapInArrow(write, "part int")
+    written.write.format("noop").mode("overwrite").save()
     return folder
 
 

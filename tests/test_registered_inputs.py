@@ -1,6 +1,9 @@
 """Inputs of registered queries: their order, their files and the parts they land in."""
 
-from checks import message_queries
+from pyspark.sql import functions as F
+
+from checks import capture_queries, message_queries
+from checks.packet_queries import order_frames
 
 
 def test_line_items_at_one_place_of_an_order(spark, tmp_path):
@@ -10,3 +13,17 @@ def test_line_items_at_one_place_of_an_order(spark, tmp_path):
     spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
     found = message_queries.line_events(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == sorted((str(s), f"part:{p}", int(q)) for s, _, _, p, q, f in rows if f == "N")
+
+
+def test_capture_files_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(capture_queries, "FILE_FRAMES", 50, raising=False)
+    orders = spark.range(1000).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 90).alias("o_custkey"), F.lit("F").alias("o_orderstatus"),
+        F.lit("2020-01-01").cast("timestamp").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"),
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    frames = order_frames(spark, str(tmp_path))
+    folder = capture_queries.written(spark, frames)
+    found = capture_queries.read_captures(spark, f"{folder}/pcapng")
+    assert found.select("file").distinct().count() == 20
+    assert sorted(bytes(r[0]) for r in found.select("data").collect()) == sorted(bytes(r[0]) for r in frames.select("data").collect())
