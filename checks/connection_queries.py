@@ -11,7 +11,7 @@ from checks import tables as t
 from checks import traffic as w
 from checks.packet_queries import order_frames
 from checks.stream_queries import source_messages
-from checks.streaming_queries import run_folder, streamed_user_events, user_events_of
+from checks.streaming_queries import land, run_folder, streamed_user_events, user_events_of
 from keytide.functions import protocols as P
 from keytide.functions.patterns import BadPattern
 from keytide.functions.spec import BadDescriptor
@@ -246,12 +246,14 @@ def several_triggers(spark, sf):
     packets.write.parquet(f"{folder}/all")
     packets = spark.read.parquet(f"{folder}/all")
     ends = packets.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    for i in range(4):  # files in order of time, as captures land; borders between exchanges
+    second = lambda at: F.date_trunc("second", F.lit(at)) + F.expr("INTERVAL 950 MILLISECONDS")
+    parts = []
+    for i in range(4):  # in order of time, as captures land; borders between exchanges
         low, high = (ends["low"] + (ends["high"] - ends["low"]) * k / 4 for k in (i, i + 1))
-        second = lambda at: F.date_trunc("second", F.lit(at)) + F.expr("INTERVAL 950 MILLISECONDS")
-        part = packets.filter((F.lit(i == 0) | (F.col("ts") >= second(low))) & (F.lit(i == 3) | (F.col("ts") < second(high))))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/packets")
-    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/packets")
+        part = (F.lit(i == 0) | (F.col("ts") >= second(low))) & (F.lit(i == 3) | (F.col("ts") < second(high)))
+        parts.append(packets.filter(part))
+    files = land(parts, f"{folder}/packets", "ord")
+    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/packets")
     SR.start_events(
         cache_events(stream_events(stream)),
         lambda found, batch: found.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}"),
@@ -290,18 +292,17 @@ MIDDLE = "(SELECT time_bucket(INTERVAL '1 day', min(ts) + (max(ts) - min(ts)) /
         WHERE window_start >= {MIDDLE} AND window_end <= (SELECT max(ts) FROM events)""",
 )
 def late_events(spark, sf):
-    """The later half of the events comes first, in two files; the earlier half is late then, counted and left out.
+    """The later half of the events comes first, in two parts; the earlier half is late then, counted and left out.
 
-    Rows are held against the watermark of the trigger before, so the second file is not late yet.
+    Rows are held against the watermark of the trigger before, so the second part is not late yet.
     """
     folder = run_folder(spark)
     events = t.read(spark, sf, "events")
     seconds = [events.agg(f(F.unix_seconds(F.col("ts").cast("timestamp")))).scalar() for f in (F.min, F.max)]
     day = F.unix_seconds(F.col("ts").cast("timestamp")) >= F.floor((seconds[0] + seconds[1]) / 2 / 86400) * 86400
     even = F.pmod("user_id", F.lit(2)) == 0
-    for part in (day & even, day & ~even, ~day):
-        events.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    files = land([events.filter(part) for part in (day & even, day & ~even, ~day)], f"{folder}/in", "event_id")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     found = user_events_of(stream)
     query = SR.start_interval_reports(
         found, R.HotKeys(), "1 day", f"{folder}/state",

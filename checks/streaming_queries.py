@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import report_queries as r
@@ -16,6 +17,8 @@ from keytide.streaming import reports as SR
 from keytide.streaming.decode import cache_events, stream_events
 
 QUERIES, SQL = {}, {}
+#: Rows of a landing file on average, where there are enough for one.
+FILE_ROWS = 200_000
 
 
 def check(name, sql=None):
@@ -32,6 +35,17 @@ def run_folder(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def land(parts: list[DataFrame], folder: str, *by: str) -> int:
+    """Write the parts one after the other, each as the same number of files, which is returned.
+
+    A stream that takes so many files at a trigger takes a part at a trigger. Rows go to files by ``by``.
+    """
+    files = max(1, min(part.count() for part in parts) // FILE_ROWS)
+    for part in parts:
+        part.repartition(files, *by).write.mode("append").parquet(folder)
+    return files
+
+
 def streamed_user_events(spark, sf):
     schema = t.read(spark, sf, "events").schema
     return user_events_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
@@ -92,10 +106,9 @@ def running_top(spark, sf):
     """The top after the last of four triggers, each of which hands over only the keys of its rows."""
     folder = run_folder(spark)
     events = t.read(spark, sf, "events")
-    for i in range(4):
-        part = events.filter(F.pmod(F.xxhash64("user_id", "ts"), F.lit(4)) == i)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    parts = [events.filter(F.pmod(F.xxhash64("user_id", "ts"), F.lit(4)) == i) for i in range(4)]
+    files = land(parts, f"{folder}/in", "event_id")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
     SR.start_running_reports(
         user_events_of(stream), HotKeys(top=25), f"{folder}/state",
         lambda report, batch: report.write.mode("overwrite").parquet(f"{folder}/out"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks import capture_queries, message_queries
+from checks import capture_queries, message_queries, streaming_queries
 from checks.packet_queries import order_frames
 
 
@@ -27,3 +27,15 @@ def test_capture_files_grow_in_number(spark, tmp_path, monkeypatch):
     found = capture_queries.read_captures(spark, f"{folder}/pcapng")
     assert found.select("file").distinct().count() == 20
     assert sorted(bytes(r[0]) for r in found.select("data").collect()) == sorted(bytes(r[0]) for r in frames.select("data").collect())
+
+
+def test_parts_land_in_as_many_files_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming_queries, "FILE_ROWS", 100)
+    parts = [spark.range(0, 350), spark.range(350, 1500), spark.range(1500, 1900)]
+    files = streaming_queries.land(parts, f"{tmp_path}/in", "id")
+    assert files == 3
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", files).parquet(f"{tmp_path}/in")
+    seen = []
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state")
+    query.foreachBatch(lambda rows, _: seen.append(sorted(r["id"] for r in rows.collect()))).start().awaitTermination()
+    assert seen == [list(range(0, 350)), list(range(350, 1500)), list(range(1500, 1900))]
