@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from keytide.functions.protocols import Bad, Short, resp_value
 
 # Fixed value: arrays a value may be nested in.
 MAX_ARRAYS = 6
+#: Leaves, and bytes of their texts, that are put out at a time.
+BATCH_LEAVES, BATCH_BYTES = 4096, 4 << 20
 
 
 def leaves(data: bytes, capture: int) -> Iterator[tuple]:
@@ -70,13 +73,20 @@ def decode_resp(df: DataFrame, payload: str = "payload", capture: int = 0) -> Da
         ]
     )
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = to_arrow_schema(T.StructType(schema.fields[len(kept) :]))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (*rest, path, len(path), tag, text, number, length)
-                for data, *rest in batch[[payload, *names]].itertuples(index=False, name=None)
-                for path, tag, text, number, length in leaves(bytes(data), capture)
-            ]
-            yield pd.DataFrame(rows, columns=schema.names, dtype=object)
+            found, at, size = [], [], 0
+            for i, data in enumerate(batch.column(0)):
+                for path, tag, text, number, length in leaves(data.as_py(), capture):
+                    found.append((path, len(path), tag, text, number, length))
+                    at.append(i)
+                    size += len(text or b"")
+                if len(found) >= BATCH_LEAVES or size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    rest = [c.take(pa.array(at, pa.int64())) for c in batch.columns[1:]]
+                    made = [pa.array(c, f.type) for c, f in zip(zip(*found), types)]
+                    yield pa.RecordBatch.from_arrays([*rest, *made], names=schema.names)
+                    found, at, size = [], [], 0
 
-    return df.select(payload, *names).mapInPandas(decode, schema)
+    return df.select(payload, *names).mapInArrow(decode, schema)
