@@ -312,6 +312,51 @@ def test_long_runs_and_blocks_score_like_windows():
     network._peaks(*(lambda r: (r.codes, r.starts, r.ends))(secrets.Runs.of(["a" * 3 * secrets._BLOCK, "b"], [[], []])))
 
 
+def test_runs_that_look_secret_score_alone_as_in_their_text():
+    rng = random.Random(14)
+    texts = ["".join(rng.choices("aB1 ./=é", [6, 6, 6, 1, 1, 1, 1, 1], k=rng.randint(0, 200))) for _ in range(200)]
+    runs = secrets.Runs.of(texts, [[]] * 200)
+    cores = [texts[o][s - runs.offsets[o] : e - runs.offsets[o]] for s, e, o in zip(runs.starts, runs.ends, runs.owner)]
+    assert runs.secret().tolist() == [secrets.looks_secret(c) for c in cores] and 9 < runs.secret().sum() < len(cores)
+    hashes = runs.hashes().tolist()
+    assert len(set(hashes)) == len(set(cores)) == len(set(zip(cores, hashes)))
+    every = np.arange(len(cores))
+    shown = [secrets.windows(texts[o], int(s - runs.offsets[o]), int(e - runs.offsets[o]))[0] for s, e, o in zip(runs.starts, runs.ends, runs.owner)]
+    assert (runs.windows(every) == secrets.coded(shown)).all()
+    network = secrets.CharNetwork(secrets.Training.start().weights)
+    some, alone = every[::3], runs.alone(every[::3])
+    peaks = network._peaks(runs.codes, runs.starts, runs.ends)[some]
+    assert (network._peaks(alone.codes, alone.starts, alone.ends) == peaks).all()
+
+
+def test_network_learns_every_run(spark, monkeypatch):
+    rng, rows = random.Random(15), []
+    for i in range(900):  # far more distinct runs than any sample would take
+        rows.append((i, " ".join(f"{w}{i}x{k}" for k, w in enumerate(random_words(rng, 50))) + f" token={rng.randrange(16**20, 16**21):x}", 0, ""))
+    kinds = {}
+    for text in (r[1] for r in rows):
+        runs = secrets.Runs.of([text], [secrets.base_spans(text.encode())])
+        kinds |= {text[s - runs.offsets[0] : e - runs.offsets[0]]: k for s, e, k in zip(runs.starts, runs.ends, runs.kinds)}
+    others = {c for c, k in kinds.items() if k < 0 and not secrets.looks_secret(c)}
+    docs = documents(spark, rows)
+    found = [sorted(map(tuple, secrets.distinct_runs(docs.repartition(n), "text").collect())) for n in (1, 7)]
+    assert found[0] == found[1]
+    cores = [(k, bytes(w).decode("latin-1")[secrets.LEFT : secrets.LEFT + secrets.CORE].rstrip("\0")) for _, k, _, w in found[0]]
+    assert sorted(c for k, c in cores if k < 0) == sorted(others) and len(others) > 40_000
+    # Every row that is not held out is learnt from, over shards and turns; every other one is counted.
+    codes, kinds = secrets.coded([chr(i // 100 + 1) * 10 + chr(i % 100 + 1) * 62 for i in range(9000)]), np.repeat([0, -1], [90, 8910])
+    monkeypatch.setattr(secrets, "_TURN_ROWS", 500)
+    seen = set()
+    monkeypatch.setattr(secrets.Training, "_learn", lambda self, c, k, r: seen.update(map(bytes, c)))
+    for turn in range(secrets.TURNS):
+        secrets.Training.start().turn(codes, kinds, turn)
+    assert seen == set(map(bytes, codes))
+    held = spark.createDataFrame([(int(k), bytes(c)) for k, c in zip(kinds, codes)], "kind int, window binary")
+    network = secrets.CharNetwork(secrets.Training.start().weights)
+    counts = secrets._held_counts(held.repartition(3), network)
+    assert (counts == network.counts(codes, kinds)).all() and counts[0].sum(1).tolist() == [90, 8910]
+
+
 def test_counts_and_ids_match_the_libraries(spark):
     from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
