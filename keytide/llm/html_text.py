@@ -217,6 +217,15 @@ def score(order: list[Node], body: Node) -> None:
         node.total = sum(x.density for x in node.children if isinstance(x, Node))
 
 
+def as_dense(node: Node, body: Node) -> bool:
+    """Whether an element is as dense as the page; one without links is held against it by its text per tag alone.
+
+    Without links the density grows with the length of the text, so a part would always be thinner than its whole.
+    """
+    text = node.chars * max(1, body.tags) >= body.chars * max(1, node.tags)
+    return node.density >= body.density or not node.link_tags and text
+
+
 def drop_hinted(hints: list[Node], order: list[Node], body: Node) -> None:
     """Drop hinted elements, but not most of the page, and inside the article nothing likely that is dense enough.
 
@@ -234,7 +243,7 @@ def drop_hinted(hints: list[Node], order: list[Node], body: Node) -> None:
         if 2 * node.chars > body.chars and (node in holders or not named):
             continue
         among = node.inside or any(isinstance(c, Node) and c.tag == "p" and c.chars and not c.hint for c in node.parent.children)
-        node.noise = node.hint == "sure" or not (among and node.density >= body.density)
+        node.noise = node.hint == "sure" or not (among and as_dense(node, body))
 
 
 def choose(order: list[Node], body: Node) -> Node:
