@@ -17,6 +17,7 @@ Columns that the stages do not know stay, whatever their names.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +35,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return drop_low_quality(docs, read(spark, sf_dir, "labels"))
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a number for each row, the same whenever it is read.
+
+    Rows of a table have it by their file and place there; what is not read straight from files is written first.
+    """
+    if "_metadata" not in docs.columns:
+        try:
+            path, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+            places = docs.select(path.alias("path"), at.alias("at"))
+            once = places.groupBy("path", "at").count().filter("count > 1 or path is null or at is null").isEmpty()
+            paths = sorted(r["path"] for r in places.select("path").distinct().collect()) if once else []
+        except AnalysisException:
+            paths = []
+        if paths:
+            spark, file = docs.sparkSession, unused(docs, "file_path")
+            files = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], f"{file} string, {row} long")
+            found = docs.select("*", path.alias(file), at.alias(f"{row}_at")).join(F.broadcast(files), file)
+            return found.select(*docs.columns, (F.col(row) * (1 << 40) + F.col(f"{row}_at")).alias(row))
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each linked group: by id (null last), text hash and place in the table; wordless rows stay."""
     ship(spark)
-    # Rows are told apart by a number that is written with them: ids may be null or repeat.
+    # Rows are told apart by a number: ids may be null or repeat.
     row = unused(docs, "row_number")
-    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = numbered(docs, row)
     linked = jaccard_join(rows, key=row).select(F.col("doc_id").alias(row), F.col("component_id").alias("group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.col(row).alias("row"))
     firsts = rows.select(row, order.alias("order")).join(linked, row).groupBy("group").agg(F.min("order").alias("o"))

@@ -24,10 +24,11 @@ class BitTable:
 
     @staticmethod
     def of(values: DataFrame, column: str) -> BitTable:
-        values = values.select(F.col(column).alias("v")).distinct()
+        """The table of values that come once each; repeated ones make it larger, not wrong."""
+        values = values.select(F.col(column).alias("v"))
         bits = min(MOST_BITS, max(LEAST_BITS, int(values.count() * SLOTS_EACH).bit_length()))
         low = bits - _PARTS
-        slots = values.select(F.shiftrightunsigned("v", 64 - bits).alias("slot")).distinct()
+        slots = values.select(F.shiftrightunsigned("v", 64 - bits).alias("slot"))
         slots = slots.repartition(1 << _PARTS, F.shiftright("slot", low))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,6 +203,15 @@ def _shared(sets: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("token").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("token")
 
 
+def _repeated(sets: DataFrame, column: str) -> DataFrame:
+    """The ``token`` of a column of tokens that comes twice or more: all that ``_shared`` gives, and those of repeated rows.
+
+    Whether a token is another class's, too, only says where it stands in an order, so more may count as such.
+    """
+    rows = sets.select(F.explode(column).alias("token"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+
+
 def _survivors(heads: DataFrame, shared: BitTable, percent: int) -> DataFrame:
     """``cls`` of the classes that share as many tokens of their heads as a link needs."""
 
@@ -412,7 +421,7 @@ def jaccard_join(
     classes = stage(full.groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
     wanted = stage(classes.join(survivors, "cls"), "wanted")
     sets = stage(_sets(rows, wanted, rarity, size, percent), "sets")
-    shared = stage(_shared(sets, "tokens"), "shared")
+    shared = stage(_repeated(sets, "tokens"), "shared")
     prefixes = stage(_prefixes(sets, rarity, BitTable.of(shared, "token"), percent), "prefixes")
     remove(shared, survivors)
     buckets = stage(_buckets(prefixes), "buckets")

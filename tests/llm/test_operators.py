@@ -700,6 +700,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted({r.doc_id for r in packed.collect()}) == sorted(set(kept["secrets"]))
 
 
+def test_near_copies_are_found_without_a_copy_of_the_table(spark, tmp_path):
+    import corpus_pipeline
+
+    good = [(i % 7 or None, " ".join(random.Random(i % 40).choices(WORDS, k=60)), 0, "") for i in range(80)]
+    documents(spark, good).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = corpus_pipeline.read(spark, str(tmp_path), "documents")
+    rows = corpus_pipeline.numbered(docs, "n")
+    assert not hasattr(rows, "staged_at") and rows.columns == [*docs.columns, "n"]
+    assert len({r.n for r in rows.collect()}) == 80 and sorted(rows.collect(), key=repr) == sorted(rows.repartition(3).collect(), key=repr)
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 40
+    for other in (docs.union(docs), documents(spark, good)):  # not a table as it was written
+        rows = corpus_pipeline.numbered(other, "n")
+        assert hasattr(rows, "staged_at") and rows.select("n").distinct().count() == other.count()
+
+
 def test_near_copies_without_an_id_of_their_own_go(spark, tmp_path):
     import corpus_pipeline
 
