@@ -231,7 +231,7 @@ def _joined_occurrences(docs: DataFrame, windows: DataFrame, window: int) -> Dat
     """``text_key, start, end, window`` of every occurrence of a window in a text of ``docs``, each once."""
     shingles = stage(_shingled(windows), "shingles")
     sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())
-    counts = _document_shingles(docs, sizes, BitTable.of(shingles, "shingle"), window, counted=True)
+    counts = _document_shingles(docs, sizes, BitTable.of(shingles.select("shingle").distinct(), "shingle"), window, counted=True)
     counts = counts.groupBy("size", "shingle").agg(F.sum("n").alias("n"))
     ranked = shingles.join(counts, ["size", "shingle"], "left")
     rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "at", "size")
@@ -242,7 +242,7 @@ def _joined_occurrences(docs: DataFrame, windows: DataFrame, window: int) -> Dat
     hot = stage(prefixes.filter(F.col("n") > HOT_ROWS).select("size", "shingle", salts).distinct(), "hot")
     hot = F.broadcast(hot) if hot.count() <= SENT_ROWS else hot
     some = lambda df: df.join(hot, ["size", "shingle"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    places = _document_shingles(docs, sizes, BitTable.of(prefixes, "shingle"), window, counted=False)
+    places = _document_shingles(docs, sizes, BitTable.of(prefixes.select("shingle").distinct(), "shingle"), window, counted=False)
     places = some(places).withColumn("salt", F.pmod(F.xxhash64("text_key", "place"), F.col("salts")).cast("int"))
     looked = some(prefixes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     pairs = places.drop("salts").join(looked.drop("salts", "n"), ["size", "shingle", "salt"])
