@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from checks.ship import ship
 from keytide.llm.common import read, remove, stage, unused
 from keytide.llm.decontaminate import drop_contaminated
-from keytide.llm.jaccard import jaccard_join
+from keytide.llm.jaccard import SENT_ROWS, jaccard_join
 from keytide.llm.packing import pack
 from keytide.llm.quality_rules import drop_low_quality
 from keytide.llm.secrets import redact_secrets
@@ -56,6 +56,22 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
     return stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
+def marked(rows: DataFrame, row: str, numbers: DataFrame) -> DataFrame:
+    """The ``rows`` whose number is among ``numbers``, each there once.
+
+    Rows of a file have neighbouring numbers, so a bit for each of 64 of them makes the table small enough to be sent
+    to all tasks; only beyond ``SENT_ROWS`` such words are whole rows shuffled.
+    """
+    word, bits = unused(rows, "word"), unused(rows, "bits")
+    one = F.expr("shiftleft(1L, cast(number & 63 as int))")
+    words = numbers.groupBy(F.shiftright("number", 6).alias(word)).agg(F.bit_or(one).alias(bits))
+    words = stage(words, "kept")
+    words = F.broadcast(words) if words.count() <= SENT_ROWS else words
+    place = F.col(row).bitwiseAND(F.lit(63)).cast("int")
+    found = rows.withColumn(word, F.shiftright(row, 6)).join(words, word)
+    return found.filter(F.getbit(F.col(bits), place) == 1).select(*rows.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each linked group: by id (null last), text hash and place in the table; wordless rows stay."""
     ship(spark)
@@ -65,8 +81,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked = jaccard_join(rows, key=row).select(F.col("doc_id").alias(row), F.col("component_id").alias("group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.col(row).alias("row"))
     firsts = rows.select(row, order.alias("order")).join(linked, row).groupBy("group").agg(F.min("order").alias("o"))
-    ids = stage(firsts.select(F.col("o.row").alias(row)), "kept")
-    return rows.join(ids, row, "left_semi").select(*docs.columns)
+    return marked(rows, row, firsts.select(F.col("o.row").alias("number"))).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import byte_texts, portions, raw, remove, scramble, slices, stage
+from keytide.llm.common import byte_texts, portions, raw, remove, scramble, slices, stage, task_memory
 
 KINDS = ["assign", "access", "hex", "model"]
 _KINDS = 3  # those of the patterns
@@ -451,14 +451,16 @@ def distinct_runs(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = labelled_runs([])
-        for part in (p for batch in batches for p in slices(batch, "text", _PORTION)):
-            kept = tuple(np.concatenate(x) for x in zip(kept, labelled_runs(byte_texts(part, "text"))))
-            some = _firsts(kept[0] ^ kept[2].astype(np.uint64), kept[3])
-            kept = tuple(x[some] for x in kept)
-            if len(kept[0]) > _GATHERED:
-                yield packed(*kept)
-                kept = labelled_runs([])
-        yield packed(*kept)
+        with task_memory():
+            for part in (p for batch in batches for p in slices(batch, "text", _PORTION)):
+                kept = tuple(np.concatenate(x) for x in zip(kept, labelled_runs(byte_texts(part, "text"))))
+                some = _firsts(kept[0] ^ kept[2].astype(np.uint64), kept[3])
+                kept = tuple(x[some] for x in kept)
+                if len(kept[0]) > _GATHERED:
+                    yield packed(*kept)
+                    kept = labelled_runs([])
+            yield packed(*kept)
+            kept = labelled_runs([])
 
     def packed(keys, hashes, kinds, ranks, shown) -> pa.RecordBatch:
         blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_SIZE), len(shown), [None, pa.py_buffer(shown.tobytes())])

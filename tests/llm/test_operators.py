@@ -715,6 +715,35 @@ def test_near_copies_are_found_without_a_copy_of_the_table(spark, tmp_path):
         assert hasattr(rows, "staged_at") and rows.select("n").distinct().count() == other.count()
 
 
+def test_near_copies_are_left_out_without_moving_the_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, " ".join(random.Random(i % 90).choices(WORDS, k=60)), 0, "") for i in range(150)]
+    documents(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables too large to be sent as they are
+    try:
+        found = corpus_pipeline.near_duplicates(spark, corpus_pipeline.read(spark, str(tmp_path), "documents"), "")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in found.collect()) == list(range(90))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_rows_are_marked_whatever_their_numbers(spark, monkeypatch):
+    import corpus_pipeline
+
+    numbers = [0, 1, 62, 63, 64, 127, 128, (1 << 40) - 1, 1 << 40, (5 << 40) + 63, (1 << 33) + 31, -1, -64]
+    rows = spark.createDataFrame([(n, str(n), 7) for n in numbers], "n long, word string, BITS long")
+    for some in (numbers, numbers[::2], numbers[1::2], []):
+        asked = spark.createDataFrame([(n,) for n in some], "number long")
+        for sent in (corpus_pipeline.SENT_ROWS, 0):
+            monkeypatch.setattr(corpus_pipeline, "SENT_ROWS", sent)
+            found = corpus_pipeline.marked(rows, "n", asked)
+            assert found.columns == rows.columns and sorted(r.n for r in found.collect()) == sorted(some)
+
+
 def test_near_copies_without_an_id_of_their_own_go(spark, tmp_path):
     import corpus_pipeline
 
