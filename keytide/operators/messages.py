@@ -39,7 +39,8 @@ CHUNK_BYTES = 4 << 20
 
 _STREAM = ["flow", "from_server", "protocol"]
 _CHUNK = [*_STREAM, "chunk"]
-_PIECES = [*_CHUNK, "start", "bytes", "us", "entry"]
+_GROUP = [*_STREAM, "group"]
+_PIECES = [*_CHUNK, "start", "bytes", "us", "stream_len"]
 _LINK_SCHEMA = (
     "flow string, from_server boolean, protocol string, chunk long, upto array<long>, leave array<long>"
 )
@@ -54,14 +55,14 @@ class View:
     """The bytes of one chunk with a margin on both sides: runs without gaps, and segment starts."""
 
     def __init__(self, rows: list[tuple], limit: int):
-        """``rows`` are ``(start, bytes, time)`` in stream order."""
+        """``rows`` are ``(start, bytes, time, …)`` in stream order."""
         self.limit = limit
         self.starts = [r[0] for r in rows]
         self.times = [r[2] for r in rows]
         self.runs: list[int] = []
         parts: list[list[bytes]] = []
         end = None
-        for start, data, _ in rows:
+        for start, data, *_ in rows:
             if start != end:
                 self.runs.append(start)
                 parts.append([])
@@ -184,17 +185,11 @@ def chosen_protocol(client_byte: Column, protocol: str = INFER) -> Column:
     return binary.when(client_byte.isNotNull(), MCTEXT)
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[tuple], int | None]]:
-    """Consecutive rows of one chunk: its key, its segments and its entry if one was sent."""
-    rows = (row for batch in batches for row in batch[_PIECES].itertuples(index=False, name=None))
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Consecutive rows of one chunk: its key, and its segments with what else the rows have."""
+    rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
     for key, group in groupby(rows, key=lambda r: r[:4]):
-        entry, segments = None, []
-        for row in group:
-            if row[5] is None:
-                entry = int(row[7])
-            else:
-                segments.append(row[4:7])
-        yield key, segments, entry
+        yield key, [row[4:] for row in group]
 
 
 def _batched(rows: Iterator[tuple], columns: list[str], size: int = 4096) -> Iterator[pd.DataFrame]:
@@ -227,37 +222,35 @@ def read_messages(
     """
     steps = protocols()
     known = segments.filter(F.col("protocol").isin(*steps))
-    size = F.lit(chunk_bytes)
-    stop = F.col("rel_start") + F.octet_length("bytes")
+    # Payloads go to their chunks once, for both readings, and neighbouring small chunks together: what a chunk sees of
+    # the next one is then mostly there.
+    together = F.lit(max(1, CHUNK_BYTES // chunk_bytes))
+    placed = known.select(*_STREAM, F.col("rel_start").alias("start"), "bytes", F.col("ready").alias("us"), "stream_len")
     # A chunk sees one byte before its start and ``line_limit`` bytes past its end.
-    first = F.floor(F.greatest(F.col("rel_start") - line_limit, F.lit(0)) / size)
-    last = F.floor(stop / size)
-    pieces = known.select(
-        *_STREAM,
-        F.explode(F.sequence(first, last)).alias("chunk"),
-        F.col("rel_start").alias("start"),
-        "bytes",
-        F.col("ready").alias("us"),
-        "stream_len",
-    )
-    # Only streams that touch several chunks need linking; one of just a chunk's length ends in the next.
-    linked = pieces.filter(F.col("stream_len") >= chunk_bytes).drop("stream_len")
-    entries = _entries(linked, steps, chunk_bytes, line_limit)
-    return _second_pass(pieces.drop("stream_len"), entries, steps, chunk_bytes, line_limit)
-
-
-def _by_chunk(pieces: DataFrame) -> DataFrame:
+    first = F.floor(F.greatest(F.col("start") - line_limit, F.lit(0)) / chunk_bytes)
+    last = F.floor((F.col("start") + F.octet_length("bytes")) / chunk_bytes)
+    groups = F.explode(F.sequence(F.floor(first / together), F.floor(last / together)))
+    dealt = placed.select("*", groups.alias("group")).repartition(*_GROUP)
+    low, high = F.greatest(first, F.col("group") * together), F.least(last, (F.col("group") + 1) * together - 1)
+    chunks = F.sequence(low, high)
+    entries = _entries(dealt.withColumn("chunk", F.explode(chunks)), steps, chunk_bytes, line_limit)
+    return _second_pass(dealt, chunks, entries, together, steps, chunk_bytes, line_limit)
+
+
+def _in_order(pieces: DataFrame) -> DataFrame:
     # The hash leads the order because sorting compares it much faster than text.
-    chunk = F.xxhash64(*_CHUNK)
-    return pieces.repartition(*_CHUNK).sortWithinPartitions(chunk, *_CHUNK, "start")
+    return pieces.sortWithinPartitions(F.xxhash64(*_CHUNK), *_CHUNK, "start")
 
 
 def _entries(pieces: DataFrame, steps: dict, chunk_bytes: int, line_limit: int) -> DataFrame:
-    linked = pieces.withColumn("entry", F.lit(None).cast("long"))
+    # Only streams that touch several chunks need linking; one of just a chunk's length ends in the next. The condition
+    # is on a value that is known after the shuffle only, as one that moved before it would make that another shuffle.
+    known_here = F.when(F.spark_partition_id() >= 0, F.col("stream_len"))
+    linked = pieces.filter(known_here >= chunk_bytes).select(*_PIECES)
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
-            for key, segments, _ in _chunks(batches):
+            for key, segments in _chunks(batches):
                 low = key[3] * chunk_bytes
                 view = View(segments, line_limit)
                 ways = ways_through(view, _step_of(steps, key), low, low + chunk_bytes)
@@ -279,29 +272,34 @@ def _entries(pieces: DataFrame, steps: dict, chunk_bytes: int, line_limit: int)
 
         yield from _batched(rows(), _names(_ENTRY_SCHEMA))
 
-    reports = _by_chunk(linked).mapInPandas(report, _LINK_SCHEMA)
+    reports = _in_order(linked).mapInPandas(report, _LINK_SCHEMA)
     # One short row per chunk of a long stream: a 4 TB connection has a million of them.
     ordered = reports.repartition(*_STREAM).sortWithinPartitions(*_STREAM, "chunk")
     return ordered.mapInPandas(follow, _ENTRY_SCHEMA)
 
 
 def _second_pass(
-    pieces: DataFrame, entries: DataFrame, steps: dict, chunk_bytes: int, line_limit: int
+    dealt: DataFrame, chunks: Column, entries: DataFrame, together: Column, steps: dict, chunk_bytes: int, line_limit: int
 ) -> DataFrame:
-    tagged = pieces.withColumn("entry", F.lit(None).cast("long"))
-    zero = F.lit(0).cast("long")
-    heads = entries.withColumns({"start": zero - 1, "us": zero})
-
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
-            for key, segments, entry in _chunks(batches):
-                low = key[3] * chunk_bytes
+            for key, segments in _chunks(batches):
+                low, entry = key[3] * chunk_bytes, segments[0][-1]
                 view = View(segments, line_limit)
                 step = _step_of(steps, key)
-                for found in messages_in(view, step, low, low + chunk_bytes, entry or 0):
+                for found in messages_in(view, step, low, low + chunk_bytes, int(entry)):
                     yield (*key, *found)
 
         yield from _batched(rows(), _names(MESSAGE_SCHEMA))
 
-    both = tagged.unionByName(heads, allowMissingColumns=True).select(*_PIECES)
-    return _by_chunk(both).mapInPandas(read, MESSAGE_SCHEMA)
+    # Entries are few beside the segments, which stay where they are: each task makes a table of the entries of its groups.
+    grouped = entries.groupBy(*_STREAM, F.floor(F.col("chunk") / together).alias("group"))
+    grouped = grouped.agg(F.map_from_entries(F.collect_list(F.struct("chunk", "entry"))).alias("entries"))
+    entered = dealt.join(grouped.hint("shuffle_hash"), _GROUP, "left")
+
+    def entry(chunk: Column) -> Column:
+        found = F.coalesce(F.element_at("entries", chunk), F.lit(0).cast("long"))
+        return F.struct(chunk.alias("chunk"), found.alias("entry"))
+
+    pieces = entered.select(*dealt.columns, F.inline(F.transform(chunks, entry)))
+    return _in_order(pieces.select(*_PIECES, "entry")).mapInPandas(read, MESSAGE_SCHEMA)

@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from keytide.functions.protocols import check_protocol
+from keytide.operators import messages
 from keytide.operators.conversations import extract_events
-from keytide.operators.segments import placed_segments, lost_bytes, segments
+from keytide.operators.segments import placed_segments, lost_bytes, segments, with_bytes
 from tests.traffic import Wire, bulk, events, random_exchanges, resp, value
 
 
@@ -146,6 +148,36 @@ def test_losses_do_not_depend_on_chunking(spark):
     assert found[0]
 
 
+@pytest.mark.parametrize("together", [1, 3])
+def test_chunks_that_are_moved_together(spark, monkeypatch, together):
+    """Groups of small chunks have borders anywhere, too; losses do not change that."""
+    monkeypatch.setattr(messages, "CHUNK_BYTES", 300 * together)
+    exchanges, want = random_exchanges(3)
+    wire = Wire()
+    wire.talk(exchanges, piece=97, isn=(2**32 - 500, 2**32 - 3000), rng=random.Random(3))
+    assert extracted(spark, wire, protocol="mctext", chunk_bytes=300, line_limit=2048) == want
+    rng = random.Random(4)
+    table = wire.table(spark, [r for r in wire.rows if r[9] or rng.random() > 0.03])
+    found = [events(extract_events(table, "mctext", chunk_bytes=c, line_limit=2048)) for c in (300, 4 << 20)]
+    assert found[0] == found[1] and found[0]
+
+
+def test_payloads_go_to_their_chunks_once(spark):
+    wire = Wire()
+    wire.talk([(b"get k%d\r\n" % i, value(b"k%d" % i, b"x" * 500) + b"END\r\n") for i in range(40)])
+    packets = wire.table(spark)
+    placed = placed_segments(packets).withColumn("protocol", F.lit("mctext"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        found = messages.read_messages(with_bytes(placed, packets), chunk_bytes=1024, line_limit=512)
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    moved = [line for line in plan if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]
+    assert len(moved) == 2  # the payloads, and short reports of chunks
+
+
 def test_one_connection_holds_most_packets(spark):
     """A single connection of many chunks next to short ones."""
     wire, want = Wire(), []
