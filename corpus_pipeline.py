@@ -17,12 +17,13 @@ Columns that the stages do not know stay, whatever their names.
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.ship import ship
-from keytide.llm.common import read, remove, stage, unused
+from keytide.llm.common import read, remove, short_batches, stage, unused
 from keytide.llm.decontaminate import drop_contaminated
 from keytide.llm.jaccard import SENT_ROWS, jaccard_join
 from keytide.llm.packing import pack
@@ -30,8 +31,14 @@ from keytide.llm.quality_rules import drop_low_quality
 from keytide.llm.secrets import redact_secrets
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """What any stage needs of its session."""
     ship(spark)
+    short_batches(spark)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return drop_low_quality(docs, read(spark, sf_dir, "labels"))
 
 
@@ -50,7 +57,8 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
             paths = []
         if paths:
             spark, file = docs.sparkSession, unused(docs, "file_path")
-            files = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], f"{file} string, {row} long")
+            # As Arrow: rows from a list would pass through Python workers of another kind, which stay in memory.
+            files = spark.createDataFrame(pa.table({file: paths, row: pa.array(range(len(paths)), pa.int64())}))
             found = docs.select("*", path.alias(file), at.alias(f"{row}_at")).join(F.broadcast(files), file)
             return found.select(*docs.columns, (F.col(row) * (1 << 40) + F.col(f"{row}_at")).alias(row))
     return stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
@@ -74,7 +82,7 @@ def marked(rows: DataFrame, row: str, numbers: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each linked group: by id (null last), text hash and place in the table; wordless rows stay."""
-    ship(spark)
+    prepare(spark)
     # Rows are told apart by a number: ids may be null or repeat.
     row = unused(docs, "row_number")
     rows = numbered(docs, row)
@@ -85,17 +93,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

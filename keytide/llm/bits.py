@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keytide.llm.common import tidy
+
 #: Slots of a table: so many times the values in it, from 2 to the 16 up to 2 to the 30 (128 MiB).
 SLOTS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 30
 _PARTS = 6
@@ -42,7 +44,7 @@ class BitTable:
             yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array(packed, pa.binary())], ["part", "bits"])
 
         table = np.zeros((1 << _PARTS, (1 << low) // 8), np.uint8)
-        for row in slots.mapInArrow(run, "part long, bits binary").toLocalIterator():
+        for row in slots.mapInArrow(tidy(run), "part long, bits binary").toLocalIterator():
             table[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
         return BitTable(bits, table.ravel())
 

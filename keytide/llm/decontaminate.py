@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm.bits import BitTable
-from keytide.llm.common import WordHashes, byte_texts, ngram_hashes, raw, slices, stage, unused
+from keytide.llm.common import WordHashes, byte_texts, ngram_hashes, raw, slices, stage, tidy, unused
 
 #: Bytes of window text up to which a benchmark is sent to all tasks.
 BLOCK_BYTES = 24 << 20
@@ -153,7 +153,7 @@ def _count_shingles(docs: DataFrame, block: Windows) -> dict[int, int]:
             [pa.array(members.values[some].view(np.int64)), pa.array(counts[some])], ["shingle", "n"]
         )
 
-    found = docs.select(raw("text").alias("text")).mapInArrow(run, "shingle long, n long")
+    found = docs.select(raw("text").alias("text")).mapInArrow(tidy(run), "shingle long, n long")
     rows = found.groupBy("shingle").agg(F.sum("n").alias("n")).collect()
     return {int(np.int64(r["shingle"]).view(np.uint64)): r["n"] for r in rows}
 
@@ -390,4 +390,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         for batch in (p for b in batches for p in slices(b, text)):
             yield batch.filter(pa.array([not search(t)[1] for t in byte_texts(batch, text)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

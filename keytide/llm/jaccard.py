@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keytide.llm.bits import BitTable
-from keytide.llm.common import WordHashes, byte_texts, ngram_hashes, raw, remove, scramble, slices, stage, task_memory
+from keytide.llm.common import WordHashes, byte_texts, ngram_hashes, raw, remove, scramble, short_batches
+from keytide.llm.common import slices, stage, task_memory, tidy
 from keytide.llm.graph import components
 
 _SPARE = 20
@@ -173,7 +174,7 @@ def _rarity(described: DataFrame) -> np.ndarray:
 
     parts = described.filter("part is not null").select("part", "counts").repartition(1 << _PART_BITS, "part")
     out = np.zeros((1 << _PART_BITS, _PART_SLOTS), np.uint8)
-    for r in parts.mapInArrow(run, "part int, levels binary").toLocalIterator():
+    for r in parts.mapInArrow(tidy(run), "part int, levels binary").toLocalIterator():
         out[r["part"]] = np.frombuffer(r["levels"], np.uint8)
     return out.ravel()
 
@@ -225,7 +226,7 @@ def _survivors(heads: DataFrame, shared: BitTable, percent: int) -> DataFrame:
             enough = known >= [least_shared(n, percent) for n in batch.column(1).to_pylist()]
             yield batch.select(["cls"]).filter(pa.array(enough))
 
-    return heads.mapInArrow(run, "cls long").distinct()
+    return heads.mapInArrow(tidy(run), "cls long").distinct()
 
 
 def _prefixes(sets: DataFrame, rarity: np.ndarray, shared: BitTable, percent: int) -> DataFrame:
@@ -254,7 +255,7 @@ def _prefixes(sets: DataFrame, rarity: np.ndarray, shared: BitTable, percent: in
                     ["token", "cls", "n", "reach"],
                 )
 
-    return sets.select("cls", "tokens").mapInArrow(run, "token long, cls long, n int, reach int")
+    return sets.select("cls", "tokens").mapInArrow(tidy(run), "token long, cls long, n int, reach int")
 
 
 def _class(tokens: np.ndarray) -> int:
@@ -325,7 +326,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         left = left.filter(F.arrays_overlap(f"{order}_a", f"{order}_b"))
     left = stage(left.select("a", "b", "ca", "cb").distinct(), "candidates")
     both = joined(left, "tokens")
-    found = stage(both.select("ca", "cb", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long"), "links")
+    found = stage(both.select("ca", "cb", "tokens_a", "tokens_b").mapInArrow(tidy(run), "a long, b long"), "links")
     remove(pairs, left)
     return found
 
@@ -409,6 +410,7 @@ def jaccard_join(
     id only if no member has one. Repeated rows come back as often as they go in. An empty table
     gives an empty result; other columns are not looked at.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), raw(text).alias("text"))
     described = stage(_describe(rows, size), "described")
     found = described.filter("part is null")

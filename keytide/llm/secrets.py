@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keytide.llm.common import byte_texts, portions, raw, remove, scramble, slices, stage, task_memory
+from keytide.llm.common import byte_texts, portions, raw, remove, scramble, slices, stage, task_memory, tidy
 
 KINDS = ["assign", "access", "hex", "model"]
 _KINDS = 3  # those of the patterns
@@ -629,4 +629,4 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]")
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

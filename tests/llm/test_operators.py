@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from keytide.llm import decontaminate, jaccard, packing, quality_rules, secrets, token_counts, warc
@@ -731,6 +732,39 @@ def test_near_copies_are_left_out_without_moving_the_texts(spark, tmp_path):
     assert "Exchange hashpartitioning" not in plan
 
 
+def test_stages_and_the_jaccard_join_get_their_texts_in_short_batches(spark, tmp_path):
+    import corpus_pipeline
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    long = spark.range(40, numPartitions=1).selectExpr("id doc_id", "repeat('lorem ipsum ', 25000) text")
+    documents(spark, [(1, "some words", 0, "")]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = corpus_pipeline.read(spark, str(tmp_path), "documents")
+    before = spark.conf.get(name)
+    try:
+        for use in (lambda: jaccard_join(docs), lambda: corpus_pipeline.packing(spark, docs, str(tmp_path))):
+            spark.conf.set(name, "64m")
+            use()
+            found = [r.n for r in long.mapInArrow(sizes, "n long").collect()]
+            assert len(found) > 2 and max(found) < (4 << 20) + 400_000
+        spark.conf.set(name, "1m")  # smaller than the operators ask for
+        corpus_pipeline.prepare(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_numbering_starts_no_python_workers(spark, tmp_path):
+    import corpus_pipeline
+
+    documents(spark, [(i, "some words", 0, "") for i in range(9)]).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.numbered(corpus_pipeline.read(spark, str(tmp_path), "documents"), "n")
+    assert "ExistingRDD" not in rows._jdf.queryExecution().executedPlan().toString() and rows.count() == 9
+
+
 def test_rows_are_marked_whatever_their_numbers(spark, monkeypatch):
     import corpus_pipeline
 
