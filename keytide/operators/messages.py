@@ -39,7 +39,9 @@ CHUNK_BYTES = 4 << 20
 
 _STREAM = ["flow", "from_server", "protocol"]
 _CHUNK = [*_STREAM, "chunk"]
-_GROUP = [*_STREAM, "group"]
+#: Without the protocol: Spark puts a protocol that is the same for all connections into expressions as a literal, and rows
+#: dealt by a literal are not where a join by the column looks for them.
+_GROUP = ["flow", "from_server", "group"]
 _PIECES = [*_CHUNK, "start", "bytes", "us", "stream_len"]
 _LINK_SCHEMA = (
     "flow string, from_server boolean, protocol string, chunk long, upto array<long>, leave array<long>"
@@ -295,10 +297,11 @@ def _second_pass(
     # Entries are few beside the segments, which stay where they are: each task makes a table of the entries of its groups.
     grouped = entries.groupBy(*_STREAM, F.floor(F.col("chunk") / together).alias("group"))
     grouped = grouped.agg(F.map_from_entries(F.collect_list(F.struct("chunk", "entry"))).alias("entries"))
+    grouped = grouped.groupBy(*_GROUP).agg(F.map_from_entries(F.collect_list(F.struct("protocol", "entries"))).alias("entries"))
     entered = dealt.join(grouped.hint("shuffle_hash"), _GROUP, "left")
 
     def entry(chunk: Column) -> Column:
-        found = F.coalesce(F.element_at("entries", chunk), F.lit(0).cast("long"))
+        found = F.coalesce(F.element_at(F.element_at("entries", F.col("protocol")), chunk), F.lit(0).cast("long"))
         return F.struct(chunk.alias("chunk"), found.alias("entry"))
 
     pieces = entered.select(*dealt.columns, F.inline(F.transform(chunks, entry)))

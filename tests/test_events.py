@@ -178,6 +178,39 @@ def test_payloads_go_to_their_chunks_once(spark):
     assert len(moved) == 2  # the payloads, and short reports of chunks
 
 
+def test_a_protocol_for_all_connections_moves_no_payload_again(spark):
+    """Payloads that were dealt to their chunks stay there when entries are joined, for a literal protocol too."""
+    wire = Wire()
+    wire.talk([(b"get k%d\r\n" % i, value(b"k%d" % i, b"x" * 500) + b"END\r\n") for i in range(40)])
+    packets = wire.table(spark)
+    placed = placed_segments(packets).withColumn("protocol", F.lit("mctext"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        found = messages.read_messages(with_bytes(placed, packets), chunk_bytes=1024, line_limit=512)
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    join = next(i for i, line in enumerate(plan) if "ShuffledHashJoin" in line)
+    payloads = next(line for line in plan[join:] if "Exchange" in line)
+    assert "group#" in payloads and "REPARTITION_BY_COL" in payloads
+    assert found.filter("kind = 'value'").count() == 40
+
+
+def test_streams_of_one_connection_in_two_protocols(spark):
+    """Entries of chunks are told apart by the protocol, too."""
+    wire = Wire()
+    wire.talk([(b"get k%d\r\n" % i, value(b"k%d" % i, b"x" * 500) + b"END\r\n") for i in range(40)])
+    packets = wire.table(spark)
+    both = F.explode(F.array(F.lit("mctext"), F.lit("redis")))
+    read = with_bytes(placed_segments(packets).withColumn("protocol", both), packets)
+    small, whole = (
+        sorted(messages.read_messages(read, chunk_bytes=c, line_limit=512).drop("chunk").collect(), key=repr)
+        for c in (1024, 4 << 20)
+    )
+    assert small == whole and {r["protocol"] for r in whole} == {"mctext", "redis"}
+
+
 def test_one_connection_holds_most_packets(spark):
     """A single connection of many chunks next to short ones."""
     wire, want = Wire(), []
