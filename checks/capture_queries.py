@@ -31,25 +31,24 @@ def check(name, sql=None):
     return add
 
 
-def _records(rows: list[dict]) -> bytes:
+def _records(rows: list[tuple]) -> bytes:
     """A pcap file's records."""
     parts = []
-    for r in rows:
-        us = int(r["us"])
-        parts += [struct.pack(">IIII", us // 10**6, us % 10**6, len(r["data"]), r["wirelen"]), r["data"]]
+    for us, wirelen, _, data in rows:
+        parts += [struct.pack(">IIII", us // 10**6, us % 10**6, len(data), wirelen), data]
     return b"".join(parts)
 
 
-def _blocks(rows: list[dict]) -> bytes:
+def _blocks(rows: list[tuple]) -> bytes:
     """A pcapng file's packet blocks, times in nanoseconds on the second interface."""
     parts = []
-    for r in rows:
-        number = int(r["linktype"] == 0)
-        ticks = int(r["us"]) * (1000 if number else 1)
-        padded = r["data"] + bytes(-len(r["data"]) % 4)
-        size = struct.pack("<I", 32 + len(padded))
-        head = struct.pack("<IIIII", number, ticks >> 32, ticks & 0xFFFFFFFF, len(r["data"]), r["wirelen"])
-        parts += [struct.pack("<I", 6), size, head, padded, size]
+    for us, wirelen, linktype, data in rows:
+        number = int(linktype == 0)
+        ticks = us * (1000 if number else 1)
+        pad = -len(data) % 4
+        size = 32 + len(data) + pad
+        head = struct.pack("<IIIIIII", 6, size, number, ticks >> 32, ticks & 0xFFFFFFFF, len(data), wirelen)
+        parts += [head, data, bytes(pad), struct.pack("<I", size)]
     return b"".join(parts)
 
 
@@ -81,9 +80,9 @@ def written(spark, frames) -> str:
         blocks = opened(f"pcapng/part-{part}", _NG_HEAD)
         for batch in batches:
             for low in range(0, batch.num_rows, BATCH_RECORDS):
-                rows = batch.slice(low, BATCH_RECORDS).to_pylist()
+                rows = list(zip(*batch.slice(low, BATCH_RECORDS).to_pydict().values()))
                 for k, out in plain.items():
-                    out.write(_records([r for r in rows if r["linktype"] == k]))
+                    out.write(_records([r for r in rows if r[2] == k]))
                 blocks.write(_blocks(rows))
         for out in (*plain.values(), blocks):
             out.close()

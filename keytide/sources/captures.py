@@ -39,6 +39,8 @@ _TYPES = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), *[pa.int32()] * 3,
 
 BATCH_RECORDS, BATCH_BYTES = 1000, 8 << 20
 SPLIT_BYTES = 64 << 20
+#: Bytes that are worth a task: one reads several splits that are shorter, except where there are tasks for all.
+TASK_BYTES = 8 << 20
 #: Tasks of one reading; with more splits than these a task reads several.
 MOST_TASKS = 100_000
 
@@ -131,8 +133,11 @@ def read_captures(
     listed once to count the splits.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    splits = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / split_bytes)), F.lit(0))).first()[0]
-    return _read_files(files, split_bytes, ports, min(max(1, splits), MOST_TASKS))
+    length = F.col("length")
+    counts = [F.sum(F.ceil(length / split_bytes)), F.sum(length)]
+    splits, size = files.agg(*[F.coalesce(c, F.lit(0)) for c in counts]).first()
+    tasks = min(splits, max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), MOST_TASKS)
+    return _read_files(files, split_bytes, ports, max(1, tasks))
 
 
 def stream_captures(

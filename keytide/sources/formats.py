@@ -292,24 +292,31 @@ class PcapFile(CaptureFile):
         if start <= FILE_HEADER:
             return FILE_HEADER, ""
         window = self.reader.read(start, min(stop - start, LONGEST_RECORD + RECORD_HEADER) + (_CHAIN + 1) * 4096)
+        weak = None
         for at in range(min(stop - start, len(window) - RECORD_HEADER + 1)):
-            if self._plausible(window, at):
+            seen = self._plausible(window, at)
+            if seen == _CHAIN:
                 return start + at, ""
-        return None
+            if seen and weak is None:
+                weak = start + at, ""
+        return weak
+
+    def _plausible(self, window: bytes, at: int) -> int:
+        """Length of the chain of records at a place, as far as the window shows it; 0 if there is none.
 
-    def _plausible(self, window: bytes, at: int) -> bool:
-        first = None
+        A chain that ends beyond the window must be within a day.
+        """
+        first, near = None, True
         for n in range(_CHAIN):
             if at + RECORD_HEADER > len(window):
-                return n > 0
+                return n if near else 0
             seconds, fraction, caplen, wirelen = self.layout.unpack_from(window, at)
-            first = seconds if first is None else first
             if fraction >= self.units or not 0 < caplen <= min(wirelen, self.limit):
-                return False
-            if abs(seconds - first) > _DAY:
-                return False
+                return 0
+            first = seconds if first is None else first
+            near = near and abs(seconds - first) <= _DAY
             at += RECORD_HEADER + caplen
-        return True
+        return _CHAIN
 
 
 class PcapngFile(CaptureFile):

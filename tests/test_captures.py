@@ -9,6 +9,7 @@ from keytide.operators.frames import decode_frames, tcp_only
 from keytide.plans.capture import capture_hot_keys, raw_packets
 from keytide.operators.report import HotKeys
 from keytide.sources.captures import read_captures, register_pcap, stream_captures
+from keytide.sources.formats import open_capture
 from tests.traffic import Wire, random_exchanges
 
 FORMATS = {"micro-le": ("<", 0xA1B2C3D4), "micro-be": (">", 0xA1B2C3D4), "nano-le": ("<", 0xA1B23C4D),
@@ -57,6 +58,34 @@ def test_splits_give_every_record_once(spark, tmp_path, split_bytes):
     assert [bytes(r["data"]) for r in rows] == [d for _, d in records + records[:3]]
 
 
+def test_short_splits_share_tasks(spark, tmp_path):
+    """A split is not worth a task of its own: there are as many tasks as the bytes need, or as run at once."""
+    records = [(10**15 + i, bytes([i % 256]) * 300) for i in range(500)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.pcap").write_bytes(capture_bytes(records))
+    found = read_captures(spark, str(tmp_path), 1000)
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    rows = found.orderBy("file", "ord").collect()
+    assert [bytes(r["data"]) for r in rows] == [d for _, d in records * 2]
+    assert read_captures(spark, str(tmp_path), 100_000).rdd.getNumPartitions() <= 4  # never more than splits
+
+
+def test_guesses_hold_where_times_jump(tmp_path):
+    """Records days apart: a split still finds its first record, not a place that a length beyond its end makes look like one."""
+    rng = random.Random(2)
+    odd = struct.pack("<IIII", 5, 5, 200_000, 200_000)  # would end behind all that a guess sees
+    records = [(rng.randrange(10**9) * 10**6, odd * 2 + rng.randbytes(80)) for _ in range(3000)]
+    (tmp_path / "a.pcap").write_bytes(capture_bytes(records))
+    places, at = set(), 24
+    for _, data in records:
+        places.add(at)
+        at += 16 + len(data)
+    with open_capture(str(tmp_path / "a.pcap")) as capture:
+        for start in range(20_000, at - 20_000, 20_000):
+            entry, _, leave, _ = capture.summary(start, start + 20_000)
+            assert {entry, leave} <= places and entry - start < 16 + len(records[0][1])
+
+
 def test_pcap_format(spark, tmp_path):
     register_pcap(spark)
     records = [(10**15 + i, b"x" * i) for i in range(2500)]
